@@ -238,4 +238,5 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rated = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return rated.select("doc_id", "p_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
