@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontaminate, language_id, licenses, maxscore, minhash, secrets, token_counts, toxicity
+from tessera.llm import byte_bpe, decontaminate, language_id, licenses, maxscore, minhash, secrets, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_secrets": secrets.op2_secrets,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_language_id": language_id.op4_language_id,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_licenses": licenses.op6_licenses,
     "op7_maxscore": maxscore.op7_maxscore,
     "op8_minhash": minhash.op8_minhash,
