@@ -18,6 +18,7 @@ from tessera.llm.shared import row_key, texts, written
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
+ASSIGN_START = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: The added kind: long tokens that mix letters and digits.
 WIDE, WIDE_LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
@@ -34,6 +35,11 @@ def _pieces(text: Column, kind: str, pattern: str, needs: Column) -> Column:
     return F.when(needs, F.filter(rows, lambda x: x["hit"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,hit:string>>"))
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text has a candidate of any kind, of whatever length."""
+    return text.rlike(ASSIGN_START) | text.contains("AKIA") | text.rlike("[0-9a-f]{16}") | text.rlike(WIDE)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, repository, owner, kind, start, end, value of every candidate; start and end in code points, end exclusive.
 
@@ -43,7 +49,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     # Runs of 16 or more are the maximal runs that pass; only rows that hold one are cut up.
     found = F.concat(
-        _pieces(t, "assign", ASSIGN, t.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")),
+        _pieces(t, "assign", ASSIGN, t.rlike(ASSIGN_START)),
         _pieces(t, "access", ACCESS, t.contains("AKIA")),
         _pieces(t, "hex", r"[0-9a-f]{16,}", t.rlike(r"[0-9a-f]{16}")),
         _pieces(t, "wide", WIDE, t.rlike(WIDE)),
