@@ -24,9 +24,11 @@ from tessera.llm.shared import texts
 #: Hash buckets of features.
 BUCKETS = 1 << 20
 #: Labelled rows that the chain is fitted on at most (a hash of the id picks them); the bound of what the driver holds.
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
 #: Features a model keeps, and the least z-score for it.
 MAX_FEATURES, LEAST_Z = 4096, 3.0
+#: Rows that a feature must be in.
+LEAST_ROWS = 3
 FOLDS = 3
 #: Words that a worker remembers; beyond it starts anew.
 CACHE = 300_000
@@ -78,7 +80,7 @@ def _choose(at: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
     n0 = max(n - n1, 1)
     mean = (both + 1) / (n + 2)
     z = (pos / n1 - (both - pos) / n0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
-    z[both < 3] = 0
+    z[both < LEAST_ROWS] = 0
     top = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
     return np.sort(top[np.abs(z[top]) >= LEAST_Z])
 
@@ -192,9 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qualit
     if not got:
         none = Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(1), 0.5)
         return Chain(categories, [Linear(none.buckets, none.weights, np.concatenate([[-30.0], np.zeros(i)]), 0.5) for i in range(n_cat)])
-    at = [np.frombuffer(r["at"], np.int32) for r in got]
-    owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    return Chain(categories, fit_chain(np.concatenate(at), owner, np.array([r["y"] for r in got]), np.array([r["fold"] for r in got])))
+    y, fold = np.array([r["y"] for r in got]), np.array([r["fold"] for r in got])
+    parts = [np.frombuffer(r["at"], np.int32) for r in got]
+    del got
+    rare = sum((np.bincount(x, minlength=BUCKETS) for x in (np.concatenate(parts[i : i + 500]) for i in range(0, len(parts), 500))), np.zeros(BUCKETS, np.int64)) < LEAST_ROWS
+    parts = [x[~rare[x]] for x in parts]
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+    return Chain(categories, fit_chain(np.concatenate(parts), owner, y, fold))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
