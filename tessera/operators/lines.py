@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions.geometry import box, clamped, indent_level
 from tessera.functions.text import gutter_value, ocr_digits, paragraph_marker, without_marker
@@ -48,7 +49,7 @@ def grouped_lines(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFr
         y0, y1 = pdf["y0"].to_numpy(), pdf["y1"].to_numpy()
         return pdf.assign(line_ix=line_numbers((y0 + y1) / 2, pdf["x0"].to_numpy(), y1 - y0).astype("int32"))
 
-    return words.groupBy(*keys).applyInPandas(group, words.schema.add("line_ix", "int"))
+    return words.groupBy(*keys).applyInPandas(group, StructType([*words.schema, StructField("line_ix", IntegerType())]))
 
 
 def line_text(words: DataFrame, keys: Sequence[str], tabs: bool = False) -> DataFrame:
