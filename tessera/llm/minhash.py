@@ -4,12 +4,14 @@ Two permutations of a 32-bit universe make all coordinates of a signature: the
 first spreads the shingles, the second, shifted circularly by k, gives
 coordinate k. Bands of coordinates are the buckets of candidates.
 
-No bucket's pairs are all written out. Documents of equal shingle sets
-are one class. Each class is first compared with the smallest class it shares
-a bucket with; confirmed links give components. After that, only classes outside
-the component of their bucket's smallest class are compared with the other
-components there. A byte of each of 64 coordinates rules out hopeless pairs
-before whole shingle sets are fetched, which are then compared exactly.
+No bucket's pairs are all written out. Documents of equal shingle sets are one
+class. In a round, each bucket has one class as its centre, and the others are
+compared with it; a class starts with the centre it shares most buckets with.
+Confirmed links give components, and later rounds, with other centres, compare
+only across components. At last, each class outside the commonest component of
+its bucket is compared with all other components there, so that no link that
+the buckets hold is lost. Seven bits of each of 154 coordinates rule out hopeless
+pairs before whole shingle sets are fetched, which are then compared exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom
@@ -29,12 +31,17 @@ from tessera.llm.shared import forget, texts, written
 
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Bytes of the sketch, and how many must agree: at 0.8, 51 are expected with a deviation of 3.2.
-SKETCH, AGREE = 64, 26
+#: Integers of seven coordinates of the sketch, and how many coordinates must agree: at 0.8, 123 are expected with a deviation of 5.
+SKETCH, AGREE = 22, 100
+#: Rounds with one centre for each bucket.
+ROUNDS = 3
+#: Counters that say how common a shingle is (1 MB for each of 4 bytes a million); shingles share them by their hash.
+COUNTERS, COUNTING_TASKS = 1 << 20, 8
 #: Words that a worker remembers; beyond it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+_BYTES = np.int64(1) << (8 * np.arange(7, dtype=np.int64))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -109,11 +116,11 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 sig = signature(s, BANDS * ROWS)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(sig))
-                sketches.append((sig[:SKETCH] >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "bands", "sketch"])
+                sketches.append((sig[: SKETCH * 7] >> np.uint32(25)).astype(np.int64).reshape(SKETCH, 7) @ _BYTES)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, digest binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -131,18 +138,65 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return some.mapInArrow(run, f"doc_id {kind}, shingles binary").join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "shingles"])
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether enough coordinates of two sketches agree: a byte of the difference that is not 0 carries into its top bit."""
+    carry, top = (sum(x << 8 * i for i in range(7)) for x in (0x7F, 0x80))
+    differ = [F.bit_count((F.get(a, i).bitwiseXOR(F.get(b, i)) + F.lit(carry)).bitwiseAND(F.lit(top))) for i in range(SKETCH)]
+    return sum(differ[1:], differ[0]) <= 7 * SKETCH - AGREE
+
+
 def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches agree often enough."""
     a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                p, q = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array((p == q).sum(axis=1) >= AGREE))
 
-    return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
+def _with(sets: DataFrame | None, docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """sets and those of ids (column id) that it lacks."""
+    need = ids.distinct()
+    if sets is not None:
+        need = need.join(sets.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    need = written(need, "needed")
+    if sets is not None and not need.limit(1).count():
+        return sets
+    more = written(_sets(docs, need, size), "sets")
+    forget(need)
+    return more if sets is None else sets.unionByName(more)
+
+
+def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, shingle, place: of each set so many of the rarest ones that a similar set must have one of them."""
+    top = np.uint64(64 - COUNTERS.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(COUNTERS, np.uint32)
+        for b in batches:
+            for x in b.column(0):
+                at, n = np.unique((np.frombuffer(x.as_py(), np.uint64) >> top).astype(np.int64), return_counts=True)
+                own[at] += n.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["own"])
+
+    total = np.zeros(COUNTERS, np.uint64)
+    for r in sets.select("shingles").coalesce(COUNTING_TASKS).mapInArrow(count, "own binary").toLocalIterator():
+        total += np.frombuffer(r["own"], np.uint32)
+    sent = sets.sparkSession.sparkContext.broadcast(total.astype(np.uint32))
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out = []
+                for x in b.column(1):
+                    s = np.frombuffer(x.as_py(), np.uint64)
+                    least = -(-num * len(s) // den)
+                    out.append(s[np.lexsort((s, common[(s >> top).astype(np.int64)]))[: len(s) - least + 1]])
+                sizes = [len(x) for x in out]
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(out)), sizes))), pa.array(np.concatenate(out).view(np.int64)), pa.array(places)], ["a", "shingle", "place"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(rare, f"a {kind}, shingle long, place int")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -162,6 +216,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _repeated_ids(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the classes that the texts of one id are in."""
+    names = some.join(reps, "digest").select("doc_id", "id").distinct()
+    several = names.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("doc_id", "a")
+    return names.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+
+
 def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (it is the row's own).
 
@@ -179,32 +240,42 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     classes = written(classes, "representatives")
     sketches = classes.select("id", "sketch")
     buckets = classes.select("id", "n", F.explode("bands").alias("key"))
-    # The smallest class of each bucket that has several.
-    first = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("m")).where("m > 1").select("key", F.col("first.id").alias("b"), F.col("first.n").alias("nb"))
-    in_buckets = written(buckets.join(first, "key").select("key", F.col("id").alias("a"), "n", "b", "nb"), "buckets")
+    several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    rows = written(buckets.join(several, "key").select("key", F.col("id").alias("a"), "n", F.col("id").alias("label")), "buckets")
     close = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
-    pairs = in_buckets.where((F.col("a") != F.col("b")) & close(F.col("n"), F.col("nb"))).groupBy("a").agg(F.min("b").alias("b"))
-    pairs = written(_agreeing(pairs, sketches), "pairs")
-    sets = written(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), size), "sets")
-    edges = written(_linked(pairs, sets, num, den), "links")
-    same_id = some.join(reps, "digest").where("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    repeated = some.join(reps, "digest").where("doc_id = id").select(F.col("doc_id").alias("own")).distinct()
-    same_id = same_id.join(repeated, F.col("doc_id") == F.col("own"), "left")
-    more = same_id.where("a <> b").select("a", "b").union(same_id.where("own is not null").select("a", F.col("own").alias("b"))).union(same_id.where("own is not null").select("b", F.col("own").alias("b")))
-    edges = written(edges.union(more).distinct(), "links")
-    forget(pairs, sets)
+    edges, sets = written(_repeated_ids(some, reps), "links"), None
     label = components(edges)
-    # What stands in a bucket of another component's smallest class, against all other components there.
-    named = in_buckets.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
-    named = written(named.select("key", "a", "n", F.coalesce("la", "a").alias("label"), (F.coalesce("la", "a") != F.coalesce("lb", "b")).alias("apart")), "named")
-    apart = named.where("apart").select("key", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    rest = apart.join(named, "key").where((F.col("label") != F.col("lx")) & close(F.col("n"), F.col("nx")))
-    rest = rest.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
-    pairs = written(_agreeing(rest, sketches), "pairs")
-    if pairs.limit(1).count():
-        sets = written(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), size), "sets")
-        label = components(written(edges.union(_linked(pairs, sets, num, den)), "links"))
-    forget(pairs, in_buckets, named)
+    for r in range(ROUNDS + 1):
+        if r:
+            rows = rows.drop("label").join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+            mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+            rows = written(rows.join(mixed, "key"), "buckets")
+        if r < ROUNDS:
+            at = F.min(F.struct(F.xxhash64("a", F.lit(r)).alias("h"), "a", "n", "label"))
+            centre = rows.groupBy("key").agg(at.alias("c")).select("key", F.col("c.a").alias("b"), F.col("c.n").alias("nb"), F.col("c.label").alias("lb"))
+            pairs = rows.join(centre, "key").where((F.col("label") != F.col("lb")) & close(F.col("n"), F.col("nb"))).groupBy("a", "b").agg(F.count("*").alias("m"))
+            if not r:
+                pairs = pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+            pairs = _agreeing(pairs.select("a", "b"), sketches)
+        else:
+            common = rows.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("common"))
+            left = rows.join(common, "key").groupBy("a").agg(F.max(F.col("label") != F.col("common")).alias("apart"), F.first("n").alias("n"), F.first("label").alias("label"))
+            left = written(left.join(sketches, F.col("a") == F.col("id")).select("a", "n", "label", "apart", "sketch"), "left")
+            sets = _with(sets, docs, left.select(F.col("a").alias("id")), size)
+            own = sets.join(left.select("a"), F.col("doc_id") == F.col("a"), "left_semi")
+            by_shingle = written(_rarest(own, num, den), "rarest").join(left, "a")
+            apart = by_shingle.where("apart").select("shingle", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("sketch").alias("sx"), F.col("place").alias("px"))
+            once = ~F.col("apart") | (F.col("x") < F.col("a"))
+            common = F.ceil((F.col("n") + F.col("nx")) * F.lit(num) / F.lit(num + den) - 1e-9)  # shingles that a similar pair shares at least
+            ahead = (F.col("place") <= F.col("n") - common) & (F.col("px") <= F.col("nx") - common)
+            pairs = apart.join(by_shingle, "shingle").where(once & (F.col("label") != F.col("lx")) & ahead & _alike(F.col("sketch"), F.col("sx")))
+            pairs = pairs.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
+        sets = _with(sets, docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), size)
+        if pairs.limit(1).count():
+            edges = edges.unionByName(written(_linked(pairs, sets, num, den), "links"))
+            label = components(edges)
+        forget(pairs)
     out = signed.select("doc_id", "n", "digest").join(reps, "digest", "left").join(label, F.col("id") == F.col("node"), "left")
     component = F.coalesce("label", "id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

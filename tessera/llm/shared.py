@@ -46,8 +46,14 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB for what goes to Python, in place of Spark's 64: a task holds a few copies of one."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text: two columns whatever else df holds; a null text is empty."""
+    lean_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
