@@ -9,11 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tessera.plans import documents, relational
+from tessera.plans import documents, reading, relational
 
 SF = "/root/testdata/sf0.001"
-SQL = {**relational.SQL, **documents.SQL}
-QUERIES = {**relational.QUERIES, **documents.QUERIES}
+SQL = {**relational.SQL, **documents.SQL, **reading.SQL}
+QUERIES = {**relational.QUERIES, **documents.QUERIES, **reading.QUERIES}
 
 
 @pytest.fixture(scope="module")
