@@ -43,12 +43,11 @@ def kw_search_scoped(spark, sf_dir):
     return L.search(d, table(spark, sf_dir, "labels"), T.contains_text(F.col("text"), "tion"), "doc_id").select("doc_id", "source")
 
 
-@query("""SELECT o_orderkey, c_name, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) AS place
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 AND o_orderstatus <> 'F'""")
+@query("""SELECT o_orderkey, c_name, o_totalprice, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 AND o_orderstatus <> 'F' ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey""")
 def library_list(spark, sf_dir):
-    o = L.owned(table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", 7, "o_orderstatus", "F")
-    w = Window.orderBy("o_orderpriority", F.desc("o_orderdate"), "o_orderkey")  # one owner's library
-    return o.select("o_orderkey", "c_name", "o_totalprice", F.row_number().over(w).cast("long").alias("place"))
+    mine = L.owned(table(spark, sf_dir, "customer"), "c_nationkey", 7).select("c_custkey", "c_name")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").join(mine, F.col("o_custkey") == F.col("c_custkey"))
+    return o.orderBy("o_orderpriority", F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "c_name", "o_totalprice", "o_orderpriority")
 
 
 @query("""SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IS NOT DISTINCT FROM 2""")
@@ -78,13 +77,13 @@ NOW = "2024-01-15 00:00:00"
 @query(f"""WITH {_JOBS} SELECT job_id, 'running' AS status, attempt + 1 AS attempt, fence + 1 AS fence FROM jobs
 WHERE status = 'queued' OR (status = 'running' AND lease_until < TIMESTAMP '{NOW}') ORDER BY created_at, job_id LIMIT 1""")
 def claim_next(spark, sf_dir):
-    return L.next_claim(_jobs(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("job_id", "status", "attempt", "fence")
+    return L.next_claim(_jobs(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).select("job_id", "status", "attempt", "fence")
 
 
 @query(f"""WITH {_JOBS}, r AS (SELECT job_id, coalesce(status = 'running' AND lease_until < TIMESTAMP '{NOW}', false) AS late, status, lease_until FROM jobs)
 SELECT job_id, CASE WHEN late THEN 'queued' ELSE status END AS status, lease_until IS NOT NULL AND NOT late AS leased FROM r""")
 def reap_expired(spark, sf_dir):
-    return L.reaped(_jobs(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("job_id", "status", F.col("lease_until").isNotNull().alias("leased"))
+    return L.reaped(_jobs(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).select("job_id", "status", F.col("lease_until").isNotNull().alias("leased"))
 
 
 @query("""SELECT user_id, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS requests, CAST(count(*) FILTER (event_type = 'signup') AS BIGINT) AS scans,

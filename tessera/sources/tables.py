@@ -1,12 +1,9 @@
-"""Loaders. Timestamps without a zone become instants in UTC, once and here."""
+"""Loader of the provided tables. Timestamps have no zone and keep none, so that a session's zone changes nothing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.withColumns({f.name: F.to_utc_timestamp(F.col(f.name).cast("timestamp"), F.current_timezone()) for f in df.schema if isinstance(f.dataType, TimestampNTZType)}) if any(isinstance(f.dataType, TimestampNTZType) for f in df.schema) else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
