@@ -13,8 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ from tessera.llm.shared import texts
 
 #: Pre-tokens that a worker remembers; beyond it starts anew.
 CACHE = 400_000
+#: Texts that are encoded before their ids go out.
+ROWS_AT_ONCE = 256
 #: Byte b stands as the character of this code point plus b: no white space, and unchanged by the identity normaliser.
 FIRST = 0x100
 
@@ -129,24 +133,28 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
-            n, ids, a, b, same = [], [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                got = bpe.encode(text)
-                back = bpe.decode(got)
-                n.append(len(got) // 4)
-                a.append(hashlib.sha256(got).hexdigest())
-                b.append(hashlib.sha256(back).hexdigest())
-                same.append(back == text.encode())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                n, ids, a, b, same = [], [], [], [], []
+                for text in batch.column(1):
+                    text = text.as_py()
+                    got = bpe.encode(text)
+                    back = bpe.decode(got)
+                    n.append(len(got) // 4)
+                    a.append(hashlib.sha256(got).hexdigest())
+                    b.append(hashlib.sha256(back).hexdigest())
+                    same.append(back == text.encode())
+                    if keep_ids:
+                        ids.append(got)
+                cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
                 if keep_ids:
-                    ids.append(memoryview(got).cast("i").tolist())
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
-            if keep_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    ends = pa.py_buffer(array("i", [0, *accumulate(n)]))
+                    values = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(ids))])
+                    cols.append(pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(n) + 1, [None, ends]), values))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     docs = texts(df, id_col, text_col)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
