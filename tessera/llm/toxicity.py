@@ -19,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import texts
+from tessera.llm.shared import lean_batches, texts
 
 #: Hash buckets of features.
 BUCKETS = 1 << 20
 #: Labelled rows that the chain is fitted on at most (a hash of the id picks them); the bound of what the driver holds.
-MAX_ROWS = 10_000
+MAX_ROWS = 6_000
 #: Features a model keeps, and the least z-score for it.
 MAX_FEATURES, LEAST_Z = 4096, 3.0
 #: Rows that a feature must be in.
 LEAST_ROWS = 3
 FOLDS = 3
+#: Feature entries that the driver works on at once.
+STRETCH = 500_000
 #: Words that a worker remembers; beyond it starts anew.
 CACHE = 300_000
 
@@ -37,8 +39,8 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 
 def features(word: str) -> tuple[int, ...]:
-    """Buckets of a lower-case word: itself and its first 4 to 7 letters."""
-    parts = [f"w{word}", *(f"{n}{word[:n]}" for n in (4, 5, 6, 7) if len(word) >= n)]
+    """Buckets of a lower-case word: itself and its first 5 to 7 letters."""
+    parts = [f"w{word}", *(f"{n}{word[:n]}" for n in (5, 6, 7) if len(word) >= n)]
     return tuple({zlib.crc32(p.encode()) % BUCKETS for p in parts})
 
 
@@ -72,10 +74,20 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _sums(n: int, where, weight) -> np.ndarray:
+    """Sums of weight(i, j) by where(i, j), taken in stretches i to j, which keeps temporary arrays small."""
+    out, i = np.zeros(n), 0
+    while len(at := where(i, i + STRETCH)):
+        w = weight(i, i + STRETCH)
+        out += np.bincount(at, w, n)
+        i += STRETCH
+    return out
+
+
 def _choose(at: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Buckets whose document frequency differs most between the classes, by a two-proportion z-score."""
-    pos = np.bincount(at, y[owner], BUCKETS)
-    both = np.bincount(at, minlength=BUCKETS).astype(float)
+    pos = _sums(BUCKETS, lambda i, j: at[i:j], lambda i, j: y[owner[i:j]])
+    both = _sums(BUCKETS, lambda i, j: at[i:j], lambda i, j: None)
     n1, n = max(y.sum(), 1), max(len(y), 2)
     n0 = max(n - n1, 1)
     mean = (both + 1) / (n + 2)
@@ -89,8 +101,8 @@ def _fit(at: np.ndarray, owner: np.ndarray, y: np.ndarray, earlier: np.ndarray,
     """Logistic regression by full-batch Adagrad with an L2 penalty."""
     n = len(y)
     buckets = _choose(at, owner, y)
-    slot = np.full(BUCKETS, -1)
-    slot[buckets] = np.arange(len(buckets))
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[buckets] = np.arange(len(buckets), dtype=np.int32)
     use = slot[at] >= 0
     f, o = slot[at[use]], owner[use]
     x = np.hstack([np.ones((n, 1)), earlier])
@@ -112,7 +124,7 @@ def _fit(at: np.ndarray, owner: np.ndarray, y: np.ndarray, earlier: np.ndarray,
 def _text_part(m: Linear, at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     w = np.zeros(BUCKETS)
     w[m.buckets] = m.weights
-    return np.bincount(owner, w[at], n)
+    return _sums(n, lambda i, j: owner[i:j], lambda i, j: w[at[i:j]])
 
 
 def fit_chain(at: np.ndarray, owner: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
@@ -126,7 +138,7 @@ def fit_chain(at: np.ndarray, owner: np.ndarray, labels: np.ndarray, fold: np.nd
             out = fold == k
             if not out.any() or out.all():
                 continue
-            back = np.cumsum(~out) - 1
+            back = (np.cumsum(~out) - 1).astype(np.int32)
             use = ~out[owner]
             m = _fit(at[use], back[owner[use]], y[~out], earlier[~out])
             oof[out] = _sigmoid(m.margin(_text_part(m, at[~use], owner[~use], n)[out], earlier[out]))
@@ -210,6 +222,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     intercepts, and it is in no category. Row in, row out: repeated rows come
     out as often, a null doc_id stays null. No shuffle.
     """
+    lean_batches(docs.sparkSession)
     slots, names = chain.slots(), chain.categories
     cuts = np.array([m.cut for m in chain.models])
 
