@@ -7,10 +7,11 @@ is around the mean of the words it has so far; all else are joins and windows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -19,37 +20,60 @@ from tessera.functions.geometry import box, clamped, indent_level
 from tessera.functions.text import gutter_value, ocr_digits, paragraph_marker, without_marker
 
 PAGE = ["doc_id", "page_index"]
+# Fixed value: how far a word may be from its line's mean, as a part of the median height.
+RATIO = 0.6
 # Vertical zones, the centre strip and tolerances, as parts of the page.
 TOP_ZONE, ROW_TOLERANCE, HEADER_PAD, CONTENT_TOP, CONTENT_BOTTOM = 0.12, 0.01, 0.012, 0.06, 0.95
 GUTTER_HALF_WIDTH, GUTTER_SPREAD, LINES_PER_COLUMN = 0.07, 0.012, 65
 
 
-def line_numbers(cy: np.ndarray, x0: np.ndarray, heights: np.ndarray, ratio: float = 0.6) -> np.ndarray:
+def line_numbers(cy: np.ndarray, x0: np.ndarray, heights: np.ndarray, ratio: float = RATIO) -> np.ndarray:
     """The line of each word: a word further than ratio of the median height from the mean of the line so far starts a new one."""
-    if not len(cy):
-        return np.zeros(0, int)
     high = heights[heights > 0]
     reach = max((np.median(high) if len(high) else 0.01) * ratio, 1e-4)
-    out = np.zeros(len(cy), int)
-    line, total, n = -1, 0.0, 0
-    for i in np.lexsort((x0, cy)):
-        if n == 0 or abs(cy[i] - total / n) > reach:
-            line, total, n = line + 1, 0.0, 0
-        out[i] = line
-        total += cy[i]
-        n += 1
+    out, lines = np.zeros(len(cy), int), Lines()
+    order = np.lexsort((x0, cy))
+    out[order] = [lines.add(y, reach, i == 0) for i, y in enumerate(cy[order].tolist())]
     return out
 
 
-def grouped_lines(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFrame:
-    """words with line_ix from the top of each group of keys."""
+class Lines:
+    """Numbers words that come in reading order, page after page."""
+
+    def __init__(self) -> None:
+        self.line, self.total, self.n = 0, 0.0, 0
+
+    def add(self, cy: float, reach: float, new_page: bool) -> int:
+        if new_page:
+            self.line, self.total, self.n = 0, 0.0, 0
+        elif abs(cy - self.total / self.n) > reach:
+            self.line, self.total, self.n = self.line + 1, 0.0, 0
+        self.total += cy
+        self.n += 1
+        return self.line
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_ix")
-        y0, y1 = pdf["y0"].to_numpy(), pdf["y1"].to_numpy()
-        return pdf.assign(line_ix=line_numbers((y0 + y1) / 2, pdf["x0"].to_numpy(), y1 - y0).astype("int32"))
 
-    return words.groupBy(*keys).applyInPandas(group, StructType([*words.schema, StructField("line_ix", IntegerType())]))
+def grouped_lines(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFrame:
+    """words with line_ix from the top of each group of keys.
+
+    A window brings each page's words together in reading order; one pass over
+    a partition then numbers them, however small its pages are.
+    """
+    cy, height = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0")
+    page = Window.partitionBy(*keys)
+    reach = F.greatest(F.coalesce(F.median(F.when(height > 0, height)).over(page), F.lit(0.01)) * RATIO, F.lit(1e-4))
+    order = ["_cy", "x0", "word_ix"]
+    rows = words.withColumns({"_cy": cy, "_reach": reach}).withColumn("_first", F.row_number().over(page.orderBy(*order)) == 1)
+    rows = rows.sortWithinPartitions(*keys, *order)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = Lines()
+        for b in batches:
+            own = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_cy", "_reach", "_first")]
+            line = pa.array([lines.add(*x) for x in zip(*own)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(b.columns) - 3], line], [*b.schema.names[:-3], "line_ix"])
+
+    return rows.mapInArrow(number, StructType([*words.schema, StructField("line_ix", IntegerType())]))
 
 
 def line_text(words: DataFrame, keys: Sequence[str], tabs: bool = False) -> DataFrame:
