@@ -158,7 +158,8 @@ class Scorer:
         words = [_words(t.lower()) if t else [] for t in texts]
         self.learn(set().union(*words))
         for ws in words:
-            if not ws or not self.model.languages:
+            # A run may be of numerals that are no decimal digits, such as fractions.
+            if not self.model.languages or not (any(map(str.isalpha, ws)) or any(c.isalpha() for w in ws for c in w)):
                 langs.append("und")
                 scores.append(0.0)
                 continue

@@ -229,8 +229,8 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     Linked are rows with den * intersection >= num * union of their shingle
     sets. A null text or one without words is linked with nothing. Rows that
     share an id are one document, so their texts are linked. Repeated rows come
-    out as often. A null id is passed over as a component's name; a component
-    of null ids alone has a null name.
+    out as often. A null id is passed over as a component's name; a set that
+    only rows with null ids have is linked with nothing, and its name is null.
     """
     docs = texts(df, id_col, text_col)
     signed = written(_signed(docs, size), "signed")

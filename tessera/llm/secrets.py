@@ -41,7 +41,9 @@ def may_hold(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, repository, owner, kind, start, end, value of every candidate; start and end in code points, end exclusive.
+    """doc_id, row_key, repository, owner, kind, start, end, digest, mixed_up of every candidate; start and end in code points, end exclusive.
+
+    digest is the value's, which itself goes no further; mixed_up tells whether it looks random.
 
     docs: doc_id, text, repository, owner. The places come from what stands
     between the matches, summed by a window over one row's matches of a kind.
@@ -62,12 +64,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
     value = F.when(F.col("kind") == 0, F.regexp_extract("hit", ASSIGN, 2)).otherwise(F.col("hit"))
     long_enough = F.element_at(F.array(*[F.lit(n) for n in (*LEAST.values(), WIDE_LEAST)]), F.col("kind") + 1)
     mixed = (F.col("kind") < 3) | (F.col("hit").rlike("[0-9]") & F.col("hit").rlike("[A-Za-z]"))
-    return placed.withColumn("value", value).where((F.length("value") >= long_enough) & mixed).select("doc_id", "row_key", "repository", "owner", "kind", "start", "end", "value")
+    kept = placed.withColumn("value", value).where((F.length("value") >= long_enough) & mixed)
+    random = F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS
+    return kept.select("doc_id", "row_key", "repository", "owner", "kind", "start", "end", F.sha2("value", 256).alias("digest"), random.alias("mixed_up"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """digest, n_repositories, n_owners of every candidate value; counted over distinct pairs, so that no value's rows meet in one task."""
-    pairs = found.groupBy(F.sha2("value", 256).alias("digest"), "owner", "repository").count()
+    pairs = found.groupBy("digest", "owner", "repository").count()
     owners = pairs.groupBy("digest", "owner").agg(F.count("*").alias("r"))
     return owners.groupBy("digest").agg(F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
@@ -86,8 +90,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposito
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), as_col(repository).cast("string").alias("repository"), as_col(owner).cast("string").alias("owner"))
     found = written(occurrences(docs), "secrets")
     shared = ownership(found)
-    rated = found.withColumn("digest", F.sha2("value", 256)).join(shared, "digest")
-    live = (F.col("n_owners") == 1) & (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS)
+    rated = found.join(shared, "digest")
+    live = (F.col("n_owners") == 1) & F.col("mixed_up")
     spans = rated.select("doc_id", "row_key", F.struct(F.col("start").cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end"), (F.col("n_owners") >= EXAMPLE_OWNERS).alias("example"), live.alias("live")).alias("s"))
     # A wide token must not touch another span: their furthest end so far and nearest start from here on say so.
     w = Window.partitionBy("doc_id", "row_key").orderBy("s.start", "s.kind")

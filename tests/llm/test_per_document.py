@@ -84,8 +84,8 @@ def test_language_id(spark, odd, empty):
     assert right > 0.95
     rows = language_id.identify(odd, model).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
-    short = spark.createDataFrame([(1, None), (2, "123 !!"), (3, "")], "doc_id long, text string")
-    assert [r["lang_pred"] for r in language_id.identify(short, model).collect()] == ["und"] * 3
+    short = spark.createDataFrame([(1, None), (2, "123 !!"), (3, ""), (4, "½ ² ٣")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.identify(short, model).collect()] == ["und"] * 4
     none = language_id.fit(empty, PIECES, ~language_id.held_out())
     assert {r["lang_pred"] for r in language_id.identify(odd, none).collect()} == {"und"}
 
