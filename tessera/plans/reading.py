@@ -15,7 +15,9 @@ from tessera.operators import figures as FG
 from tessera.operators import library as L
 from tessera.operators import metrics as M
 from tessera.operators import navigation as N
+from tessera.operators import records as R
 from tessera.operators import view as V
+from tessera.plans.documents import _words
 from tessera.sources import html as H
 from tessera.sources.tables import table
 from tessera.streaming import jobs as J
@@ -192,8 +194,6 @@ def figure_sequence(spark, sf_dir):
 
 @query()
 def page_routing(spark, sf_dir):
-    from tessera.plans.documents import _words
-
     w = _words(spark, sf_dir).where("doc_id < 3000")
     native = w.where("doc_id % 2 = 0")
     pages, _ = A.routed_pages(w.select("doc_id", "page_index").distinct(), native, w.where("doc_id % 3 = 0"))
@@ -207,3 +207,45 @@ def callout_choice(spark, sf_dir):
     c = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.format_string("callout_%04d", "l_linenumber").alias("callout_id"), F.translate((F.col("l_partkey") % 40 + 100).cast("string"), "10", "IO").alias("value"), G.box(x, y, x + 0.04, y + 0.02).alias("box"), (F.col("l_suppkey") % 100).cast("double").alias("confidence"))
     ev = li.where("l_linenumber < 3").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 40 + 100).cast("string").alias("value")).distinct().withColumn("support", F.lit(1.0))
     return C.chosen(c, ev).select("doc_id", "callout_id", "value", "score", "method")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'point' WHEN 2 THEN 'area' WHEN 3 THEN 'points' ELSE 'opacity' END AS problem FROM events""")
+def annotation_check(spark, sf_dir):
+    i = F.col("event_id")
+    x = F.format_string("%.2f", (i % 90) / 100.0)
+    kind = F.when(i % 5 < 2, "note").when(i % 5 == 2, "highlight").when(i % 5 == 3, "drawing").otherwise("bookmark")
+    g = (
+        F.when(i % 5 == 0, F.concat(F.lit('{"x":'), x, F.lit(',"y":0.5}'))).when(i % 5 == 1, F.lit('{"x":true,"y":0.5}')).when(i % 5 == 2, F.concat(F.lit('{"x0":0.95,"y0":0.1,"y1":0.2,"x1":'), x, F.lit("}")))
+        .when(i % 5 == 3, F.lit('{"points":[[0.1,0.2]]}')).otherwise(F.lit('{"x":0.1,"y":0.5,"opacity":7}'))
+    )
+    return table(spark, sf_dir, "events").select("event_id", R.annotation_problem(kind, g).alias("problem"))
+
+
+@query("""WITH h AS (SELECT flag AS k, level, count(*) AS n FROM (SELECT l_returnflag AS flag, CAST(l_quantity * (1 + l_linenumber % 2 * 3) AS INTEGER) AS level FROM lineitem) GROUP BY 1, 2),
+w AS (SELECT *, sum(n) OVER c AS w0, sum(n * level) OVER c AS s0, sum(n) OVER (PARTITION BY k) AS wt, sum(n * level) OVER (PARTITION BY k) AS st FROM h WINDOW c AS (PARTITION BY k ORDER BY level ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT k, level, CAST(w0 AS DOUBLE) * CAST(wt - w0 AS DOUBLE) * power(CAST(s0 AS DOUBLE) / w0 - CAST(st - s0 AS DOUBLE) / (wt - w0), 2) AS v FROM w WHERE w0 > 0 AND wt > w0)
+SELECT k, level AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, level) AS r FROM v) WHERE r = 1""")
+def otsu_threshold(spark, sf_dir):
+    level = (F.col("l_quantity") * (1 + F.col("l_linenumber") % 2 * 3)).cast("int")
+    h = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("k"), level.alias("level")).agg(F.count("*").alias("n"))
+    return R.otsu(h, ["k"])
+
+
+@query("""WITH n AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_index, CAST(l_partkey AS VARCHAR) AS figure_id FROM lineitem WHERE l_quantity > 25), o AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_index, CAST(l_suppkey AS VARCHAR) AS figure_id FROM lineitem)
+SELECT *, 'native_text' AS method FROM n UNION ALL SELECT *, 'ocr' FROM o ANTI JOIN n USING (doc_id, page_index)""")
+def drawing_completion(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_index"), "l_partkey", "l_suppkey", "l_quantity")
+    native = li.where("l_quantity > 25").select("doc_id", "page_index", F.col("l_partkey").cast("string").alias("figure_id"), F.lit("x").alias("method"))
+    return R.completed_drawings(native, li.select("doc_id", "page_index", F.col("l_suppkey").cast("string").alias("figure_id"), F.lit("ocr").alias("method")))
+
+
+@query("""WITH d AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'US' || (1000000 + p_partkey) || 'B2' ELSE p_name END AS c, p_partkey FROM part) SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'US ' || format('{:,}', 1000000 + p_partkey) || ' B2' ELSE c END AS display FROM d""")
+def display_numbers(spark, sf_dir):
+    k = F.col("p_partkey")
+    c = F.when(k % 3 == 0, F.concat(F.lit("US"), k + 1000000, F.lit("B2"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.display_number(c).alias("display"))
+
+
+@query()
+def column_split(spark, sf_dir):
+    return R.column_boundary(_words(spark, sf_dir).where("doc_id < 3000"))
