@@ -36,9 +36,9 @@ class Shard:
     def search(self, own: int, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of all vectors that may be among the k best, floor being a score that k others reach already."""
         n, weight = len(self.ids), np.abs(q)
-        bound = weight * np.where(q > 0, self.top[0], self.top[1])
+        bound = weight.astype(float) * np.where(q > 0, self.top[0], self.top[1])  # as floats, a little up: sums of bounds may pass 64 bits
         order = np.argsort(bound, kind="stable")
-        left = np.cumsum(bound[order])  # of a term and all smaller ones
+        left = np.cumsum(bound[order]) * (1 + 1e-9) + 1  # of a term and all smaller ones
         if floor is None and n > 4 * k:  # some k vectors' scores are a floor to start with
             some = np.argsort(self.cols[order[-1]] * q[order[-1]], kind="stable")[-(k + 1):]
             some = some[self.ids[some] != own]
@@ -47,7 +47,7 @@ class Shard:
                 floor = int(np.sort(first)[-k])
         essential = len(order)
         if floor is not None:
-            essential = len(order) - int(np.searchsorted(left, floor, side="left"))  # smaller terms sum to less than the floor
+            essential = len(order) - int(np.searchsorted(left, float(floor), side="left"))  # smaller terms sum to less than the floor
         if floor is None or floor <= 0 or essential >= len(order):
             at = np.arange(n)
         else:

@@ -235,6 +235,9 @@ def test_maxscore(spark):
         got = maxscore.top_k(df, F.col("vec_id") % 100 == 0, query_slice=size)
         assert sorted(tuple(r) for r in got.collect()) == brute_top(rows)
     assert maxscore.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    big = [(i, [float(rnd.randint(-(1 << 16), 1 << 16)) for _ in range(300)]) for i in range(101)]
+    got = maxscore.top_k(spark.createDataFrame(big, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(big)
 
 
 def test_pipeline(spark):
