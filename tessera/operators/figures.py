@@ -268,3 +268,91 @@ def with_inferred(figures: DataFrame, sheets: DataFrame, expected: DataFrame) ->
 
     new = rows.mapInPandas(guess, f"doc_id {key}, figure_id string, page_index int, score double, method string")
     return figures.select("doc_id", "figure_id", F.col("page_index").cast("int").alias("page_index"), F.col("score").cast("double").alias("score"), "method").unionByName(new)
+
+
+#: Confidence up to which a label is doubtful if it names an expected figure, and if it does not.
+DOUBTFUL, IMPOSSIBLE = 65.0, 85.0
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _covered(raw: dict, kept: list[dict]) -> bool:
+    """Whether a kept label of the page stands on the same spot, or holds this one as a fragment of it."""
+    plain = lambda t: re.sub("[^0-9A-Z]", "", t.upper())
+    size = lambda b: max(0.0, b["x1"] - b["x0"]) * max(0.0, b["y1"] - b["y0"])
+    a, mine = raw["box"], plain(raw["figure_id"])
+    for k in kept:
+        b, theirs = k["box"], plain(k["figure_id"])
+        dx, dy = (a["x0"] + a["x1"] - b["x0"] - b["x1"]) / 2, (a["y0"] + a["y1"] - b["y0"] - b["y1"]) / 2
+        if (dx * dx + dy * dy) ** 0.5 <= 0.015:
+            return True
+        both = size({"x0": max(a["x0"], b["x0"]), "y0": max(a["y0"], b["y0"]), "x1": min(a["x1"], b["x1"]), "y1": min(a["y1"], b["y1"])})
+        least = min(size(a), size(b))
+        if least > 0 and both / least >= 0.8 and mine and theirs and (mine in theirs or theirs in mine):
+            return True
+    return False
+
+
+def recovered(raw: list[dict], kept: list[dict], expected: set[str]) -> list[tuple[dict, str]]:
+    """(raw label, figure id): doubtful labels that no kept one covers, read anew as figures missing between the sheets around.
+
+    raw and kept: figure_id, page_index, box, confidence. On each sheet the
+    pairs of least edit distance are taken first, each label and figure once; a
+    label too far from every missing id stays out.
+    """
+    lettered = {k[0] for e in expected if (k := key_of(e)) and k[1]}
+    want = {k for e in expected if (k := key_of(e)) and (k[1] or k[0] not in lettered)}
+    known = {(k, x["page_index"]) for x in kept if (k := key_of(x["figure_id"]))}
+    if not want or not known:
+        return []
+    out: list[tuple[dict, str]] = []
+    doubtful: dict[int, list[tuple[dict, list[str]]]] = {}
+    for x in raw:
+        forms = loose_ids(x["figure_id"]) or [re.sub(r"\s", "", x["figure_id"]).upper()]
+        limit = DOUBTFUL if any(key_of(f) in want for f in forms) else IMPOSSIBLE
+        if (x["confidence"] or 0.0) <= limit and not _covered(x, [k for k in kept if k["page_index"] == x["page_index"]]):
+            doubtful.setdefault(x["page_index"], []).append((x, forms))
+    for page in sorted(doubtful):
+        low = max((k for k, p in known if p < page), default=min(want))
+        high = min((k for k, p in known if p > page), default=max(want))
+        gone = sorted(k for k in want if low < k < high and all(k != q for q, _ in known))
+        here = sorted(k for k, p in known if p == page)
+        pairs = []
+        for i, (x, forms) in enumerate(doubtful[page]):
+            own, sides = key_of(x["figure_id"]), gone
+            if own and here and (own < here[0] or own > here[-1]):
+                sides = [k for k in gone if (k < here[0] if own < here[0] else k > here[-1])] or gone
+            pairs += [(min(_edits(f, id_of(k)) for f in forms), i, gone.index(k)) for k in sides]
+        labels, taken = set(), set()
+        for distance, i, j in sorted(pairs):
+            if i not in labels and j not in taken and distance <= max(3, len(id_of(gone[j])) // 2):
+                labels.add(i)
+                taken.add(j)
+                out.append((doubtful[page][i][0], id_of(gone[j])))
+                known.add((gone[j], page))
+    return out
+
+
+def with_recovered(raw: DataFrame, kept: DataFrame, expected: DataFrame) -> DataFrame:
+    """kept and the labels read anew (method `spec_sequence_corrected`, score 0.52); all with doc_id, figure_id, page_index, box, confidence, score, method."""
+    cols = ["figure_id", "page_index", "box", "confidence"]
+    group = lambda df, name, c: df.groupBy("doc_id").agg(F.collect_list(c).alias(name))
+    rows = group(raw, "r", F.struct(*cols)).join(group(kept, "k", F.struct(*cols)), "doc_id").join(group(expected.distinct(), "e", F.col("figure_id")), "doc_id")
+    schema = kept.select("doc_id", *cols, "score", "method").schema
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, r, k, e in zip(b["doc_id"], b["r"], b["k"], b["e"]):
+                for x, figure in recovered([dict(x) for x in r], [dict(x) for x in k], set(e)):
+                    out.append((doc, figure, x["page_index"], x["box"], x["confidence"], 0.52, "spec_sequence_corrected"))
+            yield pd.DataFrame(out, columns=["doc_id", *cols, "score", "method"])
+
+    return kept.select("doc_id", *cols, "score", "method").unionByName(rows.mapInPandas(read, schema))

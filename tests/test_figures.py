@@ -57,3 +57,26 @@ def test_documents(spark):
     e = spark.createDataFrame([("d", str(i)) for i in (1, 2, 3)], "doc_id string, figure_id string")
     got = {(r["figure_id"], r["page_index"]) for r in G.with_inferred(f, s, e).where("method = 'sequence_inferred'").collect()}
     assert got == {("2", 2)}
+
+
+def label(i, page, x=0.1, conf=40.0, y=0.1):
+    return {"figure_id": i, "page_index": page, "box": {"x0": x, "y0": y, "x1": x + 0.1, "y1": y + 0.03}, "confidence": conf}
+
+
+def test_doubtful_labels_are_read_anew():
+    kept = [label("10", 1, conf=95.0), label("12", 3, conf=95.0)]
+    want = {"10", "11", "12"}
+    assert [(x["figure_id"], i) for x, i in G.recovered([label("20", 2)], kept, want)] == [("20", "11")]
+    assert G.recovered([label("20", 2, conf=99.0)], kept, want) == []  # sure enough
+    assert G.recovered([label("1O", 1)], kept, want) == []  # the kept label's own spot
+    assert G.recovered([], kept, want) == [] and G.recovered([label("20", 2)], [], want) == []
+
+
+def test_recovered_tables(spark):
+    schema = "doc_id string, figure_id string, page_index int, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, score double, method string"
+    row = lambda i, p, c: ("d", i, p, (0.1, 0.1, 0.2, 0.13), c, 0.9, "spec_exact")
+    kept = spark.createDataFrame([row("10", 1, 95.0), row("12", 3, 95.0)], schema)
+    raw = kept.unionByName(spark.createDataFrame([row("20", 2, 40.0)], schema))
+    want = spark.createDataFrame([("d", i) for i in ("10", "11", "12")], "doc_id string, figure_id string")
+    got = G.with_recovered(raw, kept, want).where("method = 'spec_sequence_corrected'").collect()
+    assert [(r["figure_id"], r["page_index"], r["box"]["x0"], r["score"]) for r in got] == [("11", 2, 0.1, 0.52)]
