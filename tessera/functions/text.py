@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 OCR_LETTERS, OCR_DIGITS = "OolIiSsBZGg", "00111558266"
 # Kind codes.
 GRANT_KINDS, APPLICATION_KINDS, OTHER_KINDS = ["A", "B1", "B2"], ["A1", "A2", "A9"], ["S", "P", "P1", "P2", "P3", "E", "H"]
-# Headings of a specification's parts.
-SPECIFICATION_HEADING = "BACKGROUND|SUMMARY|BRIEF DESCRIPTION|DETAILED DESCRIPTION|DESCRIPTION OF|TECHNICAL FIELD|FIELD OF|CROSS[- ]REFERENCE|RELATED APPLICATION|CLAIM OF PRIORITY|CLAIMS|ABSTRACT"
+# How headings of a specification's parts begin, headings of one word, and how claims are introduced.
+SPECIFICATION_HEADING = (
+    r"(?i)^(?:field\s+of\s+the\s+invention|technical\s+field|background(?:\s+of\s+the\s+invention)?|summary(?:\s+of\s+the\s+invention)?|brief\s+description\s+of\s+the\s+drawings|description\s+of\s+the\s+drawings"
+    r"|detailed\s+description|description\s+of\s+(?:the\s+)?(?:preferred\s+)?embodiments?|cross-reference\s+to\s+related\s+applications?|related\s+(?:art|applications?)|objects?\s+of\s+the\s+invention|abstract)"
+)
+ONE_WORD_HEADINGS = ["ABSTRACT", "CLAIMS", "BACKGROUND", "SUMMARY", "DRAWINGS"]
+CLAIMS_START = r"(?i)^(?:claims?|what is claimed(?:\s+is)?|the invention claimed is|the invention is claimed as follows|the following is claimed|i claim|we claim)\b"
 
 
 def normalized(text: Column) -> Column:
@@ -153,45 +158,73 @@ def is_bold_font(name: Column) -> Column:
 
 
 def is_sheet_header(text: Column) -> Column:
-    return F.lower(text).rlike(r"sheet\s+[0-9]+\s+of\s+[0-9]+")
+    return F.lower(text).rlike(r"sheet\s+[0-9]+\s+(?:of|/)\s+[0-9]+")
+
+
+def _capitals(t: Column) -> Column:
+    return (F.upper(t) == t) & (F.length(F.regexp_replace(t, "[^A-Za-z]", "")) >= 3)
 
 
 def is_heading(text: Column) -> Column:
-    """A line in capitals of 3 to 90 characters with a letter and no digit at its end."""
+    """A line in capitals of two to eight words, or one of the known single words."""
+    t = F.trim(text)
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return _capitals(t) & t.rlike(r"^[A-Z][A-Z0-9 ,.'()\-/&]{3,58}$") & F.when(words >= 2, words <= 8).otherwise(t.isin(ONE_WORD_HEADINGS))
+
+
+def is_heading_part(text: Column) -> Column:
+    """A line in capitals that may be part of a heading over several lines."""
     t = F.trim(text)
-    return (F.length(t).between(3, 90)) & (F.upper(t) == t) & t.rlike("[A-Z]{3}") & ~t.rlike("[0-9]$")
+    return _capitals(t) & t.rlike(r"^[A-Z][A-Z0-9 ,.'()\-/&]{2,80}$")
 
 
 def claim_candidate(text: Column) -> Column:
-    """The number that starts a claim (`12. A device`), not a decimal; else null."""
-    return F.nullif(F.regexp_extract(text, r"^\s*([0-9]{1,3})\s*[.)]\s*(?:[^0-9\s]|$)", 1), F.lit("")).cast("int")
+    """The number that starts a claim (`12. A device`, `12.A device` or `12.` alone), not a decimal; else null."""
+    return F.nullif(F.regexp_extract(F.trim(text), r"^([0-9]{1,3})\s*\.(?:\s+|$|(?=[A-Za-z(]))", 1), F.lit("")).cast("int")
 
 
 def short_name(display: Column) -> Column:
-    """The last three digits of the longest run of digits, as in ’427 patent; the first of equally long runs."""
-    runs = F.transform(F.regexp_extract_all(F.replace(display, F.lit(","), F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
-    best = F.try_element_at(F.sort_array(runs), F.lit(1))["x"]
-    return F.when(best.isNotNull(), F.concat(F.lit("’"), F.right(best, F.lit(3)), F.lit(" patent")))
+    """The last three digits of the longest number, as in ’427 patent; the first of equally long ones. Without three digits, the text itself."""
+    runs = F.transform(F.regexp_extract_all(display, F.lit("[0-9][0-9,./-]*"), F.lit(0)), lambda x: F.regexp_replace(x, "[^0-9]", ""))
+    best = F.try_element_at(F.array_sort(F.transform(runs, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), F.lit(1))["x"]
+    return F.when(F.length(best) >= 3, F.concat(F.lit("’"), F.right(best, F.lit(3)), F.lit(" patent"))).otherwise(display)
+
 
+# Presets of a citation: (with the short name, colon form, word for column, for line, for lines, for a paragraph, for paragraphs).
+CITATIONS = {
+    "column-line": (True, True, "col.", "l.", "ll.", "¶", "¶¶"),
+    "standard": (True, False, "col.", "l.", "ll.", "¶", "¶¶"),
+    "verbose": (True, False, "column", "line", "lines", "paragraph", "paragraphs"),
+    "compact": (False, True, "c.", "l.", "ll.", "para.", "para.s"),
+}
 
-def citation(first_column: Column, first_line: Column, last_column: Column, last_line: Column, preset: str = "long") -> Column:
-    """Where a passage stands, by preset: long, short, colon or bluebook."""
-    one = (first_column == last_column) & (first_line == last_line)
+
+def citation(first_column: Column, first_line: Column, last_column: Column, last_line: Column, preset: str = "column-line") -> Column:
+    """Where a passage of a grant stands."""
+    _, colon, col, line, lines, *_ = CITATIONS[preset]
     same = first_column == last_column
+    one = same & (first_line == last_line)
     a, b, c, d = (x.cast("string") for x in (first_column, first_line, last_column, last_line))
-    if preset == "colon":
+    if colon:
         return F.when(one, F.concat(a, F.lit(":"), b)).when(same, F.concat(a, F.lit(":"), b, F.lit("-"), d)).otherwise(F.concat(a, F.lit(":"), b, F.lit("-"), c, F.lit(":"), d))
-    col, line, lines, to = {"long": ("column ", ", line ", ", lines ", " to column "), "short": ("col. ", ", l. ", ", ll. ", " to col. "), "bluebook": ("col. ", " l. ", " ll. ", "–col. ")}[preset]
-    return (
-        F.when(one, F.concat(F.lit(col), a, F.lit(line), b))
-        .when(same, F.concat(F.lit(col), a, F.lit(lines), b, F.lit("-"), d))
-        .otherwise(F.concat(F.lit(col), a, F.lit(line), b, F.lit(to), c, F.lit(line), d))
-    )
+    at = lambda x, w, y: F.concat(F.lit(f"{col} "), x, F.lit(f", {w} "), y)
+    return F.when(one, at(a, line, b)).when(same, F.concat(at(a, lines, b), F.lit("–"), d)).otherwise(F.concat(at(a, line, b), F.lit(" – "), at(c, line, d)))
+
+
+def paragraph_citation(first: Column, last: Column, preset: str = "column-line") -> Column:
+    """Where a passage of an application stands: `¶ [0012]`, `¶¶ [0012]–[0014]`."""
+    *_, one, many = CITATIONS[preset]
+    return F.when(first == last, F.concat(F.lit(f"{one} ["), first, F.lit("]"))).otherwise(F.concat(F.lit(f"{many} ["), first, F.lit("]–["), last, F.lit("]")))
+
+
+def full_citation(ref: Column, number: Column, preset: str = "column-line") -> Column:
+    """The reference after the short name, if the preset has one and there is a number."""
+    return F.when((ref != "") & F.lit(CITATIONS[preset][0]) & F.coalesce(number != "", F.lit(False)), F.concat_ws(" ", short_name(number), ref)).otherwise(ref)
 
 
 def safe_name(text: Column, fallback: Column) -> Column:
     """A file name: runs of other characters than letters, digits, dot and dash become one underscore."""
-    s = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9.-]+", "_"), "^_+|_+$", "")
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9_.-]+", "_"), "^_+|_+$", "")
     return F.coalesce(F.nullif(s, F.lit("")), fallback)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,7 +16,7 @@ from tessera.operators.lines import grouped_lines
 PAGE = ["doc_id", "page_index"]
 # The form of a numeral, the characters trimmed off it, and the score parts and limits.
 NUMERAL = r"^[0-9]{2,4}[A-Z]?$"
-TRIM = ".,;:()[]{}\"'"
+TRIM = ".,;:()[]{}"
 SUPPORTED, ALONE = 0.34, 0.70
 
 
@@ -142,29 +141,76 @@ def _iou(a, b) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def merged_words(words: DataFrame, keys: Sequence[str] = tuple(PAGE), part: float = 0.6) -> DataFrame:
-    """Words of several readings of a page, each place once: the longer of overlapping ones of like letters, then the surer."""
+def _near(a, b) -> bool:
+    return _iou(a, b) >= 0.25 or ((a["x0"] + a["x1"] - b["x0"] - b["x1"]) ** 2 + (a["y0"] + a["y1"] - b["y0"] - b["y1"]) ** 2) ** 0.5 / 2 <= 0.008
+
+
+def _within(a, b) -> float:
+    """The overlap as a part of the smaller box."""
+    w, h = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+    least = min((x["x1"] - x["x0"]) * (x["y1"] - x["y0"]) for x in (a, b))
+    return max(w, 0.0) * max(h, 0.0) / least if least > 0 else 0.0
+
+
+def _letters(text: str) -> str:
+    return text.strip().casefold()
+
+
+def _sure(confidence) -> float:
+    return 0.0 if pd.isna(confidence) else float(confidence)
+
+
+def merged_words(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFrame:
+    """Words of several readings of a page, each place once.
+
+    Equal words on one spot are one, as are two of which one holds the other and
+    ends where it ends; the one with more letters and digits stays, then the wider, then the surer.
+    """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        letters = lambda t: re.sub("[^a-z0-9]", "", t.lower())
+        rank = lambda w: (sum(c.isalnum() for c in w["text"]), max(0.0, w["x1"] - w["x0"]), _sure(w["confidence"]))
+        rows = pdf.to_dict("records")
+        cy = lambda w: (w["y0"] + w["y1"]) / 2
         kept: list[int] = []
-        for i in pdf.sort_values(["confidence", "word_ix"], ascending=[False, True]).index:
-            a = pdf.loc[i]
+        for i in sorted(range(len(rows)), key=lambda i: (-_sure(rows[i]["confidence"]), cy(rows[i]), rows[i]["x0"], rows[i]["word_ix"])):
+            w = rows[i]
             for n, j in enumerate(kept):
-                b = pdf.loc[j]
-                small = min((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))
-                inter = max(0.0, min(a.x1, b.x1) - max(a.x0, b.x0)) * max(0.0, min(a.y1, b.y1) - max(a.y0, b.y0))
-                if small > 0 and inter / small >= part:
-                    if letters(b.text) in letters(a.text) and len(letters(a.text)) > len(letters(b.text)):
+                k = rows[j]
+                same = _letters(k["text"]) == _letters(w["text"]) and _near(k, w)
+                if same or (abs(cy(k) - cy(w)) <= 0.008 and _within(k, w) >= 0.82 and abs(k["x1"] - w["x1"]) <= 0.008):
+                    if rank(w) > rank(k):
                         kept[n] = i
                     break
             else:
                 kept.append(i)
-        return pdf.loc[kept]
+        return pdf.iloc[kept]
 
     return words.groupBy(*keys).applyInPandas(merge, words.schema)
 
 
+def fused_words(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFrame:
+    """Equal words on one spot as the surest of them, two points surer for each further reading, eight at most."""
+
+    def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: list[list[dict]] = []
+        for w in pdf.sort_values("word_ix").to_dict("records"):
+            for g in groups:
+                if _letters(g[0]["text"]) == _letters(w["text"]) and _near(g[0], w):
+                    g.append(w)
+                    break
+            else:
+                groups.append([w])
+        out = []
+        for g in groups:
+            best = dict(max(g, key=lambda w: _sure(w["confidence"])))
+            if len(g) > 1 and not pd.isna(best["confidence"]):
+                best["confidence"] = min(100.0, best["confidence"] + min(8.0, 2.0 * (len(g) - 1)))
+            out.append(best)
+        return pd.DataFrame(out, columns=pdf.columns)
+
+    return words.groupBy(*keys).applyInPandas(fuse, words.schema)
+
+
 def strongest_figures(occurrences: DataFrame, expected: DataFrame) -> DataFrame:
     """Per page and figure the best-scored label; on pages with three or more ids that the text lacks, those go.
 

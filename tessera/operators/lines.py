@@ -23,7 +23,7 @@ PAGE = ["doc_id", "page_index"]
 # Fixed value: how far a word may be from its line's mean, as a part of the median height.
 RATIO = 0.6
 # Vertical zones, the centre strip and tolerances, as parts of the page.
-TOP_ZONE, ROW_TOLERANCE, HEADER_PAD, CONTENT_TOP, CONTENT_BOTTOM = 0.12, 0.01, 0.012, 0.06, 0.95
+TOP_ZONE, ROW_TOLERANCE, HEADER_PAD, CONTENT_TOP, CONTENT_BOTTOM = 0.14, 0.01, 0.012, 0.06, 0.95
 GUTTER_HALF_WIDTH, GUTTER_SPREAD, LINES_PER_COLUMN = 0.07, 0.012, 65
 
 

@@ -117,12 +117,12 @@ def recommended(points: DataFrame) -> DataFrame:
 
 
 def ocr_quality(words: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per page: words, mean confidence (each 0 to 100), part of low ones (< 60), useful characters."""
+    """Per page: words, mean confidence (each 0 to 100), part of low ones (< 50), useful characters."""
     c = F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(100.0))
     n = F.count("confidence")
     return words.groupBy(*keys).agg(
-        n.alias("n_words"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.count_if(c < 60) / F.nullif(n, F.lit(0)), F.lit(1.0)).alias("low"),
-        F.coalesce(F.sum(F.length(F.regexp_replace("text", "[^A-Za-z0-9]", ""))), F.lit(0)).alias("useful"),
+        F.count("*").alias("n_words"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.count_if(c < 50) / F.nullif(n, F.lit(0)), F.lit(1.0)).alias("low"),
+        F.coalesce(F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))), F.lit(0)).alias("useful"),
     )
 
 

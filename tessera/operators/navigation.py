@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPECIFICATION_HEADING, claim_candidate, parse_ref
+from tessera.functions.text import CLAIMS_START, SPECIFICATION_HEADING, claim_candidate, is_heading, is_heading_part, parse_ref
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column, name: str = "island") -> DataFrame:
@@ -16,18 +16,22 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Co
     return df.withColumn("_b", F.when(breaks, 1).otherwise(0)).withColumn(name, F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_b")
 
 
-def outline(lines: DataFrame, heading: Column, keys: Sequence[str] = ("doc_id",), order: str = "ordinal", most: int = 3) -> DataFrame:
-    """keys, first, title: adjacent heading lines joined by up to three. Kept are specification headings, and what follows the first of them."""
+def outline(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "ordinal", place: Sequence[str] = (), most: int = 3) -> DataFrame:
+    """keys, first, title: lines in capitals that follow each other in one place (page, column), joined by up to three.
+
+    Kept are headings of a specification's parts, and other headings after the first of them.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    heads = lines.where(heading)
-    runs = islands(heads, keys, [order], F.coalesce(F.col(order) != F.lag(order).over(w) + 1, F.lit(True)))
+    apart = F.coalesce(F.col(order) != F.lag(order).over(w) + 1, F.lit(True))
+    for p in place:
+        apart = apart | ~F.col(p).eqNullSafe(F.lag(p).over(w))
+    runs = islands(lines.where(is_heading_part(F.col("text"))), keys, [order], apart)
     at = F.row_number().over(Window.partitionBy(*keys, "island").orderBy(order)) - 1
-    chunks = runs.withColumn("chunk", F.floor(at / most))
     part = F.struct(order, F.trim("text").alias("t"))
-    joined = chunks.groupBy(*keys, "island", "chunk").agg(F.min(order).alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), " ").alias("title"))
+    joined = runs.withColumn("chunk", F.floor(at / most)).groupBy(*keys, "island", "chunk").agg(F.min(order).alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), " ").alias("title"))
     main = F.col("title").rlike(SPECIFICATION_HEADING)
-    so_far = F.max(main).over(Window.partitionBy(*keys).orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return joined.withColumn("_k", so_far).where("_k").select(*keys, "first", "title")
+    begun = F.max(main).over(Window.partitionBy(*keys).orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return joined.withColumns({"_m": main, "_b": begun}).where(F.col("_m") | (F.col("_b") & is_heading(F.col("title")))).select(*keys, "first", "title")
 
 
 def backward_claims(rows: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "ordinal", number: str = "number") -> DataFrame:
@@ -69,27 +73,34 @@ def claims_start(lines: DataFrame, keys: Sequence[str] = ("doc_id",), order: str
     """The first line that says what is claimed, on one line or over two."""
     w = Window.partitionBy(*keys).orderBy(order)
     both = F.concat_ws(" ", F.trim("text"), F.trim(F.lead("text").over(w)))
-    phrase = r"(?i)(what is claimed|we claim|i claim|the invention claimed is|claimed is)"
-    hit = F.col("text").rlike(phrase) | (both.rlike(phrase) & ~F.coalesce(F.lead("text").over(w).rlike(phrase), F.lit(False)))
+    hit = F.trim("text").rlike(CLAIMS_START) | both.rlike(CLAIMS_START)
     return lines.withColumn("_h", hit).where("_h").groupBy(*keys).agg(F.min(order).alias("claims_start"))
 
 
-def indent_levels(entries: DataFrame, keys: Sequence[str], unit: float = 0.016) -> DataFrame:
-    """indent: half-up number of units from the fifth-lowest part of the left edges of a page's column, 0 below 0.55 of one, 6 at most."""
-    base = F.expr("percentile_disc(0.2) within group (order by left)")
-    low = entries.groupBy(*keys).agg(base.alias("_base"))
-    off = F.col("left") - F.col("_base")
-    return entries.join(low, list(keys)).withColumn("indent", F.when(off < 0.55 * unit, 0).otherwise(F.least(F.lit(6), F.greatest(F.lit(1), F.floor(off / unit + 0.5).cast("int"))))).drop("_base")
+def indent_levels(entries: DataFrame, keys: Sequence[str], unit: float = 0.012, least: float = 0.006) -> DataFrame:
+    """indent: half-up number of units (1 to 6) from the fifth-lowest part of the left edges of a page's column, 0 nearer than least."""
+    low = entries.groupBy(*keys).agg(F.expr("percentile_disc(0.2) within group (order by left)").alias("_base"))
+    off = F.greatest(F.col("left") - F.col("_base"), F.lit(0.0))
+    return entries.join(low, list(keys)).withColumn("indent", F.when(off < least, 0).otherwise(F.least(F.lit(6), F.greatest(F.lit(1), F.floor(off / unit + 0.5).cast("int"))))).drop("_base")
 
 
 def paragraph_starts(entries: DataFrame, keys: Sequence[str], order: str = "ordinal") -> DataFrame:
-    """starts: by gap, at least 1.6 of the upper median gap of the column, or by indent."""
+    """starts: entries flagged as starts (paragraph_start) whose source says so (paragraph_source), or that an indent or a gap of at
+    least 1.6 of the upper median gap of the column bears out."""
     w = Window.partitionBy(*keys).orderBy(order)
     rows = entries.withColumn("_gap", F.col("y") - F.lag("y").over(w))
     gaps = F.array_sort(F.collect_list(F.when(F.col("_gap") > 0, F.col("_gap"))))
     typical = rows.groupBy(*keys).agg(gaps.alias("_g")).select(*keys, F.get("_g", F.floor(F.size("_g") / 2).cast("int")).alias("_t"))
     out = rows.join(typical, list(keys), "left")
-    return out.withColumn("starts", (F.col("indent") > 0) | F.coalesce(F.col("_gap") >= F.greatest(F.lit(0.018), 1.6 * F.col("_t")), F.lit(False))).drop("_gap", "_t")
+    wide = F.coalesce(F.col("_gap") >= F.greatest(F.lit(0.018), 1.6 * F.col("_t")), F.lit(False))
+    return out.withColumn("starts", F.coalesce("paragraph_start", F.lit(False)) & (F.col("paragraph_source").isNotNull() | (F.col("indent") > 0) | wide)).drop("_gap", "_t")
+
+
+def application_starts(entries: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "ordinal") -> DataFrame:
+    """starts: entries flagged as starts, or of another paragraph than the one before."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    changed = F.coalesce(F.col("paragraph") != "", F.lit(False)) & ~F.col("paragraph").eqNullSafe(F.lag("paragraph").over(w))
+    return entries.withColumn("starts", F.coalesce("paragraph_start", F.lit(False)) | changed)
 
 
 def find_ref(entries: DataFrame, ref: str) -> DataFrame:

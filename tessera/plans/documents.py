@@ -131,13 +131,13 @@ def identity_verdict(spark, sf_dir):
     return b.select("item_id", status.alias("status"))
 
 
-@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, unnest(string_split(text, chr(10))) AS text FROM documents), h AS (SELECT *, ordinal - lag(ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal) AS step FROM l WHERE length(trim(text)) BETWEEN 3 AND 90 AND upper(trim(text)) = trim(text) AND regexp_matches(text, '[A-Z]{3}') AND NOT regexp_matches(trim(text), '[0-9]$')),
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, unnest(string_split(text, chr(10))) AS text FROM documents), h AS (SELECT *, ordinal - lag(ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal) AS step FROM l WHERE upper(trim(text)) = trim(text) AND length(regexp_replace(trim(text), '[^A-Za-z]', '', 'g')) >= 3 AND regexp_matches(trim(text), '^[A-Z][A-Z0-9 ,.''()\\-/&]{2,80}$')),
 i AS (SELECT *, sum(CASE WHEN step = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS island FROM h), c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY ordinal) - 1) // 3 AS chunk FROM i)
 SELECT doc_id, min(ordinal) AS first, string_agg(trim(text), ' ' ORDER BY ordinal) AS title FROM c GROUP BY doc_id, island, chunk""")
 def outline_islands(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
     w = Window.partitionBy("doc_id").orderBy("ordinal")
-    heads = lines.where(T.is_heading(F.col("text")))
+    heads = lines.where(T.is_heading_part(F.col("text")))
     runs = N.islands(heads, ["doc_id"], ["ordinal"], F.coalesce(F.col("ordinal") != F.lag("ordinal").over(w) + 1, F.lit(True)))
     chunk = F.floor((F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("ordinal")) - 1) / 3)
     part = F.struct("ordinal", F.trim("text").alias("t"))
@@ -161,12 +161,12 @@ def claims_forward(spark, sf_dir):
 
 
 @query(f"""WITH {LI}, l AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, CAST(l_quantity AS INTEGER) AS b, l_linenumber + CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS c, CAST(l_quantity AS INTEGER) + CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE 4 END AS d FROM li)
-SELECT l_orderkey, l_linenumber, CASE WHEN a = c AND b = d THEN 'column ' || a || ', line ' || b WHEN a = c THEN 'column ' || a || ', lines ' || b || '-' || d ELSE 'column ' || a || ', line ' || b || ' to column ' || c || ', line ' || d END AS long,
+SELECT l_orderkey, l_linenumber, CASE WHEN a = c AND b = d THEN 'column ' || a || ', line ' || b WHEN a = c THEN 'column ' || a || ', lines ' || b || '–' || d ELSE 'column ' || a || ', line ' || b || ' – column ' || c || ', line ' || d END AS long,
 CASE WHEN a = c AND b = d THEN a || ':' || b WHEN a = c THEN a || ':' || b || '-' || d ELSE a || ':' || b || '-' || c || ':' || d END AS colon FROM l""")
 def citation_format(spark, sf_dir):
     q = F.col("l_quantity").cast("int")
     ends = (F.col("l_linenumber"), q, F.col("l_linenumber") + F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0), q + F.when(F.col("l_suppkey") % 2 == 0, 0).otherwise(4))
-    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", T.citation(*ends).alias("long"), T.citation(*ends, preset="colon").alias("colon"))
+    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", T.citation(*ends, preset="verbose").alias("long"), T.citation(*ends).alias("colon"))
 
 
 @query("""SELECT conv_id AS doc_id, string_agg((turn + 1) || ':' || length(text) || chr(9) || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")

@@ -79,7 +79,7 @@ def quality_counters(spark, sf_dir):
 
 
 @query(f"""WITH {LI}, r AS (SELECT l_orderkey, l_linenumber, l_quantity / 250 AS x FROM li), b AS (SELECT l_orderkey, quantile_disc(x, 0.2) AS base FROM r GROUP BY 1)
-SELECT l_orderkey, l_linenumber, CAST(CASE WHEN x - base < 0.55 * 0.016 THEN 0 ELSE least(6, greatest(1, floor((x - base) / 0.016 + 0.5))) END AS INTEGER) AS indent FROM r JOIN b USING (l_orderkey)""")
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN greatest(x - base, 0) < 0.006 THEN 0 ELSE least(6, greatest(1, floor(greatest(x - base, 0) / 0.012 + 0.5))) END AS INTEGER) AS indent FROM r JOIN b USING (l_orderkey)""")
 def indent_levels(spark, sf_dir):
     e = _items(spark, sf_dir).select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 250).alias("left"))
     return N.indent_levels(e, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "indent")
@@ -87,9 +87,9 @@ def indent_levels(spark, sf_dir):
 
 @query(f"""WITH {LI}, r AS (SELECT l_orderkey, l_linenumber, l_linenumber * 0.5 + (l_suppkey % 3) * 0.25 AS y, CAST(l_partkey % 4 = 0 AS INTEGER) AS indent FROM li), g AS (SELECT *, y - lag(y) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS gap FROM r),
 t AS (SELECT l_orderkey, list_sort(list(gap) FILTER (gap > 0)) AS gs FROM g GROUP BY 1), u AS (SELECT l_orderkey, gs[len(gs) // 2 + 1] AS typical FROM t)
-SELECT l_orderkey, l_linenumber, indent > 0 OR coalesce(gap >= greatest(0.018, 1.6 * typical), false) AS starts FROM g LEFT JOIN u USING (l_orderkey)""")
+SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AND (l_linenumber % 3 = 0 OR indent > 0 OR coalesce(gap >= greatest(0.018, 1.6 * typical), false)) AS starts FROM g LEFT JOIN u USING (l_orderkey)""")
 def paragraph_starts(spark, sf_dir):
-    e = _items(spark, sf_dir).select("l_orderkey", F.col("l_linenumber").alias("ordinal"), (F.col("l_linenumber") * 0.5 + (F.col("l_suppkey") % 3) * 0.25).alias("y"), (F.col("l_partkey") % 4 == 0).cast("int").alias("indent"))
+    e = _items(spark, sf_dir).select("l_orderkey", F.col("l_linenumber").alias("ordinal"), (F.col("l_linenumber") * 0.5 + (F.col("l_suppkey") % 3) * 0.25).alias("y"), (F.col("l_partkey") % 4 == 0).cast("int").alias("indent"), (F.col("l_linenumber") % 2 == 0).alias("paragraph_start"), F.when(F.col("l_linenumber") % 3 == 0, "layout").alias("paragraph_source"))
     return N.paragraph_starts(e, ["l_orderkey"]).select("l_orderkey", F.col("ordinal").alias("l_linenumber"), "starts")
 
 
@@ -117,7 +117,7 @@ def deep_links(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", link.alias("link"), T.parse_deep_link(link).alias("p")).select("o_orderkey", "link", "p.doc", "p.first")
 
 
-@query("""SELECT p_partkey, '’' || right(CAST(p_partkey + 7000000 AS VARCHAR), 3) || ' patent' AS short, CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE regexp_replace(p_name, '[^A-Za-z0-9.-]+', '_', 'g') END AS file FROM part""")
+@query("""SELECT p_partkey, '’' || right(CAST(p_partkey + 7000000 AS VARCHAR), 3) || ' patent' AS short, CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE regexp_replace(p_name, '[^A-Za-z0-9_.-]+', '_', 'g') END AS file FROM part""")
 def names_and_files(spark, sf_dir):
     k = F.col("p_partkey")
     shown = F.concat(F.lit("US "), F.format_number(k + 7000000, 0), F.lit(" B2"))

@@ -48,7 +48,7 @@ def test_loose_ids():
 def test_detection(spark):
     rows = [word(0, 0, "FIG.", 0.4, 0.45, 0.8), word(0, 1, "3A", 0.46, 0.5, 0.8), word(0, 2, "104", 0.2, 0.24, 0.5), word(1, 0, "F1G.", 0.4, 0.45, 0.8, conf=50.0), word(1, 1, "l4", 0.46, 0.5, 0.8, conf=50.0)]
     got = {(r["page_index"], r["figure_id"], r["method"]) for r in G.detected(spark.createDataFrame(rows, WORDS)).collect()}
-    assert got == {(0, "3A", "native_text"), (1, "14", "sparse_ocr_confusable")}
+    assert got == {(0, "3A", "native_text"), (1, "14", "fuzzy_prefix")}
 
 
 def test_documents(spark):

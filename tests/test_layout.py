@@ -81,3 +81,10 @@ def test_greedy_matches(spark):
 def test_sequence():
     assert C.sequence([(1, (1, 0), 0.9), (2, (9, 0), 0.9), (3, (2, 0), 0.9), (4, (3, 0), 0.9)]) == {(1, (1, 0)), (3, (2, 0)), (4, (3, 0))}
     assert C.sequence([]) == set()
+
+
+def test_readings_of_one_place(spark):
+    rows = [word(0, 0, "terface", 0.22, 0.30, 0.5, conf=90.0), word(0, 1, "interface", 0.20, 0.30, 0.5, conf=80.0), word(0, 2, "104", 0.5, 0.54, 0.5, conf=50.0), word(0, 3, "104", 0.501, 0.541, 0.5, conf=60.0)]
+    df = spark.createDataFrame(rows, WORDS)
+    assert sorted(r["text"] for r in C.merged_words(df).collect()) == ["104", "interface"]
+    assert {r["text"]: r["confidence"] for r in C.fused_words(df).collect()} == {"terface": 90.0, "interface": 80.0, "104": 62.0}

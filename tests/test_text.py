@@ -47,14 +47,17 @@ def test_gutter(spark):
 def test_scalar(spark):
     assert values(spark, [("US12262260B2",), ("US:12262260",), (None,)], T.canonical_id(F.col("t"))) == ["US12262260", "US12262260", ""]
     assert values(spark, [("[0042] Text",), ("(123) x",), ("[12] x",)], T.paragraph_marker(F.col("t"))) == ["0042", "123", None]
-    assert values(spark, [("US 7,840,427 B2",), ("none",)], T.short_name(F.col("t"))) == ["’427 patent", None]
-    assert values(spark, [("12. A device",), ("1.5 mm",), ("x",)], T.claim_candidate(F.col("t"))) == [12, None, None]
+    assert values(spark, [("US 7,840,427 B2",), ("none",)], T.short_name(F.col("t"))) == ["’427 patent", "none"]
+    assert values(spark, [("12. A device",), ("1.5 mm",), ("x",), ("3.A rod",), ("4.",)], T.claim_candidate(F.col("t"))) == [12, None, None, 3, 4]
+    assert values(spark, [("FIELD OF THE INVENTION",), ("SUMMARY",), ("FRAME",), ("A Frame",)], T.is_heading(F.col("t"))) == [True, True, False, False]
+    assert values(spark, [("0012",)], T.paragraph_citation(F.col("t"), F.lit("0014"))) == ["¶¶ [0012]–[0014]"]
+    assert values(spark, [("3:22",)], T.full_citation(F.col("t"), F.lit("US 7,840,427 B2"))) == ["’427 patent 3:22"]
     assert values(spark, [("#doc=d1&line=9-4",)], T.parse_deep_link(F.col("t"))) == [("d1", 4, 9)]
     assert values(spark, [("https://a.example/x",), ("http://a.example",), ("nonsense",)], T.allowed_url(F.col("t"), ["a.example"])) == [True, False, False]
 
 
 def test_alignment():
-    got = A.align(["the housng is mounted", "on the frame of the device", "something else entirely here"], "the housing is mounted\non the frame of the device")
+    got = A.align(["the hosng is mountd", "on the frame of the device", "something else entirely here"], "the housing is mounted\non the frame of the device")
     assert [g[1] for g in got] == ["fuzzy", "exact", "unmatched"]
     assert got[0][0] == "the housing is mounted" and got[2][0] == "something else entirely here"
     assert A.align(["kept"], "") == [("kept", "none", 0.0, None)]
