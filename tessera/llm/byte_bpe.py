@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.shared import texts
 
 #: Pre-tokens that a worker remembers; beyond it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: Texts that are encoded before their ids go out.
 ROWS_AT_ONCE = 256
 #: Byte b stands as the character of this code point plus b: no white space, and unchanged by the identity normaliser.

@@ -33,7 +33,7 @@ FOLDS = 3
 #: Feature entries that the driver works on at once.
 STRETCH = 500_000
 #: Words that a worker remembers; beyond it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 
 _words = re.compile(r"[^\W\d_]+").findall
 
