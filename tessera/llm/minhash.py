@@ -38,7 +38,7 @@ ROUNDS = 3
 #: Counters that say how common a shingle is (1 MB for each of 4 bytes a million); shingles share them by their hash.
 COUNTERS, COUNTING_TASKS = 1 << 20, 8
 #: Words that a worker remembers; beyond it starts anew.
-CACHE = 200_000
+CACHE = 60_000
 
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _BYTES = np.int64(1) << (8 * np.arange(7, dtype=np.int64))
