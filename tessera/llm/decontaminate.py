@@ -1,9 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
-A window is as many words of a document as an item has. Only windows that
-share a shingle with an item, at the place where that lines the two up, are looked
-at: a similarity above 0 needs a shared shingle, so none is lost, and the item
-shingles are what is looked up while the documents are scanned once. Windows
+A window is as many words of a document as an item has; only the end of the
+document may cut it. Documents are scanned once for the places where a shingle
+of an item stands, whatever its place in the item. Windows that begin at such a
+place and hold enough of them to reach the limit are formed in a second pass
+over the documents that have some. A window that begins elsewhere is no better
+than the next one that begins at such a place, so no document is lost. Windows
 and items get 64-bit SimHash fingerprints. Cut into RADIUS + 1 blocks, two
 fingerprints within RADIUS bits agree on a whole block, so a join on blocks finds
 them all. Candidates within the radius are verified by the exact similarity of
@@ -15,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import row_key
+from tessera.llm.shared import row_key, written
 
 WORD = r"[\p{L}\p{N}]+"
 #: At a similarity of 0.8, 9.7 of the 64 bits differ on average, with a deviation of 2.9; 24 is five deviations off.
 RADIUS = 24
 #: Item shingles up to which they are broadcast (about 40 bytes each); more are joined by shuffle.
 BROADCAST_SHINGLES = 400_000
+#: Window starts up to which the documents that have some are found by a broadcast; with more, texts are shuffled.
+BROADCAST_STARTS = 400_000
 
 
 def words(text: Column) -> Column:
@@ -61,7 +65,8 @@ def shared(a: Column, b: Column) -> Column:
 
 
 def matches(df: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, den: int = 100, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, row_key, item_id, start (word number), intersection, union of every window that den * intersection >= num * union holds for.
+    """doc_id, row_key, item_id, start (word number), length (words of the item), intersection, union of every window that
+    begins with a shingle of an item of its length and that den * intersection >= num * union holds for.
 
     Words are runs of letters and digits, in lower case. An item of fewer than
     size words is one shingle of all its words. Items without words, or with a
@@ -79,22 +84,33 @@ def matches(df: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, d
         found = one if found is None else found.union(one)
     if found is None:
         kind, key = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"doc_id {kind}, row_key long, item_id {key}, start int, intersection int, union int")
+        return spark.createDataFrame([], f"doc_id {kind}, row_key long, item_id {key}, start int, length int, intersection int, union int")
     return found
 
 
 def _found(docs: DataFrame, items: DataFrame, k: int, num: int, den: int, radius: int) -> DataFrame:
     items = items.select("item_id", F.size("w").alias("m"), shingles(F.col("w"), k).alias("sh")).select("item_id", "m", "sh", simhash(F.col("sh")).alias("fp"))
-    anchors = items.select("item_id", "m", "sh", F.posexplode("sh").alias("j", "h"))
-    anchors = anchors.select("h", "j", "m", F.when(F.col("j") > 0, F.get("sh", F.col("j") - 1)).alias("before")).distinct()  # items of one size share them
+    anchors = items.select("m", F.size("sh").alias("s"), F.explode("sh").alias("h")).distinct()  # items of one size share them
     anchors = F.broadcast(anchors) if anchors.count() <= BROADCAST_SHINGLES else anchors
-    cut = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), words(F.col("text")).alias("w"))
-    rows = cut.select("doc_id", "row_key", "w", F.explode(F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))).alias("i")).withColumn("h", _shingle(F.col("w"), F.col("i"), k))
-    hit = rows.join(anchors, "h")
-    # Of a run of shingles that line up alike, the first one speaks.
-    fresh = F.col("before").isNull() | (F.col("i") == 0) | (_shingle(F.col("w"), F.greatest(F.col("i") - 1, F.lit(0)), k) != F.col("before"))
-    at = F.greatest(F.col("i") - F.col("j"), F.lit(0))
-    windows = hit.where(fresh).select("doc_id", "row_key", "m", at.alias("start"), F.slice("w", at + 1, F.least(F.col("m"), F.size("w") - at)).alias("w"))
+    texts = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), "text")
+    cut = texts.select("doc_id", "row_key", words(F.col("text")).alias("w"))
+    rows = cut.select("doc_id", "row_key", "w", F.explode(F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))).alias("i"))
+    hit = rows.select("doc_id", "row_key", (F.size("w") - k + 1).alias("n"), "i", _shingle(F.col("w"), F.col("i"), k).alias("h")).join(anchors, "h")
+    places = hit.groupBy("doc_id", "row_key", "n", "m", "s").agg(F.sort_array(F.collect_set("i")).alias("at"))
+
+    def enough(a: Column, x: Column) -> Column:
+        """Whether the window that begins at a, the x-th place, holds as many places as the limit takes."""
+        least = F.ceil(num * (F.least(F.col("s"), F.col("n") - a) + F.col("s")) / (num + den)).cast("int")
+        return F.coalesce(F.get("at", x + least - 1) < a + F.col("s"), F.lit(False))
+
+    starts = places.select("doc_id", "row_key", "m", F.explode(F.filter("at", enough)).alias("start"))
+    wanted = starts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("m", "start")).alias("want"))
+    wanted = written(wanted.withColumnsRenamed({"doc_id": "d", "row_key": "k"}), "decontaminate")
+    few = (wanted.select(F.sum(F.size("want"))).first()[0] or 0) <= BROADCAST_STARTS
+    some = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")))
+    some = some.select("doc_id", "row_key", words(F.col("text")).alias("w"), "want").select("doc_id", "row_key", "w", F.explode("want").alias("x"))
+    m, start = F.col("x.m"), F.col("x.start")
+    windows = some.select("doc_id", "row_key", m.alias("m"), start.alias("start"), F.slice("w", start + 1, F.least(m, F.size("w") - start)).alias("w"))
     windows = windows.groupBy("doc_id", "row_key", "m", "start").agg(F.first("w").alias("w"))
     windows = windows.select("doc_id", "row_key", "m", "start", shingles(F.col("w"), k).alias("ws")).withColumn("wf", simhash(F.col("ws")))
     by_block = items.select("item_id", "m", "sh", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("item_id", "m", "sh", "fp", F.col("b.number").alias("number"), F.col("b.bits").alias("bits"))
@@ -104,16 +120,18 @@ def _found(docs: DataFrame, items: DataFrame, k: int, num: int, den: int, radius
     # Of the blocks that a pair agrees on, the first one speaks.
     differ = F.col("wf").bitwiseXOR(F.col("fp"))
     first = F.array_position(F.transform(blocks(differ, radius), lambda x: x["bits"]), F.lit(0).cast("long")) - 1
-    scored = near.where(F.col("number") == first).select("doc_id", "row_key", "item_id", "start", both.alias("intersection"), (F.size("ws") + F.size("sh")).alias("total"))
+    scored = near.where(F.col("number") == first).select("doc_id", "row_key", "item_id", "start", F.col("m").alias("length"), both.alias("intersection"), (F.size("ws") + F.size("sh")).alias("total"))
     scored = scored.withColumn("union", F.col("total") - F.col("intersection")).where(den * F.col("intersection") >= num * F.col("union"))
-    return scored.select("doc_id", "row_key", "item_id", "start", "intersection", "union")
+    return scored.select("doc_id", "row_key", "item_id", "start", "length", "intersection", "union")
 
 
 def contaminated(found: DataFrame) -> DataFrame:
-    """doc_id, row_key, items (sorted), n_passages and the best similarity of each document that has matches."""
-    return found.groupBy("doc_id", "row_key").agg(
-        F.sort_array(F.collect_set("item_id")).alias("items"), F.count_distinct("start").alias("n_passages"), F.max(F.col("intersection") / F.col("union")).alias("similarity")
-    )
+    """doc_id, row_key, items (sorted), n_passages (windows that overlap are one) and the best similarity of each document that has matches."""
+    windows = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))
+    grown = lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.when(x["start"] < acc["end"], 0).otherwise(1)).alias("n"))
+    out = found.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), windows.alias("windows"), F.max(F.col("intersection") / F.col("union")).alias("similarity"))
+    n = F.aggregate("windows", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), grown, lambda acc: acc["n"])
+    return out.select("doc_id", "row_key", "items", n.alias("n_passages"), "similarity")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

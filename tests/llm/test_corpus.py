@@ -92,6 +92,19 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.matches(odd, b).count() >= 0
 
 
+def test_decontamination_of_turned_items(spark):
+    rnd = random.Random(3)
+    item = [f"i{n}" for n in range(50)]
+    around = lambda n: [f"x{rnd.randrange(500)}" for _ in range(n)]
+    docs = [around(90) + item[at:] + item[:at] + around(70) for at in (25, 10, 0)] + [item[25:] + item[:25], around(80) + item[25:], around(60) + item + around(20) + item[25:] + item[:25]]
+    docs = [(n, " ".join(w)) for n, w in enumerate(docs)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.matches(d, b)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == windows([(1, " ".join(item))], docs) == {(n, 1) for n in (0, 1, 2, 3, 5)}
+    best = {r["doc_id"]: (r["n_passages"], round(r["similarity"], 2)) for r in decontaminate.contaminated(found).collect()}
+    assert best == {0: (1, 0.84), 1: (1, 0.84), 2: (1, 1.0), 3: (1, 0.84), 5: (2, 1.0)}
+
+
 def test_blocks_part_a_fingerprint(spark):
     for radius in (3, 24):
         got = spark.range(1).select(decontaminate.blocks(F.lit(-1).cast("long"), radius).alias("b")).first()["b"]
