@@ -235,7 +235,7 @@ def application_lines(spark, sf_dir):
 
 @query()
 def callout_match_greedy(spark, sf_dir):
-    li = _items(spark, sf_dir).where("l_orderkey < 3000")
+    li = _items(spark, sf_dir)
     x, y = F.col("l_quantity") / 200, F.col("l_discount")
     d = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit("104").alias("value"), F.col("l_linenumber").alias("ix"), G.box(x, y, x + 0.3, y + 0.3).alias("box"))
     lab = li.where("l_linenumber < 4").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit("104").alias("value"), F.col("l_linenumber").alias("ix"), G.box(x + 0.05, y, x + 0.35, y + 0.3).alias("box"))
@@ -244,7 +244,7 @@ def callout_match_greedy(spark, sf_dir):
 
 @query()
 def word_dedupe_greedy(spark, sf_dir):
-    w = _words(spark, sf_dir).where("doc_id < 3000")
+    w = _words(spark, sf_dir)
     both = w.unionByName(w.where("word_ix % 2 = 0").withColumns({"x0": F.col("x0") + 0.01, "word_ix": F.col("word_ix") + 100, "confidence": F.col("confidence") - 1}))
     return C.merged_words(both).groupBy("doc_id").agg(F.count("*").alias("n"))
 

@@ -177,7 +177,7 @@ def stroke_points(spark, sf_dir):
 @query()
 def figure_inference(spark, sf_dir):
     """Sheets and labels made of line items: the order is the document, the line number the sheet."""
-    li = _items(spark, sf_dir).where("l_orderkey < 3000")
+    li = _items(spark, sf_dir)
     doc, page = F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_index")
     sheets = li.select(doc, page)
     seen = li.where("l_suppkey % 3 <> 0").select(doc, page, F.col("l_linenumber").cast("string").alias("figure_id"), (F.col("l_quantity") / 50).alias("score"), F.lit("spec_exact").alias("method"))
@@ -187,14 +187,14 @@ def figure_inference(spark, sf_dir):
 
 @query()
 def figure_sequence(spark, sf_dir):
-    li = _items(spark, sf_dir).where("l_orderkey < 3000")
+    li = _items(spark, sf_dir)
     f = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_index"), (F.col("l_partkey") % 9 + 1).cast("string").alias("figure_id"), (F.col("l_quantity") / 50).alias("score"))
     return C.sequenced_figures(f)
 
 
 @query()
 def page_routing(spark, sf_dir):
-    w = _words(spark, sf_dir).where("doc_id < 3000")
+    w = _words(spark, sf_dir)
     native = w.where("doc_id % 2 = 0")
     pages, _ = A.routed_pages(w.select("doc_id", "page_index").distinct(), native, w.where("doc_id % 3 = 0"))
     return pages
@@ -202,7 +202,7 @@ def page_routing(spark, sf_dir):
 
 @query()
 def callout_choice(spark, sf_dir):
-    li = _items(spark, sf_dir).where("l_orderkey < 2000")
+    li = _items(spark, sf_dir)
     x, y = F.col("l_quantity") / 60, F.col("l_discount") * 8
     c = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.format_string("callout_%04d", "l_linenumber").alias("callout_id"), F.translate((F.col("l_partkey") % 40 + 100).cast("string"), "10", "IO").alias("value"), G.box(x, y, x + 0.04, y + 0.02).alias("box"), (F.col("l_suppkey") % 100).cast("double").alias("confidence"))
     ev = li.where("l_linenumber < 3").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 40 + 100).cast("string").alias("value")).distinct().withColumn("support", F.lit(1.0))
@@ -248,4 +248,4 @@ def display_numbers(spark, sf_dir):
 
 @query()
 def column_split(spark, sf_dir):
-    return R.column_boundary(_words(spark, sf_dir).where("doc_id < 3000"))
+    return R.column_boundary(_words(spark, sf_dir))
