@@ -125,7 +125,7 @@ def parse_identifier(spark, sf_dir):
 
 @query()
 def identity_verdict(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     i = F.col("item_id")
     status = A.identity(F.when(i % 3 != 0, F.concat(F.lit("US"), i + 100000, F.lit("B2"))), F.when(i % 3 == 1, F.concat(F.lit("US:"), i + 100000)).when(i % 3 == 2, F.concat(F.lit("US:"), i)), F.col("t"), F.when(i % 2 == 0, F.upper("t")).otherwise(F.left("t", F.lit(20))))
     return b.select("item_id", status.alias("status"))
@@ -178,7 +178,7 @@ def export_text(spark, sf_dir):
 @query("""WITH k AS (SELECT item_id % 8 AS c, item_id, text FROM benchmark) SELECT item_id, CASE c WHEN 0 THEN 'unsupported_schema' WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'invalid_locator' WHEN 3 THEN 'invalid_box' WHEN 4 THEN 'empty' END AS reason,
 CASE WHEN c = 6 THEN 'application' ELSE 'grant' END AS doc_type, CAST(CASE WHEN c IN (2, 3, 5, 6, 7) THEN 1 ELSE 0 END AS BIGINT) AS n_entries FROM k""")
 def import_validate(spark, sf_dir):
-    t = F.concat(F.lit('"page_index":0,"source_text":"'), F.regexp_replace(F.left("text", F.lit(20)), "[^A-Za-z ]", " "), F.lit('x"'))
+    t = F.concat(F.lit('"page_index":0,"source_text":"'), F.regexp_replace("text", "[^A-Za-z ]", " "), F.lit('x"'))
     grant, c = F.lit(',"locator":{"kind":"grant","column":1,"printed_line":5}'), F.col("item_id") % 8
     one = lambda v, e: F.concat(F.lit(f'{{"schema_version":{v},"entries":[{{'), e, F.lit("}]}"))
     j = (
@@ -251,8 +251,8 @@ def word_dedupe_greedy(spark, sf_dir):
 
 @query()
 def align_lines(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text is not null and turn < 12")
-    line = F.left("text", F.lit(80))
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    line = F.col("text")
     e = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.when(F.col("turn") % 2 == 0, line).otherwise(F.replace(line, F.lit("e"), F.lit("c"))).alias("source_text"), F.lit(True).alias("flow"))
     clean = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))), lambda x: x["t"]), "\n").alias("clean_text"))
     return A.aligned(e, clean).select("doc_id", "ordinal", "alignment_method", "alignment_score")
