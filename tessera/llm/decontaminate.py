@@ -72,7 +72,9 @@ def matches(df: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, d
     size words is one shingle of all its words. Items without words, or with a
     null id, and texts that are null or without words match nothing. Rows that
     repeat an item count once, items of one id with unequal texts each; repeated
-    documents are reported once, with the key of their text.
+    documents are reported once, with the key of their text. Texts of any length are
+    read whole; an empty table on either side gives no rows; columns that are not
+    named are not read.
     """
     spark = df.sparkSession
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.coalesce(F.col(item_text), F.lit(""))).alias("w")).where(F.col("item_id").isNotNull() & (F.size("w") > 0)).distinct()
@@ -93,9 +95,10 @@ def _found(docs: DataFrame, items: DataFrame, k: int, num: int, den: int, radius
     anchors = items.select("m", F.size("sh").alias("s"), F.explode("sh").alias("h")).distinct()  # items of one size share them
     anchors = F.broadcast(anchors) if anchors.count() <= BROADCAST_SHINGLES else anchors
     texts = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), "text")
-    cut = texts.select("doc_id", "row_key", words(F.col("text")).alias("w"))
-    rows = cut.select("doc_id", "row_key", "w", F.explode(F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))).alias("i"))
-    hit = rows.select("doc_id", "row_key", (F.size("w") - k + 1).alias("n"), "i", _shingle(F.col("w"), F.col("i"), k).alias("h")).join(anchors, "h")
+    # A row a shingle holds its place and hash alone, so that texts do not grow with the square of their length where these
+    # rows are shuffled. The outer form keeps the optimizer from testing the array's size with a second copy of its expression.
+    cut = texts.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", shingles(F.col("w"), k).alias("sh"))
+    hit = cut.select("doc_id", "row_key", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("i", "h")).join(anchors, "h")
     places = hit.groupBy("doc_id", "row_key", "n", "m", "s").agg(F.sort_array(F.collect_set("i")).alias("at"))
 
     def enough(a: Column, x: Column) -> Column:

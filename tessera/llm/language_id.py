@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import lean_batches
 
-#: Longest piece and longest stretch of a word that are looked at at once; longer words are scored in consecutive stretches.
-LONGEST_PIECE, STRETCH = 10, 24
+#: Longest stretch of a word that is learned from as one, and ends whose pieces are looked up at once. Scoring sums over whole words.
+STRETCH, BLOCK = 24, 1024
 #: Documents of each language that the probabilities are fitted on (a hash of the id picks about so many).
 PER_LANGUAGE = 600
 #: Rounds of expectation maximisation, and the pseudo-count of the pooled distribution.
@@ -44,14 +44,18 @@ def vocabulary(path: str) -> dict[str, int]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
-    fit = sorted(p for p in pieces if 0 < len(p) <= LONGEST_PIECE and p == p.lower() and (p == START or p.lstrip(START).isalpha()))
+    fit = sorted(p for p in pieces if 0 < len(p) and p == p.lower() and (p == START or p.lstrip(START).isalpha()))
     return {p: i for i, p in enumerate(dict.fromkeys([START, *fit]))}
 
 
+def longest(vocab: dict[str, int]) -> int:
+    return max(map(len, vocab))
+
+
 def lattice(words: list[str], vocab: dict[str, int]) -> np.ndarray:
     """words of one length n: [word, end - 1, length - 1] -> piece number, -1 for none."""
     n, get, other = len(words[0]), vocab.get, len(vocab)
-    reach = min(n, LONGEST_PIECE)
+    reach = min(n, longest(vocab))
     spans = [(e, k) for e in range(1, n + 1) for k in range(1, min(e, reach) + 1)]
     got = [[get(w[e - k : e], other if k == 1 else -1) for e, k in spans] for w in words]
     out = np.full((len(words), n, reach), -1, np.int32)
@@ -71,6 +75,28 @@ def forward(lat: np.ndarray, probs: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
+    """[word, language]: the log of the probability of all segmentations of whole words of one length, however long.
+
+    Only the last few ends are held, rescaled as they shrink; the pieces are looked up BLOCK ends at a time.
+    """
+    n, reach = len(words[0]), longest(vocab)
+    last = [np.ones((len(words), len(probs)))]  # of the ends so far, the newest last
+    logs = np.zeros((len(words), len(probs)))
+    for at in range(0, n, BLOCK):
+        start = max(0, at - reach + 1)
+        lat = lattice([w[start : at + BLOCK] for w in words], vocab)
+        for e in range(at, min(n, at + BLOCK)):
+            row = lat[:, e - start]
+            last.append(sum(last[-k] * probs[:, row[:, k - 1]].T for k in range(1, min(len(last), reach, row.shape[1]) + 1)))
+            del last[:-reach]
+            if e % 8 == 7:
+                top = np.maximum(np.maximum.reduce(last), 1e-300)
+                last = [x / top for x in last]
+                logs += np.log(top)
+    return logs + np.log(np.maximum(last[-1], 1e-300))
+
+
 def expected(lat: np.ndarray, probs: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts [language, piece] of words seen weight[word, language] times."""
     m, n, reach = lat.shape
@@ -140,16 +166,13 @@ class Scorer:
             return
         if len(self.cache) + len(new) > CACHE:
             self.cache, self.logs, new = {}, self.logs[:0], list(words)
-        parts = [stretches(w) for w in new]
-        owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
-        flat = [s for p in parts for s in p]
-        log = np.zeros((len(flat), len(self.model.languages)))
+        flat = [START + w for w in new]
+        total = np.zeros((len(new), len(self.model.languages)))
         for n, at in by_length(flat).items():
-            for i in range(0, len(at), 20_000):
-                some = at[i : i + 20_000]
-                log[some] = np.log(np.maximum(forward(lattice([flat[j] for j in some], self.vocab), self.model.probs)[:, :, n], 1e-300))
-        total = np.zeros((len(new), log.shape[1]))
-        np.add.at(total, owner, log)
+            step = max(1, 500_000 // n)
+            for i in range(0, len(at), step):
+                some = at[i : i + step]
+                total[some] = log_forward([flat[j] for j in some], self.vocab, self.model.probs)
         self.cache.update(zip(new, range(len(self.logs), len(self.logs) + len(new))))
         self.logs = np.concatenate([self.logs, total])
 
@@ -200,7 +223,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A null text or one without letters is `und` with score 0, as is every text
     if no language was learned. Equal scores take the first language by name.
     Row in, row out: repeated rows come out as often, a null doc_id stays null,
-    other columns are not read. No shuffle.
+    other columns are not read, whatever their names. Texts and words of any length
+    are summed over whole. An empty table gives no rows. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,9 @@ licence texts. Besides whole documents, each line of one is looked up too, as sh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +25,23 @@ SPELLINGS = [
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
     ("http www", "https www"),
+    ("http unlicense", "https unlicense"),
+    ("sub license", "sublicense"),
+    ("judgement", "judgment"),
+    ("acknowledgement", "acknowledgment"),
+    ("fulfil ", "fulfill "),
+    ("initialise", "initialize"),
+    ("recognise", "recognize"),
+    ("authorise", "authorize"),
+    ("per cent", "percent"),
 ]
 
-# Known licence texts and notices.
-MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-KNOWN: list[tuple[str, str]] = [
-    ("MIT", MIT),
-    ("MIT", "MIT License\n" + MIT),
-    ("ISC", ISC),
-    ("ISC", "ISC License\n" + ISC),
+#: Whole licence texts: files named after the SPDX id, up to a second dot (variants of one licence).
+TEXTS = Path(__file__).with_name("license_texts")
+# What a text may be headed with, by id.
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "0BSD": "BSD Zero Clause License"}
+# Notices of one line.
+NOTICES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,8 +50,20 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    *[(i, f"SPDX-License-Identifier: {i}") for i in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "BSD-3-Clause", "ISC")],
 ]
+#: Ids without a text here that are known by their SPDX line alone.
+SPDX_ONLY = ["AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "EPL-2.0", "WTFPL"]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(id, text) of all known licences: whole texts, with and without their titles, notices, and SPDX lines with the usual suffixes."""
+    files = [(re.sub(r"\.(holder\.)?txt$", "", f.name), f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    titled = [(i, f"{TITLES[i]}\n{t}") for i, t in files if i in TITLES]
+    ids = sorted({i for i, _ in files} | set(SPDX_ONLY))
+    lines = [(i, f"SPDX-License-Identifier: {i}{suffix}") for i in ids for suffix in (["", "-only", "-or-later"] if "GPL" in i or "GFDL" in i else [""])]
+    return files + titled + NOTICES + lines
+
+
 #: Known digests up to which the lookup is a broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -72,9 +87,9 @@ def digest(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " "), 256)
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """license_id, digest, n_chars of normalised known texts; where several licences share a text, the first by name has it."""
-    t = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", normal_lines(F.col("text")).alias("lines"))
+    t = spark.createDataFrame(known_texts() if known is None else list(known), "license_id string, text string").select("license_id", normal_lines(F.col("text")).alias("lines"))
     return t.where(F.size("lines") > 0).select("license_id", digest(F.col("lines")).alias("digest"), F.length(F.array_join("lines", " ")).alias("n_chars")).groupBy("digest").agg(F.min("license_id").alias("license_id"), F.max("n_chars").alias("n_chars"))
 
 
@@ -82,8 +97,10 @@ def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str
     """Per row: doc_id, digest of the whole text, text_license (null if unknown), n_notices (lines that are known texts), licenses (all ids, sorted, comma-joined).
 
     A null text is empty, has the digest of nothing and no licence. Row in, row
-    out: repeated rows each come out alike, a null doc_id stays null. known is
-    broadcast up to BROADCAST_ROWS rows.
+    out: repeated rows each come out alike, a null doc_id stays null; columns
+    other than id and text are not read, whatever their names. Texts of any length
+    are hashed whole. An empty table gives no rows. known is broadcast up to
+    BROADCAST_ROWS rows.
     """
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.max("n_chars"), F.lit(0)).alias("longest")).first()
     table = known.select("digest", "license_id")
@@ -120,8 +137,8 @@ def _sql_normal(text: str) -> str:
     return f"list_filter(list_transform(list_filter(string_split(lower({text}), chr(10)), lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), lambda x: {out}), lambda x: x <> '')"
 
 
-def sql(known: Sequence[tuple[str, str]] = KNOWN) -> str:
-    rows = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in r)) for r in known)
+def sql(known: Sequence[tuple[str, str]] | None = None) -> str:
+    rows = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in r)) for r in (known_texts() if known is None else known))
     return f"""
 WITH k0(license_id, text) AS (VALUES {rows}),
 k AS (SELECT sha256(array_to_string({_sql_normal("text")}, ' ')) AS digest, min(license_id) AS license_id FROM k0 GROUP BY 1),

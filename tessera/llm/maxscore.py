@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import written
+
 #: Queries that are scored in one pass over the vectors; so many (id, vector) pairs are broadcast at once.
 QUERY_SLICE = 4096
 
@@ -91,8 +93,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 1024, id_
     table gives no rows. Scores must fit a 64-bit integer.
 
     Queries are taken in slices of about query_slice by a hash of their id, one
-    pass over the vectors a slice, so what is broadcast has a bound however many
-    there are. Each task gives k rows a query at most before the merge.
+    pass over the vectors a slice, whose results are written before the next one is
+    sent, so what is broadcast and held has a bound however many there are. Each
+    task gives k rows a query at most before the merge.
     """
     spark = df.sparkSession
     vectors = integer_vectors(df, id_col, vec_col, scale)
@@ -103,7 +106,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 1024, id_
         own = queries.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).groupBy("id").agg(F.min("vec").alias("vec")).collect()
         if own:
             sent = spark.sparkContext.broadcast([(r["id"], r["vec"]) for r in own])
-            parts.append(vectors.mapInArrow(_searcher(sent, k), "query_id long, vec_id long, score long"))
+            parts.append(written(vectors.mapInArrow(_searcher(sent, k), "query_id long, vec_id long, score long"), "best"))
+            sent.destroy()  # one slice at a time is held
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]

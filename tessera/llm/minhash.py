@@ -33,6 +33,8 @@ from tessera.llm.shared import forget, texts, written
 BANDS, ROWS = 32, 5
 #: Integers of seven coordinates of the sketch, and how many coordinates must agree: at 0.8, 123 are expected with a deviation of 5.
 SKETCH, AGREE = 22, 100
+#: Rows of a bucket that go to one task; the rows of larger buckets are dealt out by a hash.
+SPLIT = 1_000
 #: Rounds with one centre for each bucket.
 ROUNDS = 3
 #: Counters that say how common a shingle is (1 MB for each of 4 bytes a million); shingles share them by their hash.
@@ -216,6 +218,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _spread(per_key: DataFrame) -> DataFrame:
+    """A row a key with how many parts its bucket has becomes a row a part, to be joined on (key, part)."""
+    return per_key.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def _repeated_ids(some: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between the classes that the texts of one id are in."""
     names = some.join(reps, "digest").select("doc_id", "id").distinct()
@@ -229,7 +236,8 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     Linked are rows with den * intersection >= num * union of their shingle
     sets. A null text or one without words is linked with nothing. Rows that
     share an id are one document, so their texts are linked. Repeated rows come
-    out as often. A null id is passed over as a component's name; a set that
+    out as often; texts of any length are compared whole; an empty table gives no
+    rows; columns that are not named are not read. A null id is passed over as a component's name; a set that
     only rows with null ids have is linked with nothing, and its name is null.
     """
     docs = texts(df, id_col, text_col)
@@ -240,26 +248,29 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     classes = written(classes, "representatives")
     sketches = classes.select("id", "sketch")
     buckets = classes.select("id", "n", F.explode("bands").alias("key"))
-    several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    rows = written(buckets.join(several, "key").select("key", F.col("id").alias("a"), "n", F.col("id").alias("label")), "buckets")
+    several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    parts = F.ceil(F.col("m") / SPLIT).cast("int")
+    rows = buckets.join(several, "key").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), parts.alias("parts"), F.col("id").alias("a"), "n", F.col("id").alias("label"))
+    rows = written(rows, "buckets")
     close = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
     edges, sets = written(_repeated_ids(some, reps), "links"), None
     label = components(edges)
     for r in range(ROUNDS + 1):
         if r:
             rows = rows.drop("label").join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-            mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            rows = written(rows.join(mixed, "key"), "buckets")
+            mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("parts").alias("parts")).where("lo <> hi").select("key", "parts")
+            rows = written(rows.join(_spread(mixed), ["key", "part"]), "buckets")
         if r < ROUNDS:
             at = F.min(F.struct(F.xxhash64("a", F.lit(r)).alias("h"), "a", "n", "label"))
-            centre = rows.groupBy("key").agg(at.alias("c")).select("key", F.col("c.a").alias("b"), F.col("c.n").alias("nb"), F.col("c.label").alias("lb"))
-            pairs = rows.join(centre, "key").where((F.col("label") != F.col("lb")) & close(F.col("n"), F.col("nb"))).groupBy("a", "b").agg(F.count("*").alias("m"))
+            centre = _spread(rows.groupBy("key").agg(at.alias("c"), F.max("parts").alias("parts"))).select("key", "part", F.col("c.a").alias("b"), F.col("c.n").alias("nb"), F.col("c.label").alias("lb"))
+            pairs = rows.join(centre, ["key", "part"]).where((F.col("label") != F.col("lb")) & close(F.col("n"), F.col("nb"))).groupBy("a", "b").agg(F.count("*").alias("m"))
             if not r:
                 pairs = pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
             pairs = _agreeing(pairs.select("a", "b"), sketches)
         else:
-            common = rows.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("common"))
-            left = rows.join(common, "key").groupBy("a").agg(F.max(F.col("label") != F.col("common")).alias("apart"), F.first("n").alias("n"), F.first("label").alias("label"))
+            common = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.max("parts").alias("parts")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.max("parts").alias("parts"))
+            common = _spread(common.select("key", F.col("x.label").alias("common"), "parts"))
+            left = rows.join(common, ["key", "part"]).groupBy("a").agg(F.max(F.col("label") != F.col("common")).alias("apart"), F.first("n").alias("n"), F.first("label").alias("label"))
             left = written(left.join(sketches, F.col("a") == F.col("id")).select("a", "n", "label", "apart", "sketch"), "left")
             sets = _with(sets, docs, left.select(F.col("a").alias("id")), size)
             own = sets.join(left.select("a"), F.col("doc_id") == F.col("a"), "left_semi")

@@ -1,8 +1,10 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame operations only.
 
 Every candidate's value is hashed and counted over the corpus by distinct
-repository and owner. Values that several owners hold are examples that were
-copied around; values of a single owner that look random are live-looking.
+repository and owner. Values that several owners, or many repositories, hold are
+examples that were copied around; values of a single owner that stand in few of its
+repositories and look random are live-looking. A table of documents that names no
+repositories needs a stand-in: the query takes source as owner and source/lang as repository.
 The plain patterns always report; the wide pattern (long mixed tokens without
 a keyword) adds a span only where the frequencies say owner-specific.
 """
@@ -25,6 +27,8 @@ WIDE, WIDE_LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
 KINDS = ["assign", "access", "hex", "wide"]
 #: Owners from which on a value counts as a widely copied example, and distinct characters that live-looking ones have.
 EXAMPLE_OWNERS, LIVE_CHARACTERS = 3, 8
+#: Repositories from which on a value counts as copied widely, whoever owns them, and up to which one owner's value is live-looking.
+EXAMPLE_REPOSITORIES, LIVE_REPOSITORIES = 6, 2
 
 
 def _pieces(text: Column, kind: str, pattern: str, needs: Column) -> Column:
@@ -79,20 +83,25 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | str = "source", owner: Column | str = "source") -> DataFrame:
     """Per row: doc_id, row_key, and found: array of (start, kind, end, example, live), by start, then kind.
 
-    example: at least EXAMPLE_OWNERS owners hold the value; live: one owner does
-    and the value looks random. Spans of kind `wide` are there only if live and
+    example: at least EXAMPLE_OWNERS owners or EXAMPLE_REPOSITORIES repositories
+    hold the value; live: one owner does, in at most LIVE_REPOSITORIES
+    repositories, and the value looks random. Spans of kind `wide` are there only if live and
     apart from all other spans of the row. A null text is empty; a null owner
     or repository is one of its own. Row in, row out: repeated rows each come
     out with the same spans and are one holder of their values. A row without
-    spans has an empty array.
+    spans has an empty array, an empty table gives no rows. Texts of any length are
+    scanned whole; columns that are not named are not read. Equal starts come in the order of kinds.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), as_col(repository).cast("string").alias("repository"), as_col(owner).cast("string").alias("owner"))
     found = written(occurrences(docs), "secrets")
     shared = ownership(found)
-    rated = found.join(shared, "digest")
-    live = (F.col("n_owners") == 1) & F.col("mixed_up")
-    spans = rated.select("doc_id", "row_key", F.struct(F.col("start").cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end"), (F.col("n_owners") >= EXAMPLE_OWNERS).alias("example"), live.alias("live")).alias("s"))
+    # Only values of one owner and few repositories, or copied widely, change anything; the join may split a hot digest's rows.
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
+    own = (F.col("n_owners") == 1) & (F.col("n_repositories") <= LIVE_REPOSITORIES)
+    rated = found.join(shared.select("digest", copied.alias("copied"), own.alias("own")), "digest")
+    live = F.col("own") & F.col("mixed_up")
+    spans = rated.select("doc_id", "row_key", F.struct(F.col("start").cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end"), F.col("copied").alias("example"), live.alias("live")).alias("s"))
     # A wide token must not touch another span: their furthest end so far and nearest start from here on say so.
     w = Window.partitionBy("doc_id", "row_key").orderBy("s.start", "s.kind")
     before = F.max(F.when(F.col("s.kind") < 3, F.col("s.end"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -43,6 +43,16 @@ def test_secrets(spark, odd, empty):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
 
 
+def test_repositories_and_owners_decide(spark):
+    """One owner's value in two of its repositories is live; in three it is neither; in six repositories, or with three owners, an example."""
+    value = lambda n: f"Zx9Qw3Er7Ty1Ui5Op2As{n}"
+    held = {1: ["o/a", "o/b"], 2: ["o/a", "o/b", "o/c"], 3: ["o/a", "o/b", "o/c", "p/a", "p/b", "p/c"], 4: ["o/a", "p/a", "q/a"], 5: ["o/a", "p/a"]}
+    rows = [(n, f"token={value(n)} {i}", r, r[0]) for n, rs in held.items() for i, r in enumerate(rs)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string"), repository="repo", owner="owner")
+    seen = {r["doc_id"]: {(s["example"], s["live"]) for s in r["found"]} for r in got.collect()}
+    assert seen == {1: {(False, True)}, 2: {(False, False)}, 3: {(True, False)}, 4: {(True, False)}, 5: {(False, False)}}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame(SECRETS, "doc_id long, text string, source string").withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     for r in secrets.scan(df).join(df.drop("doc_id"), "row_key").select("text", "found", secrets.redacted(F.col("text"), F.col("found")).alias("r")).collect():
@@ -71,7 +81,7 @@ def windows(items, docs, size=5):
     return out
 
 
-def test_decontamination(spark, odd, empty):
+def test_decontamination(spark, odd, odd_rows, empty):
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rnd.choices(words, k=rnd.choice([2, 4, 9, 30])))) for i in range(12)] + [(3, "again " * 12), (20, ""), (21, None), (None, "x y z")]
@@ -89,7 +99,30 @@ def test_decontamination(spark, odd, empty):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b).collect()}
     assert got == windows(items, docs) and got
     assert decontaminate.matches(empty, b).count() == 0 and decontaminate.matches(d, b.limit(0)).count() == 0
-    assert decontaminate.matches(odd, b).count() >= 0
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").where("length(text) < 1000").collect()]
+    some = [(0, odd_rows[0][1]), (1, "a b"), (2, None), (None, odd_rows[1][1])]
+    small = odd.where("length(text) < 1000")
+    own = spark.createDataFrame(some, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(small, own).collect()} == windows(some, rows)
+    assert {r["doc_id"] for r in decontaminate.matches(odd, own).collect()} >= {0, 40}
+
+
+def test_starts_and_similarities_of_windows(spark):
+    """Every window that begins with a shingle of an item: start, intersection and union as a plain slide over the text gives them."""
+    rnd = random.Random(8)
+    item = [f"i{n}" for n in range(30)]
+    docs = [(d, " ".join([f"x{rnd.randrange(90)}" for _ in range(10)] + item[: 30 - d] + [f"y{rnd.randrange(90)}" for _ in range(12)])) for d in range(6)]
+    want = set()
+    have = collections.Counter(tuple(item[i : i + 5]) for i in range(26))
+    for d, t in docs:
+        w = t.split()
+        for a in range(len(w)):
+            got = collections.Counter(tuple(w[a : a + 30][i : i + 5]) for i in range(len(w[a : a + 30]) - 4))
+            both, either = sum((got & have).values()), sum((got | have).values())
+            if tuple(w[a : a + 5]) in have and 100 * both >= 80 * either:
+                want.add((d, a, both, either))
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {(r["doc_id"], r["start"], r["intersection"], r["union"]) for r in found.collect()} == want and len(want) == 6
 
 
 def test_decontamination_of_turned_items(spark):
@@ -142,8 +175,9 @@ def family(rnd, words, n, edits, start, length=60):
     return out
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates(spark, size):
+@pytest.mark.parametrize("size, split", [(2, 1_000), (5, 7)])
+def test_near_duplicates(spark, size, split, monkeypatch):
+    monkeypatch.setattr(minhash, "SPLIT", split)
     rnd = random.Random(size)
     words = [f"v{i}" for i in range(300)]
     rows = family(rnd, words, 60, 6, 1000) + family(rnd, words, 60, 14, 2000) + [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 30)))) for i in range(60)]
