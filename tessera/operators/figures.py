@@ -9,13 +9,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import figure_key
 from tessera.operators.callouts import without_headers
 from tessera.operators.lines import PAGE, grouped_lines
-from tessera.operators.mentions import FIGURE_REFERENCE
+from tessera.operators.mentions import FIGURE_REFERENCE, expand_figures
 
 Key = tuple[int, int]
 
@@ -43,51 +43,35 @@ def loose_ids(token: str) -> list[str]:
     return sorted(x for x in out if re.fullmatch(r"\d+[A-Z]?", x))
 
 
-def _expand(expr: str) -> list[str]:
-    out: list[str] = []
-    for part in re.split(r"\s*(?:,|and)\s*", expr):
-        ends = [re.fullmatch(r"(\d+)\s*([A-Za-z]?)", p.strip()) for p in re.split("[-–]", part)]
-        if not all(ends) or len(ends) > 2:
-            continue
-        keys = [(int(m[1]), ord(m[2].upper()) - 64 if m[2] else 0) for m in ends]
-        (a, s), (b, t) = keys[0], keys[-1]
-        if len(keys) == 1:
-            out.append(id_of(keys[0]))
-        elif a == b and s and t:
-            out += [id_of((a, i)) for i in range(s, t + 1)]
-        elif not s and not t:
-            out += [str(i) for i in range(a, b + 1)]
-        else:
-            out += [id_of(k) for k in keys]
-    return out
-
-
 def detected(words: DataFrame) -> DataFrame:
     """PAGE and LABEL_SCHEMA: labels on the lines of each sheet, headers left out; loose readings only on lines without a proper label."""
-    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, page_index int, {LABEL_SCHEMA}"
+    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, page_index int, seq int, expr string, ids array<string>, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, method string"
 
     def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[tuple, tuple] = {}
+        out: list[tuple] = []
         for _, line in pdf.sort_values(["line_ix", "x0", "word_ix"]).groupby("line_ix", sort=True):
             ends, text = [], ""
             for t in line["text"]:
                 start = len(text) + bool(text)
                 text = f"{text} {t}" if text else t
                 ends.append((start, len(text)))
-            sure = [(m, _expand(m[1]), "native_text" if line["confidence"].isna().all() else "ocr") for m in re.finditer(FIGURE_REFERENCE, text, re.I)]
-            loose = [(m, loose_ids(m[1]), how) for form, how in ((LOOSE_NUMBER, "sparse_ocr_confusable"), (LOOSE_WORD, "fuzzy_prefix")) for m in form.finditer(text)]
-            for m, ids, method in sure or loose:
+            sure = [(m, m[1], None, "native_text" if line["confidence"].isna().all() else "ocr") for m in re.finditer(FIGURE_REFERENCE, text, re.I)]
+            loose = [(m, None, loose_ids(m[1]), how) for form, how in ((LOOSE_NUMBER, "sparse_ocr_confusable"), (LOOSE_WORD, "fuzzy_prefix")) for m in form.finditer(text)]
+            for m, expr, ids, method in sure or loose:
                 ws = line[[a < m.end() and b > m.start() for a, b in ends]]
                 box = {"x0": ws["x0"].min(), "y0": ws["y0"].min(), "x1": ws["x1"].max(), "y1": ws["y1"].max()}
                 conf = ws["confidence"].mean()
-                for i in ids:
-                    out.setdefault((i, *[round(v * 10_000) for v in box.values()]), (i, box, None if pd.isna(conf) else float(conf), method))
-        got = pd.DataFrame(list(out.values()), columns=["figure_id", "box", "confidence", "method"])
+                out.append((len(out), expr, ids, box, None if pd.isna(conf) else float(conf), method))
+        got = pd.DataFrame(out, columns=["seq", "expr", "ids", "box", "confidence", "method"])
         got.insert(0, "page_index", pdf["page_index"].iloc[0])
         got.insert(0, "doc_id", pdf["doc_id"].iloc[0])
         return got
 
-    return grouped_lines(without_headers(words)).groupBy(*PAGE).applyInPandas(read, schema)
+    found = grouped_lines(without_headers(words)).groupBy(*PAGE).applyInPandas(read, schema)
+    each = found.select(*PAGE, "seq", F.posexplode(F.coalesce("ids", expand_figures(F.col("expr")))).alias("i", "figure_id"), "box", "confidence", "method")
+    place = [F.bround(F.col(f"box.{e}") * 10_000).alias(f"_{e}") for e in ("x0", "y0", "x1", "y1")]
+    w = Window.partitionBy(*PAGE, "figure_id", *place).orderBy("seq", "i")
+    return each.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*PAGE, "figure_id", "box", "confidence", "method")
 
 
 def page_figure(labels: DataFrame) -> DataFrame:

@@ -47,9 +47,9 @@ def normalize_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.normalized_tokens(F.col("text")), "|").alias("tokens"))
 
 
-@query("""SELECT doc_id, regexp_replace(left(text, 30) || '-' || chr(10) || ' ' || substr(text, 31, 30), '(\\p{L})[-‐‑]\\s*\\n\\s*(\\p{L})', '\\1\\2', 'g') AS joined FROM documents""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(replace(text, 'a ', 'a-' || chr(10) || ' '), '(\\p{L})[-‐‑]\\s*\\n\\s*(\\p{L})', '\\1\\2', 'g'), '(\\p{L})[-‐‑]\\s*\\n\\s*(\\p{L})', '\\1\\2', 'g') AS joined FROM documents""")
 def dehyphenate(spark, sf_dir):
-    t = F.concat(F.left("text", F.lit(30)), F.lit("-\n "), F.substring("text", 31, 30))
+    t = F.replace("text", F.lit("a "), F.lit("a-\n "))  # whole texts, with breaks wherever a word ends in a
     return table(spark, sf_dir, "documents").select("doc_id", T.dehyphenated(t).alias("joined"))
 
 
@@ -76,19 +76,22 @@ def figure_expand(spark, sf_dir):
     return M.figure_mentions(p, ["p_partkey", "text"], "text").select("p_partkey", "text", F.array_join("figure_ids", ",").alias("ids"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, CAST(100 + p_size AS VARCHAR) AS a, CAST(100 + p_size + 1 AS VARCHAR) AS b FROM part)
+SELECT p_partkey, 12 AS "start", 15 AS "end", a AS value, 'housing' AS label FROM p UNION ALL SELECT p_partkey, 20, 23, b, 'housing' FROM p UNION ALL SELECT p_partkey, 25, 28, '77B', 'housing' FROM p UNION ALL SELECT p_partkey, 93, 96, '45A', 'shaft' FROM p""")
 def numeral_mentions(spark, sf_dir):
-    return M.numeral_mentions(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    n = F.col("p_size") + 100
+    text = F.concat(F.lit("The housing "), n, F.lit(" and "), n + 1, F.lit(", 77B of claim 12, motor 14 mm, rod 25: gear 2015 or 16 and the shaft 45A here"))
+    return M.numeral_mentions(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), ["p_partkey"], "text")
 
 
-@query(f"""WITH {LI}, n AS (SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, CAST(l_partkey % 12 + 100 AS VARCHAR) AS value FROM li WHERE l_orderkey < 3000), f AS (SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, CAST(l_suppkey % 4 AS VARCHAR) AS fig FROM li WHERE l_orderkey < 3000 AND l_quantity > 25),
-c AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 12 + 100 AS VARCHAR) AS value, CAST(l_suppkey % 4 AS VARCHAR) AS fig, 'c' || l_linenumber AS cid FROM li WHERE l_orderkey < 3000),
+@query(f"""WITH {LI}, n AS (SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, CAST(l_partkey % 12 + 100 AS VARCHAR) AS value FROM li), f AS (SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, CAST(l_suppkey % 4 AS VARCHAR) AS fig FROM li WHERE l_quantity > 25),
+c AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 12 + 100 AS VARCHAR) AS value, CAST(l_suppkey % 4 AS VARCHAR) AS fig, 'c' || l_linenumber AS cid FROM li),
 x AS (SELECT n.*, (SELECT fig FROM f WHERE f.doc_id = n.doc_id AND f.ordinal <= n.ordinal ORDER BY f.ordinal DESC LIMIT 1) AS ctx FROM n),
 j AS (SELECT x.doc_id, x.ordinal, x.value, list_sort(list(cid) FILTER (cid IS NOT NULL)) AS al, list_sort(list(cid) FILTER (cid IS NOT NULL AND fig = ctx)) AS inn FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.value = x.value GROUP BY 1, 2, 3),
 p AS (SELECT *, CASE WHEN coalesce(len(inn), 0) > 0 THEN inn ELSE coalesce(al, []) END AS pool FROM j)
 SELECT doc_id, ordinal, value, CASE WHEN len(pool) = 0 THEN 'unresolved' WHEN len(pool) > 1 THEN 'ambiguous' WHEN coalesce(len(inn), 0) > 0 THEN 'verified' ELSE 'probable' END AS status, array_to_string(pool, ',') AS candidates FROM p""")
 def associate_status(spark, sf_dir):
-    li = _items(spark, sf_dir).where("l_orderkey < 3000").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ordinal"), "l_partkey", "l_suppkey", "l_quantity")
+    li = _items(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ordinal"), "l_partkey", "l_suppkey", "l_quantity")
     n = li.select("doc_id", "ordinal", F.lit(0).alias("start"), (F.col("l_partkey") % 12 + 100).cast("string").alias("value"))
     f = li.where("l_quantity > 25").select("doc_id", "ordinal", F.lit(0).alias("start"), F.array((F.col("l_suppkey") % 4).cast("string")).alias("figure_ids"))
     c = li.select("doc_id", (F.col("l_suppkey") % 12 + 100).cast("string").alias("value"), (F.col("l_suppkey") % 4).cast("string").alias("figure_id"), F.concat(F.lit("c"), "ordinal").alias("callout_id"))
@@ -116,10 +119,8 @@ def parse_identifier(spark, sf_dir):
     k = F.col("o_orderkey")
     n = (k + 1000000).cast("string")
     raw = (
-        F.when(k % 7 == 0, F.concat(F.lit("US D"), F.lit("1234"), F.lit("567 S")).substr(F.lit(1), F.lit(0)).isNull().cast("string"))
-        .when(k % 7 == 1, F.lit("us 2015/123 a1")).when(k % 7 == 2, F.concat(F.lit(" US 2015/"), F.lpad(k.cast("string"), 7, "0"))).when(k % 7 == 3, F.concat(F.lit("U.S. Patent No. "), F.format_number(k + 1000000, 0), F.lit(" B2"))).otherwise(n)
+        F.when(k % 7 == 0, F.concat(n, F.lit(" S"))).when(k % 7 == 1, F.lit("us 2015/123 a1")).when(k % 7 == 2, F.concat(F.lit(" US 2015/"), F.lpad(k.cast("string"), 7, "0"))).when(k % 7 == 3, F.concat(F.lit("U.S. Patent No. "), F.format_number(k + 1000000, 0), F.lit(" B2"))).otherwise(n)
     )
-    raw = F.when(k % 7 == 0, F.concat(n, F.lit(" S"))).otherwise(raw)
     return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_identifier(raw).alias("p")).select("o_orderkey", "p.reason", "p.canonical")
 
 
@@ -152,11 +153,11 @@ def claims_backward(spark, sf_dir):
     return N.backward_claims(r)
 
 
-@query(f"""WITH RECURSIVE {LI}, r AS (SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, CAST(CASE WHEN l_quantity > 40 THEN 1 ELSE l_linenumber END AS INTEGER) AS number FROM li WHERE l_orderkey < 4000),
+@query(f"""WITH RECURSIVE {LI}, r AS (SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, CAST(CASE WHEN l_quantity > 40 THEN 1 ELSE l_linenumber END AS INTEGER) AS number FROM li),
 f AS (SELECT doc_id, min(ordinal) AS ordinal, 1 AS number FROM r WHERE number = 1 GROUP BY doc_id UNION ALL SELECT f.doc_id, (SELECT min(r.ordinal) FROM r WHERE r.doc_id = f.doc_id AND r.ordinal > f.ordinal AND r.number = f.number + 1), f.number + 1 FROM f WHERE f.ordinal IS NOT NULL)
 SELECT doc_id, ordinal, number FROM f WHERE ordinal IS NOT NULL""")
 def claims_forward(spark, sf_dir):
-    r = _items(spark, sf_dir).where("l_orderkey < 4000").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ordinal"), F.when(F.col("l_quantity") > 40, 1).otherwise(F.col("l_linenumber")).cast("int").alias("number"))
+    r = _items(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ordinal"), F.when(F.col("l_quantity") > 40, 1).otherwise(F.col("l_linenumber")).cast("int").alias("number"))
     return N.forward_claims(r)
 
 
@@ -264,8 +265,9 @@ def callout_readings(spark, sf_dir):
     return p.select("p_partkey", "token", F.array_join(C.readings(F.col("token")), ",").alias("readings"))
 
 
-@query("""SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, turns FROM (SELECT conv_id AS doc_id, 0 AS chunk, count(*) AS turns, sum(length(text)) AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) WHERE n <= 2000""")
+@query("""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT doc_id, k, 0 AS chunk, n AS total FROM c WHERE k = 1 UNION ALL SELECT c.doc_id, c.k, CASE WHEN f.total > 0 AND f.total + c.n > 2000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.total > 0 AND f.total + c.n > 2000 THEN c.n ELSE f.total + c.n END FROM f JOIN c ON c.doc_id = f.doc_id AND c.k = f.k + 1)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, count(*) AS turns FROM f GROUP BY 1, 2""")
 def text_chunks(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), "text")
-    small = c.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).where("n <= 2000")
-    return N.chunks(c, ["doc_id"], "ordinal").join(small, "doc_id", "left_semi").groupBy("doc_id", "chunk").agg(F.count("*").alias("turns"))
+    return N.chunks(c, ["doc_id"], "ordinal").groupBy("doc_id", "chunk").agg(F.count("*").alias("turns"))

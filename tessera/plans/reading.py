@@ -51,12 +51,12 @@ def highlight_segments(spark, sf_dir):
     return d.select("doc_id", hits.alias("hits"), F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"])).alias("n"))
 
 
-@query("""WITH s AS (SELECT conv_id AS doc_id, turn, 2 + turn % 3 AS a, 6 + turn % 5 AS b, 'x' AS name FROM conversations WHERE length(text) > 20 UNION ALL SELECT conv_id, turn, 4, 9, 'y' FROM conversations WHERE length(text) > 20),
-e AS (SELECT conv_id AS doc_id, turn, length(text) AS n FROM conversations WHERE length(text) > 20), c AS (SELECT doc_id, turn, a AS place FROM s UNION SELECT doc_id, turn, b FROM s UNION SELECT doc_id, turn, 0 FROM e UNION SELECT doc_id, turn, n FROM e),
+@query("""WITH s AS (SELECT conv_id AS doc_id, turn, 2 + turn % 3 AS a, 6 + turn % 5 AS b, 'x' AS name FROM conversations WHERE length(text) > 0 UNION ALL SELECT conv_id, turn, 4, 9, 'y' FROM conversations WHERE length(text) > 0),
+e AS (SELECT conv_id AS doc_id, turn, length(text) AS n FROM conversations WHERE length(text) > 0), c AS (SELECT doc_id, turn, a AS place FROM s UNION SELECT doc_id, turn, b FROM s UNION SELECT doc_id, turn, 0 FROM e UNION SELECT doc_id, turn, n FROM e),
 p AS (SELECT doc_id, turn, place AS "start", lead(place) OVER (PARTITION BY doc_id, turn ORDER BY place) AS "end" FROM c)
 SELECT p.doc_id, p.turn, CAST(p."start" AS INTEGER) AS "start", CAST(p."end" AS INTEGER) AS "end", coalesce(string_agg(s.name, ',' ORDER BY s.name), '') AS names FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.turn = p.turn AND s.a <= p."start" AND p."end" <= s.b WHERE p."end" IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def mark_intervals(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("length(text) > 20").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    c = table(spark, sf_dir, "conversations").where("length(text) > 0").select(F.col("conv_id").alias("doc_id"), "turn", "text")
     t = F.col("turn")
     one = c.select("doc_id", "turn", (2 + t % 3).cast("int").alias("start"), (6 + t % 5).cast("int").alias("end"), F.lit("x").alias("name"))
     two = c.select("doc_id", "turn", F.lit(4).alias("start"), F.lit(9).alias("end"), F.lit("y").alias("name"))
@@ -93,20 +93,20 @@ def paragraph_starts(spark, sf_dir):
     return N.paragraph_starts(e, ["l_orderkey"]).select("l_orderkey", F.col("ordinal").alias("l_linenumber"), "starts")
 
 
-@query(f"""WITH {LI}, e AS (SELECT l_orderkey AS doc_id, l_linenumber AS entry_ordinal, CAST(l_partkey % 3 AS VARCHAR) AS value, CASE l_suppkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'ambiguous' ELSE 'probable' END AS status FROM li WHERE l_orderkey < 6000),
-g AS (SELECT l_orderkey AS doc_id, l_linenumber AS entry_ordinal, CAST(l_partkey % 3 AS VARCHAR) AS value, CASE l_suppkey % 2 WHEN 0 THEN 'verified' ELSE 'probable' END AS status FROM li WHERE l_orderkey < 6000)
+@query(f"""WITH {LI}, e AS (SELECT l_orderkey AS doc_id, l_linenumber AS entry_ordinal, CAST(l_partkey % 3 AS VARCHAR) AS value, CASE l_suppkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'ambiguous' ELSE 'probable' END AS status FROM li),
+g AS (SELECT l_orderkey AS doc_id, l_linenumber AS entry_ordinal, CAST(l_partkey % 3 AS VARCHAR) AS value, CASE l_suppkey % 2 WHEN 0 THEN 'verified' ELSE 'probable' END AS status FROM li)
 SELECT g.doc_id, count(*) FILTER (e.status = 'verified') AS num, count(*) AS den, count(*) FILTER (e.status = 'ambiguous') AS silent FROM g JOIN e USING (doc_id, entry_ordinal, value) WHERE g.status = 'verified' GROUP BY 1""")
 def association_score(spark, sf_dir):
-    li = _items(spark, sf_dir).where("l_orderkey < 6000").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("entry_ordinal"), (F.col("l_partkey") % 3).cast("string").alias("value"), "l_suppkey")
+    li = _items(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("entry_ordinal"), (F.col("l_partkey") % 3).cast("string").alias("value"), "l_suppkey")
     k = F.col("l_suppkey")
     want = li.withColumn("status", F.when(k % 3 == 0, "verified").when(k % 3 == 1, "ambiguous").otherwise("probable"))
     got = li.withColumn("status", F.when(k % 2 == 0, "verified").otherwise("probable"))
     return M.association_score(want, got)
 
 
-@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN count(*) ELSE 0 END AS den, CASE WHEN lang = 'fr' THEN count(*) FILTER (m = 'unmatched') ELSE 0 END AS num FROM (SELECT source AS doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'unmatched' ELSE 'exact' END AS m FROM documents WHERE lang = 'fr') GROUP BY doc_id, lang""")
+@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN count(*) ELSE 0 END AS den, CASE WHEN lang = 'fr' THEN count(*) FILTER (m = 'unmatched') ELSE 0 END AS num FROM (SELECT source || '/' || lang AS doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'unmatched' ELSE 'exact' END AS m FROM documents ) GROUP BY doc_id, lang""")
 def substitution_rejection(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("source").alias("doc_id"), "lang", F.when(F.col("doc_id") % 2 == 0, "unmatched").otherwise("exact").alias("alignment_method"))
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("doc_id"), "lang", F.when(F.col("doc_id") % 2 == 0, "unmatched").otherwise("exact").alias("alignment_method"))
     return M.substitution_rejection(d, F.col("lang") == "fr")
 
 
@@ -124,13 +124,13 @@ def names_and_files(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.short_name(shown).alias("short"), T.safe_name(F.when(k % 4 == 0, F.lit(" / ")).otherwise(F.col("p_name")), F.lit("none")).alias("file"))
 
 
-@query("""WITH t AS (SELECT doc_id, left(text, 200) AS b, CASE doc_id % 3 WHEN 0 THEN left(text, 198) WHEN 1 THEN left(text, 100) ELSE left(text, 200) || ' one two three four five six seven eight nine ten eleven twelve thirteen' END AS a FROM documents),
+@query("""WITH t AS (SELECT doc_id, text AS b, CASE doc_id % 3 WHEN 0 THEN left(text, greatest(length(text) - 2, 0)) WHEN 1 THEN left(text, length(text) // 2) ELSE text || ' one two three four five six seven eight nine ten eleven twelve thirteen' END AS a FROM documents),
 w AS (SELECT doc_id, length(b) AS c, length(a) AS d, len(list_filter(regexp_split_to_array(trim(b), '\\s+'), lambda x: x <> '')) AS n, len(list_filter(regexp_split_to_array(trim(a), '\\s+'), lambda x: x <> '')) AS m FROM t)
 SELECT doc_id, abs(m - n) <= greatest(2, floor(n * 8 / 100)) AND abs(d - c) <= greatest(12, floor(c * 10 / 100)) AS ok FROM w""")
 def conservative_edits(spark, sf_dir):
-    b = F.left("text", F.lit(200))
+    b, n = F.col("text"), F.length("text")
     i = F.col("doc_id") % 3
-    a = F.when(i == 0, F.left("text", F.lit(198))).when(i == 1, F.left("text", F.lit(100))).otherwise(F.concat(b, F.lit(" one two three four five six seven eight nine ten eleven twelve thirteen")))
+    a = F.when(i == 0, F.left("text", F.greatest(n - 2, F.lit(0)))).when(i == 1, F.left("text", F.floor(n / 2).cast("int"))).otherwise(F.concat(b, F.lit(" one two three four five six seven eight nine ten eleven twelve thirteen")))
     return table(spark, sf_dir, "documents").select("doc_id", T.conservative_edit(b, a).alias("ok"))
 
 
@@ -152,11 +152,14 @@ def replace_by_key(spark, sf_dir):
     return L.first_wins_union([a, b], ["k", "id"])
 
 
-@query("""SELECT event_id % 500 AS job_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'succeeded' ELSE 'running' END AS state FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1 HAVING arg_min(event_type, event_id) = 'view'""")
+@query("""WITH RECURSIVE m(a, e, b) AS (VALUES ('queued', 'claim', 'running'), ('running', 'expire', 'queued'), ('queued', 'cancel', 'cancelled'), ('running', 'cancel', 'cancelling'), ('cancelling', 'stopped', 'cancelled'), ('running', 'succeed', 'succeeded'), ('running', 'fail', 'failed'), ('failed', 'retry', 'queued'), ('cancelled', 'retry', 'queued')),
+e AS (SELECT event_id % 500 AS job_id, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS k, ['claim', 'expire', 'cancel', 'stopped', 'succeed', 'fail', 'retry'][1 + CAST(event_id // 500 * 3 % 7 AS INTEGER)] AS event FROM events),
+f AS (SELECT job_id, 0 AS k, 'queued' AS state FROM (SELECT DISTINCT job_id FROM e) UNION ALL SELECT e.job_id, e.k, coalesce(m.b, f.state) FROM f JOIN e ON e.job_id = f.job_id AND e.k = f.k + 1 LEFT JOIN m ON m.a = f.state AND m.e = e.event)
+SELECT job_id, arg_max(state, k) AS state FROM f GROUP BY job_id""")
 def job_states(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type in ('purchase', 'view')").select((F.col("event_id") % 500).alias("job_id"), F.col("event_id").alias("seq"), "event_type")
-    first = e.groupBy("job_id").agg(F.min_by("event_type", "seq").alias("f")).where("f = 'view'")
-    some = e.join(first, "job_id", "left_semi").select("job_id", "seq", F.when(F.col("event_type") == "view", "claim").otherwise("succeed").alias("event"))
+    kinds = F.array(*[F.lit(x) for x in ("claim", "expire", "cancel", "stopped", "succeed", "fail", "retry")])
+    i = F.col("event_id")
+    some = table(spark, sf_dir, "events").select((i % 500).alias("job_id"), i.alias("seq"), F.get(kinds, (F.floor(i / 500) * 3 % 7).cast("int")).alias("event"))
     return J.final_states(some)
 
 

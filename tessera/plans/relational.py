@@ -296,9 +296,9 @@ def coverage_histogram(spark, sf_dir):
     return e.groupBy("label", "b").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT source, count(*) AS n_words, avg(c) AS mean, count(*) FILTER (c < 50) / count(*) AS low, CAST(sum(length(regexp_replace(left(text, 40), '[^\\p{L}\\p{N}]', '', 'g'))) AS BIGINT) AS useful FROM (SELECT source, text, CAST(least(greatest(n_chars % 130 - 10, 0), 100) AS DOUBLE) AS c FROM documents) GROUP BY source""")
+@query("""SELECT source, count(*) AS n_words, avg(c) AS mean, count(*) FILTER (c < 50) / count(*) AS low, CAST(sum(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))) AS BIGINT) AS useful FROM (SELECT source, text, CAST(least(greatest(n_chars % 130 - 10, 0), 100) AS DOUBLE) AS c FROM documents) GROUP BY source""")
 def ocr_quality(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", F.left("text", F.lit(40)).alias("text"), (F.col("n_chars") % 130 - 10).cast("double").alias("confidence"))
+    d = table(spark, sf_dir, "documents").select("source", "text", (F.col("n_chars") % 130 - 10).cast("double").alias("confidence"))
     return M.ocr_quality(d, ["source"])
 
 
