@@ -95,10 +95,11 @@ def _found(docs: DataFrame, items: DataFrame, k: int, num: int, den: int, radius
     anchors = items.select("m", F.size("sh").alias("s"), F.explode("sh").alias("h")).distinct()  # items of one size share them
     anchors = F.broadcast(anchors) if anchors.count() <= BROADCAST_SHINGLES else anchors
     texts = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), "text")
-    # A row a shingle holds its place and hash alone, so that texts do not grow with the square of their length where these
-    # rows are shuffled. The outer form keeps the optimizer from testing the array's size with a second copy of its expression.
-    cut = texts.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", shingles(F.col("w"), k).alias("sh"))
-    hit = cut.select("doc_id", "row_key", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("i", "h")).join(anchors, "h")
+    # The words stay in the generated code that hashes them: what a join may shuffle is a row a shingle with its place and hash alone.
+    # The outer form keeps the optimizer from cutting the text a second time to test for words.
+    cut = texts.select("doc_id", "row_key", words(F.col("text")).alias("w"))
+    rows = cut.select("doc_id", "row_key", "w", F.explode_outer(F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))).alias("i")).where("i is not null")
+    hit = rows.select("doc_id", "row_key", (F.size("w") - k + 1).alias("n"), "i", _shingle(F.col("w"), F.col("i"), k).alias("h")).join(anchors, "h")
     places = hit.groupBy("doc_id", "row_key", "n", "m", "s").agg(F.sort_array(F.collect_set("i")).alias("at"))
 
     def enough(a: Column, x: Column) -> Column:
