@@ -6,14 +6,12 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom, byte_bpe, decontaminate, minhash, secrets, toxicity
-from tessera.llm.shared import row_key, shared_dir
+from tessera.llm.shared import forget, row_key, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,9 +67,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what one wrote is deleted once the next has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/tessera/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)
     return docs

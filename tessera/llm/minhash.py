@@ -287,6 +287,7 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
             edges = edges.unionByName(written(_linked(pairs, sets, num, den), "links"))
             label = components(edges)
         forget(pairs)
+    forget(classes, rows)  # what is left to read are the signatures, the classes' names and the labels
     out = signed.select("doc_id", "n", "digest").join(reps, "digest", "left").join(label, F.col("id") == F.col("node"), "left")
     component = F.coalesce("label", "id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
