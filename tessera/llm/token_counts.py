@@ -9,7 +9,7 @@ worker and cache fill).
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import texts
 
-#: Pre-tokens that a worker remembers; beyond it starts anew.
+#: Pre-tokens that a worker remembers of either kind of text; beyond it starts anew.
 CACHE = 400_000
 
 
@@ -34,8 +34,10 @@ class Counter:
 
     Texts are cut here by the file's own pattern if all their characters are
     below U+0250, where the two libraries' tables of letters, cases and forms
-    agree, and hold none of the added tokens' strings. All other texts go through the
-    library's own normaliser and pre-tokenizer, or as a whole.
+    agree; other texts are cut by the library's own normaliser and pre-tokenizer.
+    Either way a pre-token is looked up among the whole ones, and merged only if
+    it is not there. Texts that hold an added token's string go through the
+    library as a whole.
     """
 
     def __init__(self, path: str):
@@ -51,30 +53,24 @@ class Counter:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.far = regex.compile(r"[^\x00-ɏ]").search
-        self.letters = {b: c for b, c in byte_letters().items()}
+        self.letters = byte_letters()
         self.cache: dict[str, int] = {}
+        self.spelled_cache: dict[str, int] = {}
         suffix = spec["model"]["end_of_word_suffix"]
-        back = {c: b for b, c in self.letters.items()}
-        self.whole = set()
-        for s in spec["model"]["vocab"]:
-            if s.endswith(suffix) and (w := s[: -len(suffix)]) and all(c in back for c in w) and len(self.tok.model.tokenize(w)) == 1:
-                try:
-                    self.whole.add(bytes(back[c] for c in w).decode())
-                except UnicodeDecodeError:  # part of a character: no pre-token is such a string
-                    pass
-
-    def _one(self, word: str) -> int:
-        if word in self.whole:
-            return 1
-        return len(self.tok.model.tokenize("".join(map(self.letters.__getitem__, word.encode()))))
+        ends = (s[: -len(suffix)] for s in spec["model"]["vocab"] if s.endswith(suffix))
+        self.whole = {w for w in ends if w and self._merged(w) == 1}
 
-    def count(self, text: str) -> int:
-        if any(a in text for a in self.added):
-            return len(self.tok.encode(text, add_special_tokens=False))
-        if self.far(text):
-            return sum(len(self.tok.model.tokenize(w)) for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text)))
-        words = self.words(unicodedata.normalize("NFC", text).lower())
-        cache = self.cache
+    def _merged(self, spelled: str) -> int:
+        return len(self.tok.model.tokenize(spelled))
+
+    def _spelled(self, spelled: str) -> int:
+        """Tokens of a pre-token in the letters of its bytes."""
+        return 1 if spelled in self.whole else self._merged(spelled)
+
+    def _word(self, word: str) -> int:
+        return self._spelled("".join(map(self.letters.__getitem__, word.encode())))
+
+    def _total(self, words: list[str], cache: dict[str, int], one: Callable[[str], int]) -> int:
         try:
             return sum(map(cache.__getitem__, words))
         except KeyError:
@@ -82,9 +78,17 @@ class Counter:
                 cache.clear()
             for w in set(words):
                 if w not in cache:
-                    cache[w] = self._one(w)
+                    cache[w] = one(w)
             return sum(map(cache.__getitem__, words))
 
+    def count(self, text: str) -> int:
+        if any(a in text for a in self.added):
+            return len(self.tok.encode(text, add_special_tokens=False))
+        if self.far(text):
+            cut = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))
+            return self._total([w for w, _ in cut], self.spelled_cache, self._spelled)
+        return self._total(self.words(unicodedata.normalize("NFC", text).lower()), self.cache, self._word)
+
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:

@@ -67,6 +67,15 @@ def test_token_counts(odd, odd_rows, empty):
     assert token_counts.token_counts(empty, JSON).count() == 0
 
 
+def test_whole_tokens_need_no_merging(monkeypatch):
+    ref, own, merged = Tokenizer.from_file(JSON), token_counts.Counter(JSON), []
+    one = own._merged
+    monkeypatch.setattr(own, "_merged", lambda w: merged.append(w) or one(w))
+    for t in ["the people of this city", "the people of “this” city — 漢字", "naïve the 😀"]:
+        assert own.count(t) == len(ref.encode(t, add_special_tokens=False)), t
+    assert not {"the", "people", "of", "this", "city"} & set(merged)
+
+
 def test_long_words_are_summed_in_blocks(monkeypatch):
     import numpy as np
 
