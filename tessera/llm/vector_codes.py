@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Itera
         for at in range(0, batch.num_rows, BLOCK):
             b = batch.slice(at, BLOCK)
             vecs = b.column(column)
-            lengths = pa.compute.list_value_length(vecs).to_numpy()
+            lengths = pc.list_value_length(vecs).to_numpy()
             rows = np.zeros((b.num_rows, width), np.int64)
             rows[np.arange(width) < lengths[:, None]] = vecs.flatten().to_numpy()
             yield b, rows
