@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters that stand for digits in recognised text.
 OCR_LETTERS, OCR_DIGITS = "OolIiSsBZGg", "00111558266"
@@ -116,11 +120,21 @@ def dehyphenated(text: Column) -> Column:
     return F.regexp_replace(text, r"(\p{L})[-‐‑]\s*\n\s*(?=\p{L})", "$1")
 
 
-def stripped_html(html: Column) -> Column:
-    """Tags become spaces, the commonest entities their characters, white space single."""
-    t = F.regexp_replace(html, "<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+def wrapped(text: Column, width: int) -> Column:
+    """Printed lines of a text: as many words as fit width letters each, a longer word by itself."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)\S.{{0,{width - 1}}}(?!\S)|\S+"), F.lit(0))
+
+
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references, named and numbered, as the characters; null stays null."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def stripped_html(markup: Column) -> Column:
+    """Tags become spaces, character references their characters, white space single. Only texts with a reference go to Python."""
+    t = F.regexp_replace(markup, "<[^>]*>", " ")
+    t = F.coalesce(unescaped(F.when(F.contains(t, F.lit("&")), t)), t)
     return F.trim(F.regexp_replace(t, r"[\s\x{A0}]+", " "))
 
 

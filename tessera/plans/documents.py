@@ -252,11 +252,13 @@ def word_dedupe_greedy(spark, sf_dir):
 
 @query()
 def align_lines(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text is not null")
-    line = F.col("text")
-    e = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.when(F.col("turn") % 2 == 0, line).otherwise(F.replace(line, F.lit("e"), F.lit("c"))).alias("source_text"), F.lit(True).alias("flow"))
-    clean = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))), lambda x: x["t"]), "\n").alias("clean_text"))
-    return A.aligned(e, clean).select("doc_id", "ordinal", "alignment_method", "alignment_score")
+    """Turns as printed lines of 60 letters, those of every other turn badly read, against the conversation's whole text."""
+    c = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    lines = c.select("doc_id", "turn", F.posexplode(T.wrapped(F.col("text"), 60)).alias("line", "text"))
+    e = lines.select("doc_id", (F.shiftleft(F.col("turn").cast("long"), 32) + F.col("line")).alias("ordinal"), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("e"), F.lit("c"))).alias("source_text"), F.lit(True).alias("flow"))
+    clean = c.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]), "\n").alias("clean_text"))
+    turn, line = F.shiftright("ordinal", 32).cast("int").alias("turn"), F.col("ordinal").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line")
+    return A.aligned(e, clean).select("doc_id", turn, line, "alignment_method", "alignment_score")
 
 
 @query()

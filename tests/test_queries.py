@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessera.operators.align import align
 from tessera.plans import documents, everyday, reading, relational
 
 SF = "/root/testdata/sf0.001"
@@ -58,14 +57,6 @@ def test_all_orders_are_read(spark, tmp_path, name):
     assert low == high and low
 
 
-def test_lines_are_aligned_whole(spark, tmp_path):
-    said = [" ".join(f"word{t}x{i}" for i in range(20)) + (" better here" if t % 2 else "") for t in range(14)]
-    spark.createDataFrame([(1, t, x) for t, x in enumerate(said)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    want = align([x.replace("e", "c") if t % 2 else x for t, x in enumerate(said)], "\n".join(said), flow=[True] * 14)
-    got = documents.align_lines(spark, str(tmp_path)).orderBy("ordinal").collect()
-    assert [(r["ordinal"], r["alignment_method"], r["alignment_score"]) for r in got] == [(t, x[1], x[2]) for t, x in enumerate(want)]
-
-
 def test_whole_titles_are_compared(spark, tmp_path):
     spark.createDataFrame([(3, "a title of 22 letters " + " " * 40 + "and many more words after that"), (6, "short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {tuple(r) for r in documents.identity_verdict(spark, str(tmp_path)).collect()} == {(3, "insufficient"), (6, "probable")}
