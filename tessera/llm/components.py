@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import forget, written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, start: DataFrame | None = None, steps: int | None = None) -> DataFrame:
     """node, label: the smallest node that each node of an edge (a, b) reaches.
 
-    Each round takes the smallest label of the neighbours and then that label's
-    own label, so the distance covered about doubles; rounds are written
-    tables. No edges give an empty table.
+    A step takes the smallest label of the neighbours and then that label's
+    own label, so the distance covered about doubles; steps are written
+    tables. start: labels of an earlier call, from which to go on. With steps, so
+    many are taken and no more: nodes of one label are then connected, but not all
+    that are connected have one label yet. Nulls, repeated edges and loops are passed over. No edges give an
+    empty table.
     """
-    if not edges.limit(1).count():
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("label"))
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
+    if start is not None:
+        first = first.unionByName(start).groupBy("node").agg(F.min("label").alias("label"))
+    labels, done = first, 0
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         own = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = written(step.join(own, F.col("label") == F.col("to")).select("node", "was", F.least("label", "far").alias("label")), "labels")
-        changed = new.where("label <> was").limit(1).count()
+        new = step.join(own, F.col("label") == F.col("to"), "left").select("node", "was", F.least("label", "far").alias("label"))
+        new, done = written(new, "labels"), done + 1
         forget(labels)
         labels = new
-        if not changed:
-            forget(both)
+        if done == steps or (steps is None and not new.where("label <> was").limit(1).count()):
             return labels.select("node", "label")

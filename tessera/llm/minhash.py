@@ -35,8 +35,8 @@ BANDS, ROWS = 32, 5
 SKETCH, AGREE = 22, 100
 #: Rows of a bucket that go to one task; the rows of larger buckets are dealt out by a hash.
 SPLIT = 1_000
-#: Rounds with one centre for each bucket.
-ROUNDS = 3
+#: Rounds with one centre for each bucket, and how far labels spread after each; the last call spreads them to the end.
+ROUNDS, LABEL_STEPS = 3, 2
 #: Counters that say how common a shingle is (1 MB for each of 4 bytes a million); shingles share them by their hash.
 COUNTERS, COUNTING_TASKS = 1 << 20, 8
 #: Words that a worker remembers; beyond it starts anew.
@@ -126,7 +126,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles of the documents that ids (column id) names, a Bloom filter's few others included."""
+    """doc_id, shingles of the documents that ids (column id) names; the others, but for a Bloom filter's few, are not hashed again."""
     packed, _ = bloom.build(ids, "id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["doc_id", "shingles"])
 
     some = docs.where(bloom.may_hold(docs.sparkSession, packed)(F.col("doc_id")))
-    return some.mapInArrow(run, f"doc_id {kind}, shingles binary").join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "shingles"])
+    return some.mapInArrow(run, f"doc_id {kind}, shingles binary").join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "shingles"])
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -150,20 +150,7 @@ def _alike(a: Column, b: Column) -> Column:
 def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches agree often enough."""
     a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
-
-
-def _with(sets: DataFrame | None, docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """sets and those of ids (column id) that it lacks."""
-    need = ids.distinct()
-    if sets is not None:
-        need = need.join(sets.select(F.col("doc_id").alias("id")), "id", "left_anti")
-    need = written(need, "needed")
-    if sets is not None and not need.limit(1).count():
-        return sets
-    more = written(_sets(docs, need, size), "sets")
-    forget(need)
-    return more if sets is None else sets.unionByName(more)
+    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sa"), F.col("sb"))).select("a", "b")
 
 
 def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -243,18 +230,19 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     docs = texts(df, id_col, text_col)
     signed = written(_signed(docs, size), "signed")
     some = signed.where("n > 0")
-    reps = written(some.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    classes = signed.join(reps, "digest").where(F.col("doc_id") == F.col("id")).dropDuplicates(["digest"]).select("id", "n", "bands", "sketch")
-    classes = written(classes, "representatives")
+    first = F.min_by(F.struct("n", "bands", "sketch"), "doc_id").alias("x")
+    reps = written(some.groupBy("digest").agg(F.min("doc_id").alias("id"), first), "classes")
+    classes = reps.where("id is not null").select("id", "x.n", "x.bands", "x.sketch")
     sketches = classes.select("id", "sketch")
     buckets = classes.select("id", "n", F.explode("bands").alias("key"))
     several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     parts = F.ceil(F.col("m") / SPLIT).cast("int")
     rows = buckets.join(several, "key").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), parts.alias("parts"), F.col("id").alias("a"), "n", F.col("id").alias("label"))
     rows = written(rows, "buckets")
+    sets = written(_sets(docs, rows.select(F.col("a").alias("id")).distinct(), size), "sets")
     close = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
-    edges, sets = written(_repeated_ids(some, reps), "links"), None
-    label = components(edges)
+    edges = written(_repeated_ids(some, reps.select("digest", "id")), "links")
+    label = None
     for r in range(ROUNDS + 1):
         if r:
             rows = rows.drop("label").join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
@@ -266,32 +254,40 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 80, den: int = 100,
             pairs = rows.join(centre, ["key", "part"]).where((F.col("label") != F.col("lb")) & close(F.col("n"), F.col("nb"))).groupBy("a", "b").agg(F.count("*").alias("m"))
             if not r:
                 pairs = pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-            pairs = _agreeing(pairs.select("a", "b"), sketches)
         else:
-            common = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.max("parts").alias("parts")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.max("parts").alias("parts"))
-            common = _spread(common.select("key", F.col("x.label").alias("common"), "parts"))
-            left = rows.join(common, ["key", "part"]).groupBy("a").agg(F.max(F.col("label") != F.col("common")).alias("apart"), F.first("n").alias("n"), F.first("label").alias("label"))
-            left = written(left.join(sketches, F.col("a") == F.col("id")).select("a", "n", "label", "apart", "sketch"), "left")
-            sets = _with(sets, docs, left.select(F.col("a").alias("id")), size)
-            own = sets.join(left.select("a"), F.col("doc_id") == F.col("a"), "left_semi")
-            by_shingle = written(_rarest(own, num, den), "rarest").join(left, "a")
-            apart = by_shingle.where("apart").select("shingle", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("sketch").alias("sx"), F.col("place").alias("px"))
-            once = ~F.col("apart") | (F.col("x") < F.col("a"))
-            common = F.ceil((F.col("n") + F.col("nx")) * F.lit(num) / F.lit(num + den) - 1e-9)  # shingles that a similar pair shares at least
-            ahead = (F.col("place") <= F.col("n") - common) & (F.col("px") <= F.col("nx") - common)
-            pairs = apart.join(by_shingle, "shingle").where(once & (F.col("label") != F.col("lx")) & ahead & _alike(F.col("sketch"), F.col("sx")))
-            pairs = pairs.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        sets = _with(sets, docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), size)
-        if pairs.limit(1).count():
-            edges = edges.unionByName(written(_linked(pairs, sets, num, den), "links"))
-            label = components(edges)
+            pairs = _apart(rows, sets, num, den)
+        pairs = written(_agreeing(pairs.select("a", "b"), sketches), "pairs")
+        edges = edges.unionByName(written(_linked(pairs, sets, num, den), "links"))
+        label = components(edges, label, LABEL_STEPS if r < ROUNDS else None)
         forget(pairs)
-    forget(classes, rows)  # what is left to read are the signatures, the classes' names and the labels
-    out = signed.select("doc_id", "n", "digest").join(reps, "digest", "left").join(label, F.col("id") == F.col("node"), "left")
+    forget(rows, sets)  # what is left to read are the signatures, the classes' names and the labels
+    out = signed.select("doc_id", "n", "digest").join(reps.select("digest", "id"), "digest", "left").join(label, F.col("id") == F.col("node"), "left")
     component = F.coalesce("label", "id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _apart(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the pairs of different labels that may be alike, of which one is outside the commonest label of a bucket.
+
+    A similar pair shares one of each one's rarest shingles. Those of a shingle that
+    more than SPLIT classes have are dealt out, the ones outside going to each part.
+    """
+    common = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.max("parts").alias("parts")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.max("parts").alias("parts"))
+    common = _spread(common.select("key", F.col("x.label").alias("common"), "parts"))
+    left = rows.join(common, ["key", "part"]).groupBy("a").agg(F.max(F.col("label") != F.col("common")).alias("apart"), F.first("n").alias("n"), F.first("label").alias("label"))
+    left = written(left, "left")
+    own = sets.join(left.select("a"), F.col("doc_id") == F.col("a"), "left_semi")
+    rare = written(_rarest(own, num, den).join(left, "a"), "rarest")
+    hot = rare.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > SPLIT).select("shingle", F.ceil(F.col("m") / SPLIT).cast("int").alias("parts"))
+    dealt = rare.join(hot, "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    every = dealt.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    some = _spread(dealt.where("apart").select("shingle", "parts", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("place").alias("px")))
+    once = ~F.col("apart") | (F.col("x") < F.col("a"))
+    shared = F.ceil((F.col("n") + F.col("nx")) * F.lit(num) / F.lit(num + den) - 1e-9)  # shingles that a similar pair shares at least
+    ahead = (F.col("place") <= F.col("n") - shared) & (F.col("px") <= F.col("nx") - shared)
+    pairs = some.join(every, ["shingle", "part"]).where(once & (F.col("label") != F.col("lx")) & ahead & (den * F.least("n", "nx") >= num * F.greatest("n", "nx")))
+    return pairs.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2, num=80, den=100)
