@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import forget, texts, written
+from tessera.llm.shared import texts, written
 from tessera.llm.token_counts import byte_letters
 
-#: Rests that are numbered by one task, about.
-GROUP_ROWS = 50_000
+#: Rests of one length that are numbered together, about; a commoner length has several groups.
+GROUP_ROWS = 500
 #: Characters that are encoded at once; longer texts are cut before a space, where no pre-token goes on.
 CHUNK = 1 << 20
 #: Fixed value: the pattern of byte-level pre-tokens.
@@ -246,20 +246,20 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int | None = 1, i
     with a null id are documents like others; texts of any length are encoded
     whole; an empty table gives no rows; other columns are not read.
 
-    The ids are written once and shuffled once. One task numbers about
-    GROUP_ROWS rests, however many have the same length; the driver and the
+    The ids are written once and shuffled once. About GROUP_ROWS
+    rests are numbered together, however many have the same length; the driver and the
     tasks hold a histogram of window lengths and the steps over it.
     """
     if window < 1 or window >= 1 << 15:
         raise ValueError("window must be from 1 to 32,767")
     spark = df.sparkSession
     coded = written(_encoded(texts(df, id_col, text_col), path, window, end_id), "encoded")
-    salts = max(1, -(-coded.count() // GROUP_ROWS))
-    coded = coded.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    total = sorted(tuple(r) for r in coded.groupBy("rest").agg(F.count("*"), F.sum("full")).collect())  # a row a length
+    salts = F.broadcast(spark.createDataFrame([(rest, -(-m // GROUP_ROWS)) for rest, m, _ in total], "rest long, salts long"))
+    coded = coded.join(salts, "rest").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = coded.groupBy("rest", "salt").agg(F.count("*").alias("m"), F.sum("full").alias("f"))
     groups = written(groups.select("rest", "salt", "m", "f", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0")), "groups")
-    total = sorted(tuple(r) for r in groups.groupBy("rest").agg(F.sum("m"), F.sum("f")).collect())  # a row a length
     fulls, windows = {}, 0
     for rest, _, f in total:
         fulls[rest] = windows
