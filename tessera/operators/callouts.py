@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from tessera.functions import geometry as G
 from tessera.functions.text import confusion_fixed, is_sheet_header
 from tessera.operators.lines import grouped_lines
+from tessera.operators.rounds import one_a_spot
 
 PAGE = ["doc_id", "page_index"]
 # The form of a numeral, the characters trimmed off it, and the score parts and limits.
@@ -104,8 +105,7 @@ def chosen(callouts: DataFrame, support: DataFrame) -> DataFrame:
     """Callouts with the reading that the text supports best and their score; weak ones go, and of readings on one spot the best stays.
 
     A reading that is one insertion or deletion off exactly one supported value
-    counts three quarters. Only the spot rule depends on what was kept before, so
-    it runs per page from the best score down.
+    counts three quarters. The spot rule goes from the best score down.
     """
     c = callouts.withColumn("r", readings(F.col("value"))).where(F.size("r") > 0)
     ev = support.select("doc_id", F.col("value").alias("v"), "support")
@@ -122,16 +122,7 @@ def chosen(callouts: DataFrame, support: DataFrame) -> DataFrame:
     rows = rows.withColumn("method", F.when(F.coalesce(F.col("e.own"), F.lit(False)), "spec_exact").when(F.col("support") > 0, "spec_fuzzy").otherwise("drawing_only"))
     rows = rows.where(F.col("score") >= F.when(F.col("support") > 0, SUPPORTED).otherwise(ALONE)).select(*PAGE, "callout_id", "value", "box", "confidence", F.bround("score", 3).alias("score"), "method")
 
-    def spots(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, taken = [], []
-        for i in pdf.sort_values(["score", "callout_id"], ascending=[False, True]).index:
-            b = pdf.at[i, "box"]
-            if not any(_iou(b, t) >= 0.25 or ((b["x0"] + b["x1"] - t["x0"] - t["x1"]) ** 2 + (b["y0"] + b["y1"] - t["y0"] - t["y1"]) ** 2) ** 0.5 / 2 <= 0.008 for t in taken):
-                keep.append(i)
-                taken.append(b)
-        return pdf.loc[keep]
-
-    return rows.groupBy(*PAGE).applyInPandas(spots, rows.schema)
+    return one_a_spot(rows, PAGE, "callout_id", [-F.col("score"), F.col("callout_id")])
 
 
 def _iou(a, b) -> float:
@@ -271,3 +262,34 @@ def sequenced_figures(figures: DataFrame) -> DataFrame:
         return pdf.drop(columns="_k").assign(in_sequence=[(int(p), k) in run for p, k in zip(pdf["page_index"], keys)])
 
     return rows.groupBy("doc_id").applyInPandas(run, schema)
+
+
+# What a label gains in the run, loses a little or far out of it, how far is little, and the least scores with the text's support and without.
+IN_RUN, NEARLY, FAR, NEAR_BY, WITH_TEXT, WITHOUT_TEXT = 0.04, -0.04, -0.20, 2, 0.34, 0.70
+
+
+def rescored_figures(figures: DataFrame) -> DataFrame:
+    """figures (with in_sequence) scored anew by where they stand to the document's run; weak ones go, and of an id that the run holds, its places outside the run.
+
+    How far a label is out of order is by how much it is below the largest key of the
+    run on pages before it, or above the smallest on pages after it. Labels without a number stay as they are.
+    """
+    from tessera.functions.text import figure_key
+
+    key = F.struct(F.col("_k.number").alias("number"), F.col("_k.suffix").alias("suffix"))
+    rows = figures.withColumn("_k", figure_key(F.col("figure_id"))).withColumn("_k", F.when(F.col("_k").isNotNull(), key))
+    run = F.when(F.col("in_sequence") & F.col("_k").isNotNull(), F.col("_k"))
+    pages = rows.groupBy(*PAGE).agg(F.max(run).alias("_most"), F.min(run).alias("_least"))
+    w = Window.partitionBy("doc_id").orderBy("page_index")
+    around = pages.select(*PAGE, F.max("_most").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_least").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    rows = rows.join(around, PAGE)
+    below = F.when(F.col("_k") < F.col("_before"), F.col("_before.number") - F.col("_k.number"))
+    above = F.when(F.col("_k") > F.col("_after"), F.col("_k.number") - F.col("_after.number"))
+    off = F.greatest(F.lit(0), F.coalesce(below, F.lit(0)), F.coalesce(above, F.lit(0)))
+    change = F.when(F.col("in_sequence"), IN_RUN).when(off <= NEAR_BY, NEARLY).otherwise(FAR)
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0)) + change))
+    numbered = F.col("_k").isNotNull()
+    rows = rows.withColumn("_s", score).where(~numbered | (F.col("_s") >= F.when(F.col("method").startswith("spec_"), WITH_TEXT).otherwise(WITHOUT_TEXT)))
+    rows = rows.withColumn("score", F.when(numbered, F.bround("_s", 3)).otherwise(F.col("score")))
+    held = F.max(F.col("in_sequence") & numbered).over(Window.partitionBy("doc_id", "figure_id"))
+    return rows.withColumn("_h", held).where(~F.col("_h") | (F.col("in_sequence") & numbered)).select(figures.columns)

@@ -18,6 +18,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions.geometry import box, clamped, indent_level
 from tessera.functions.text import gutter_value, ocr_digits, paragraph_marker, without_marker
+from tessera.store import stored
 
 PAGE = ["doc_id", "page_index"]
 # Fixed value: how far a word may be from its line's mean, as a part of the median height.
@@ -197,61 +198,81 @@ def interpolated(rows: DataFrame, anchors: DataFrame, keys: Sequence[str]) -> Da
     return at.withColumn("printed", F.greatest(F.lit(1), F.bround(value).cast("int"))).drop("_a", "_lo", "_hi", "_e", "_l", "_h", "n")
 
 
+def carried_columns(pages: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
+    """doc, page, column: the left column of each page, carried over pages in order.
+
+    pages: doc, page, own (the page's own left column or null), counts (whether the page takes part in the carry and has
+    lines). A page takes its own column unless the pages before it have gone beyond that; without one, what
+    follows the last page's pair, or 1. What is carried after a page is the larger of two sums, so
+    it is a running maximum over running sums: no page waits for the one before it.
+    """
+    w = Window.partitionBy(doc).orderBy(page)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    up = F.when(F.col("counts"), 2).otherwise(0)
+    rows = pages.withColumn("_s", F.sum(up).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    least = F.when(F.col("counts"), F.coalesce("own", F.lit(1)) + 2 - F.col("_s"))
+    so_far = F.max(least).over(before) + F.col("_s") - up
+    return rows.select(doc, page, F.coalesce(F.greatest("own", so_far), F.lit(1)).cast("int").alias("column"))
+
+
+READ = "side int, seq int, printed_line int, box struct<x0:double,y0:double,x1:double,y1:double>, source_text string, confidence double, reference_method string, reference_confidence string, paragraph_start boolean, indent_level int"
+
+
 def grant_entries(words: DataFrame, method: str = "native") -> DataFrame:
     """Entries of grants, cited by column and printed line.
 
-    Pages are read each by itself up to the column pair; the pair carries over
-    pages: a page without one takes what follows the last page's, and one that
-    falls behind it too. Both steps that depend on what came just before run
-    per document over its pages in order.
+    A page is read by itself, into lines of its left and right side. Their columns
+    follow from the pages' own column pairs and how these carry over pages, and
+    their ordinals from how many lines the pages before have; both take one row a page.
     """
     cols = ["doc_id", "page_index", "word_ix", "text", "x0", "y0", "x1", "y1", "confidence"]
     w = words.select(*cols)
     pages = w.select(*PAGE).distinct().join(column_headers(w), PAGE, "left").join(running_header(w), PAGE, "left")
-    pages = pages.select(*PAGE, "left_column", F.greatest(F.lit(CONTENT_TOP), F.coalesce("header_y", F.lit(0.0)), F.coalesce("running_y", F.lit(0.0))).alias("header_y"))
+    pages = pages.select(*PAGE, F.col("left_column").alias("own"), F.greatest(F.lit(CONTENT_TOP), F.coalesce("header_y", F.lit(0.0)), F.coalesce("running_y", F.lit(0.0))).alias("header_y"))
     gutter = gutter_numbers(w, pages).groupBy(*PAGE).agg(
         F.array_sort(F.collect_list(F.struct("cy", "n"))).alias("marks"), F.median("cx").alias("gutter_x"), (F.min("x0") - 0.004).alias("lo"), (F.max("x1") + 0.004).alias("hi")
     )
     info = pages.join(gutter, PAGE, "left")
-    rows = w.join(info, PAGE)
-    schema = "doc_id {0}, page_index int, ordinal int, column int, printed_line int, box struct<x0:double,y0:double,x1:double,y1:double>, source_text string, confidence double, reference_method string, reference_confidence string, paragraph_start boolean, indent_level int".format(w.schema["doc_id"].dataType.simpleString())
+    schema = "doc_id {0}, page_index {1}, own int, {2}".format(*(w.schema[c].dataType.simpleString() for c in PAGE), READ)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, carried = [], None
-        for page, p in pdf.sort_values(["page_index", "word_ix"]).groupby("page_index", sort=True):
-            carried = _read_page(int(page), p, carried, method, out)
-        names = [x.split()[0] for x in schema.split(", ")][1:]
-        got = pd.DataFrame(out, columns=[n for n in names if n != "ordinal"])
-        got.insert(1, "ordinal", range(len(got)))
-        got.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return got[["doc_id", *names]]
-
-    got = rows.groupBy("doc_id").applyInPandas(read, schema)
-    return got.withColumns({"entry_id": entry_id(F.col("ordinal")), "display_text": F.col("source_text")})
+        got = pd.DataFrame(_read_page(pdf.sort_values("word_ix"), method), columns=names[3:])
+        first = pdf.iloc[0]
+        own = None if pd.isna(first["own"]) else int(first["own"])
+        return got.assign(doc_id=first["doc_id"], page_index=first["page_index"], own=pd.array([own] * len(got), "Int32"))[names]
+
+    lines = stored(w.join(info, PAGE).groupBy(*PAGE).applyInPandas(read, schema), "lines")
+    each = lines.groupBy(*PAGE).agg(F.first("own").alias("own"), F.count("*").alias("n"), F.lit(True).alias("counts"))
+    column = carried_columns(each).withColumnRenamed("column", "_left")
+    begin = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = column.join(each.select(*PAGE, begin.alias("_begin")), PAGE)
+    ordinal = (F.col("_begin") + F.col("seq")).cast("int")
+    return lines.join(placed, PAGE).select(
+        *PAGE, ordinal.alias("ordinal"), (F.col("_left") + F.col("side")).alias("column"), *[n for n in names[5:]], entry_id(ordinal).alias("entry_id"), F.col("source_text").alias("display_text")
+    )
 
 
-def _read_page(page: int, p: pd.DataFrame, carried, method: str, out: list) -> tuple[int, int] | None:
+def _read_page(p: pd.DataFrame, method: str) -> list[tuple]:
+    """The lines of a page (as READ): none of a page that has neither a column pair nor three line numbers that rise evenly."""
     first = p.iloc[0]
     marks = [(m["cy"], int(m["n"])) for m in first["marks"]] if first["marks"] is not None and len(np.atleast_1d(first["marks"])) else []
     anchors = progression(marks)
-    own = None if pd.isna(first["left_column"]) else int(first["left_column"])
-    if own is None and len(anchors) < 3:
-        return carried
+    if pd.isna(first["own"]) and len(anchors) < 3:
+        return []
     start = first["header_y"] + HEADER_PAD
+    middle, lo, hi = first["gutter_x"], first["lo"], first["hi"]
     if len(anchors) < 2:
         anchors, middle, lo, hi = [(start, 1), (0.94, LINES_PER_COLUMN)], 0.5, -1.0, -1.0
-    else:
-        middle, lo, hi = first["gutter_x"], first["lo"], first["hi"]
-    pair = (own, own + 1) if own is not None and not (carried and own < carried[0]) else carried or (1, 2)
     cx, cy = (p["x0"] + p["x1"]) / 2, (p["y0"] + p["y1"]) / 2
     body = (cy > start) & (cy <= CONTENT_BOTTOM)
-    before = len(out)
-    for column, side in ((pair[0], cx < middle - 0.005), (pair[1], cx > middle + 0.005)):
-        _read_column(page, column, p[body & side], anchors, start, lo, hi, method, out)
-    return (pair[1] + 1, pair[1] + 2) if len(out) > before else carried
+    out: list[tuple] = []
+    for side, part in enumerate((cx < middle - 0.005, cx > middle + 0.005)):
+        _read_column(side, p[body & part], anchors, start, lo, hi, method, out)
+    return out
 
 
-def _read_column(page, column, p, anchors, start, lo, hi, method, out) -> None:
+def _read_column(side, p, anchors, start, lo, hi, method, out) -> None:
     if not len(p):
         return
     cy, cx = ((p["y0"] + p["y1"]) / 2).to_numpy(), ((p["x0"] + p["x1"]) / 2).to_numpy()
@@ -277,7 +298,7 @@ def _read_column(page, column, p, anchors, start, lo, hi, method, out) -> None:
         on = len(anchors) >= 2 and any(abs(y - a) <= ROW_TOLERANCE for a, _ in anchors)
         x0, y0, x1, y1 = (float(min(max(v, 0.0), 1.0)) for v in (ws["x0"].min(), ws["y0"].min(), ws["x1"].max(), ws["y1"].max()))
         conf = ws["confidence"].mean()
-        out.append((page, column, least, {"x0": x0, "y0": y0, "x1": x1 if x1 > x0 else min(1.0, x0 + 1e-4), "y1": y1 if y1 > y0 else min(1.0, y0 + 1e-4)}, text, None if pd.isna(conf) else float(conf),
+        out.append((side, len(out), least, {"x0": x0, "y0": y0, "x1": x1 if x1 > x0 else min(1.0, x0 + 1e-4), "y1": y1 if y1 > y0 else min(1.0, y0 + 1e-4)}, text, None if pd.isna(conf) else float(conf),
                     "detected" if on else "interpolated", "high" if on else "medium", bool(indent > 0 or apart), indent))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import iou
+from tessera.operators.records import last_labels
+from tessera.operators.rounds import taken_in_turn
 
 # Gate thresholds; the sense tells whether the value must reach or stay under it.
 GATES = [
@@ -31,8 +32,10 @@ def pooled(num: Column, den: Column) -> Column:
 def reference_score(labels: DataFrame, entries: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Per document: labels, exact ones and those within one line; a wrong column or a missing entry is a miss.
 
-    labels: keys, ordinal, column, line; entries: the same. The last label of an ordinal counts (by position).
+    labels: keys, ordinal, column, line; entries: the same. Of several labels of an ordinal the last by position counts, where labels have one.
     """
+    if "position" in labels.columns:
+        labels = last_labels(labels, [*keys, "ordinal"], "position")
     got = entries.select(*keys, "ordinal", F.col("column").alias("got_column"), F.col("line").alias("got_line"))
     both = labels.join(got, [*keys, "ordinal"], "left")
     same = F.coalesce(F.col("column").eqNullSafe(F.col("got_column")), F.lit(False)) & F.col("got_line").isNotNull()
@@ -44,23 +47,12 @@ def greedy_matches(labels: DataFrame, detected: DataFrame, keys: Sequence[str] =
     """keys, label_ix, detected_ix, iou: each label in order takes the free detection of its value and page with
     the largest overlap of at least `least`; of equal ones the last.
 
-    Pairs are made by an equal join; only the choice within one document is sequential.
+    Pairs are made by an equal join and chosen in rounds.
     """
     a = labels.select(*keys, "value", "page_index", F.col("ix").alias("label_ix"), F.col("box").alias("a"))
     b = detected.select(*keys, "value", "page_index", F.col("ix").alias("detected_ix"), F.col("box").alias("b"))
     pairs = a.join(b, [*keys, "value", "page_index"]).withColumn("iou", iou(F.col("a"), F.col("b"))).where(F.col("iou") >= least).select(*keys, "label_ix", "detected_ix", "iou")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, rows in pdf.sort_values(["label_ix", "detected_ix"]).groupby("label_ix", sort=True):
-            free = rows[~rows["detected_ix"].isin(taken)]
-            if len(free):
-                best = free[free["iou"] == free["iou"].max()].iloc[-1]
-                taken.add(best["detected_ix"])
-                out.append(best)
-        return pd.DataFrame(out, columns=pdf.columns).astype(pdf.dtypes.to_dict())
-
-    return pairs.groupBy(*keys).applyInPandas(choose, pairs.schema)
+    return taken_in_turn(pairs, keys, "label_ix", "detected_ix", "iou")
 
 
 def callout_score(labels: DataFrame, detected: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
