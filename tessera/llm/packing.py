@@ -18,7 +18,6 @@ steps, a small table, then say where the n-th rest of a length goes.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 from array import array

@@ -182,7 +182,10 @@ def box_iou(spark, sf_dir):
 
 @query(f"""WITH {_BOXES} SELECT CAST(l_linenumber AS INTEGER) AS l_linenumber, round(median(iou), 9) AS median_iou FROM u GROUP BY 1""")
 def iou_median(spark, sf_dir):
-    return _boxes(spark, sf_dir).groupBy("l_linenumber").agg(F.round(F.median(G.iou(F.col("a"), F.col("b"))), 9).alias("median_iou"))
+    from tessera.operators.rounds import exact_median
+
+    each = _boxes(spark, sf_dir).select("l_linenumber", G.iou(F.col("a"), F.col("b")).alias("iou"))
+    return exact_median(each, ["l_linenumber"], "iou").select("l_linenumber", F.round("median", 9).alias("median_iou"))
 
 
 @query("""WITH g(name, threshold, up) AS (VALUES ('reference_exact', 0.985, true), ('reference_within_one', 0.995, true), ('callout_precision', 0.98, true), ('callout_recall', 0.95, true), ('association_precision', 0.99, true), ('silent_verified_on_ambiguous', 0.0, false), ('substitution_rejection', 1.0, true), ('median_box_iou', 0.85, true)),

@@ -10,11 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessera.plans import documents, everyday, reading, relational
+from tessera.plans import documents, everyday, flows, reading, relational
+from tessera.streaming import live
 
 SF = "/root/testdata/sf0.001"
-SQL = {**relational.SQL, **documents.SQL, **reading.SQL, **everyday.SQL}
-QUERIES = {**relational.QUERIES, **documents.QUERIES, **reading.QUERIES, **everyday.QUERIES}
+SQL = {**relational.SQL, **documents.SQL, **reading.SQL, **everyday.SQL, **flows.SQL}
+QUERIES = {**relational.QUERIES, **documents.QUERIES, **reading.QUERIES, **everyday.QUERIES, **flows.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +71,12 @@ def test_whole_texts_are_imported(spark, tmp_path, monkeypatch):
     assert '"a text of more than twenty lettersx"' in seen[0]
 
 
+def test_the_stream_of_claims_is_the_batch(spark):
+    whole = live.claims(flows.queue_log(spark.read.parquet(f"{SF}/events.parquet")).drop("at"), 60_000)
+    got, want = ({tuple(r) for r in df.collect()} for df in (QUERIES["queue_claims"](spark, SF), whole))
+    assert got >= want and all(r[3] == "expire" for r in got - want)  # the last leases run out as the stream ends
+
+
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
