@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import figure_key
@@ -22,7 +22,7 @@ Key = tuple[int, int]
 # A label's number as drawings show it, what recognition makes of the word before it, and letters read for digits.
 LOOSE_NUMBER = re.compile(r"\b(?:FIGS?|FIGURES?)\s*\.?\s*([0-9ILOilo]+(?:[A-Za-z](?![A-Za-z])|\s+[A-Za-z](?![A-Za-z]))?)", re.IGNORECASE)
 LOOSE_WORD = re.compile(r"\b(?:F[1IilL|!]{1,2}[Gg6Cc][Ss5]?|[FfRrSs][iI1lL][gqG9][uoU0][rnR][eaEA3][sS5]?)[.,;:'`]*\s*([0-9ILOQSBZFW|iloqsbzfw]+(?:[A-Za-z](?![A-Za-z])|\s+[A-Za-z](?![A-Za-z]))?)")
-DIGITS = str.maketrans("IL|WOQSBZF", "1111005827")
+LETTERS_AS_DIGITS = "IL|WOQSBZF", "1111005827"
 LABEL_SCHEMA = "figure_id string, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, method string"
 
 
@@ -35,17 +35,19 @@ def id_of(key: Key) -> str:
     return f"{key[0]}{chr(64 + key[1]) if key[1] else ''}"
 
 
-def loose_ids(token: str) -> list[str]:
-    """Ids that a badly read label may stand for: letters that look like digits replaced, runs of one letter as one, a last letter kept too."""
-    t = re.sub(r"\s", "", token).upper()
-    forms = {t, re.sub(r"([A-Z])\1+", r"\1", t)}
-    out = {f.translate(DIGITS) for f in forms} | {f[:-1].translate(DIGITS) + f[-1] for f in forms if len(f) > 1 and f[-1].isalpha()}
-    return sorted(x for x in out if re.fullmatch(r"\d+[A-Z]?", x))
+def loose_ids(token: Column) -> Column:
+    """Ids that a badly read label may stand for, in order: all its letters read as digits, or all but the last; a letter that repeats may be one."""
+    whole = F.upper(F.regexp_replace(token, r"\s", ""))
+    spellings = F.array(whole, F.regexp_replace(whole, r"([A-Z])\1+", "$1"))
+    digits = lambda x: F.translate(x, *LETTERS_AS_DIGITS)
+    ending = lambda x: F.concat(digits(F.left(x, F.greatest(F.length(x) - 1, F.lit(0)))), F.right(x, F.lit(1)))
+    every = F.concat(F.transform(spellings, digits), F.transform(spellings, ending))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda x: x.rlike("^[0-9]+[A-Z]?$"))))
 
 
 def detected(words: DataFrame) -> DataFrame:
     """PAGE and LABEL_SCHEMA: labels on the lines of each sheet, headers left out; loose readings only on lines without a proper label."""
-    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, page_index int, seq int, expr string, ids array<string>, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, method string"
+    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, page_index int, seq int, expr string, loose boolean, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, method string"
 
     def read(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -55,20 +57,20 @@ def detected(words: DataFrame) -> DataFrame:
                 start = len(text) + bool(text)
                 text = f"{text} {t}" if text else t
                 ends.append((start, len(text)))
-            sure = [(m, m[1], None, "native_text" if line["confidence"].isna().all() else "ocr") for m in re.finditer(FIGURE_REFERENCE, text, re.I)]
-            loose = [(m, None, loose_ids(m[1]), how) for form, how in ((LOOSE_NUMBER, "sparse_ocr_confusable"), (LOOSE_WORD, "fuzzy_prefix")) for m in form.finditer(text)]
-            for m, expr, ids, method in sure or loose:
+            sure = [(m, False, "native_text" if line["confidence"].isna().all() else "ocr") for m in re.finditer(FIGURE_REFERENCE, text, re.I)]
+            loose = [(m, True, how) for form, how in ((LOOSE_NUMBER, "sparse_ocr_confusable"), (LOOSE_WORD, "fuzzy_prefix")) for m in form.finditer(text)]
+            for m, doubtful, method in sure or loose:
                 ws = line[[a < m.end() and b > m.start() for a, b in ends]]
                 box = {"x0": ws["x0"].min(), "y0": ws["y0"].min(), "x1": ws["x1"].max(), "y1": ws["y1"].max()}
                 conf = ws["confidence"].mean()
-                out.append((len(out), expr, ids, box, None if pd.isna(conf) else float(conf), method))
-        got = pd.DataFrame(out, columns=["seq", "expr", "ids", "box", "confidence", "method"])
+                out.append((len(out), m[1], doubtful, box, None if pd.isna(conf) else float(conf), method))
+        got = pd.DataFrame(out, columns=["seq", "expr", "loose", "box", "confidence", "method"])
         got.insert(0, "page_index", pdf["page_index"].iloc[0])
         got.insert(0, "doc_id", pdf["doc_id"].iloc[0])
         return got
 
     found = grouped_lines(without_headers(words)).groupBy(*PAGE).applyInPandas(read, schema)
-    each = found.select(*PAGE, "seq", F.posexplode(F.coalesce("ids", expand_figures(F.col("expr")))).alias("i", "figure_id"), "box", "confidence", "method")
+    each = found.select(*PAGE, "seq", F.posexplode(F.when(F.col("loose"), loose_ids(F.col("expr"))).otherwise(expand_figures(F.col("expr")))).alias("i", "figure_id"), "box", "confidence", "method")
     place = [F.bround(F.col(f"box.{e}") * 10_000).alias(f"_{e}") for e in ("x0", "y0", "x1", "y1")]
     w = Window.partitionBy(*PAGE, "figure_id", *place).orderBy("seq", "i")
     return each.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*PAGE, "figure_id", "box", "confidence", "method")
@@ -289,7 +291,7 @@ def _covered(raw: dict, kept: list[dict]) -> bool:
 def recovered(raw: list[dict], kept: list[dict], expected: set[str]) -> list[tuple[dict, str]]:
     """(raw label, figure id): doubtful labels that no kept one covers, read anew as figures missing between the sheets around.
 
-    raw and kept: figure_id, page_index, box, confidence. On each sheet the
+    raw and kept: figure_id, page_index, box, confidence; raw: forms, what its id may stand for. On each sheet the
     pairs of least edit distance are taken first, each label and figure once; a
     label too far from every missing id stays out.
     """
@@ -301,7 +303,7 @@ def recovered(raw: list[dict], kept: list[dict], expected: set[str]) -> list[tup
     out: list[tuple[dict, str]] = []
     doubtful: dict[int, list[tuple[dict, list[str]]]] = {}
     for x in raw:
-        forms = loose_ids(x["figure_id"]) or [re.sub(r"\s", "", x["figure_id"]).upper()]
+        forms = x["forms"]
         limit = DOUBTFUL if any(key_of(f) in want for f in forms) else IMPOSSIBLE
         if (x["confidence"] or 0.0) <= limit and not _covered(x, [k for k in kept if k["page_index"] == x["page_index"]]):
             doubtful.setdefault(x["page_index"], []).append((x, forms))
@@ -330,7 +332,9 @@ def with_recovered(raw: DataFrame, kept: DataFrame, expected: DataFrame) -> Data
     """kept and the labels read anew (method `spec_sequence_corrected`, score 0.52); all with doc_id, figure_id, page_index, box, confidence, score, method."""
     cols = ["figure_id", "page_index", "box", "confidence"]
     group = lambda df, name, c: df.groupBy("doc_id").agg(F.collect_list(c).alias(name))
-    rows = group(raw, "r", F.struct(*cols)).join(group(kept, "k", F.struct(*cols)), "doc_id").join(group(expected.distinct(), "e", F.col("figure_id")), "doc_id")
+    some = loose_ids(F.col("figure_id"))
+    forms = F.when(F.size(some) > 0, some).otherwise(F.array(F.upper(F.regexp_replace("figure_id", r"\s", "")))).alias("forms")
+    rows = group(raw, "r", F.struct(*cols, forms)).join(group(kept, "k", F.struct(*cols)), "doc_id").join(group(expected.distinct(), "e", F.col("figure_id")), "doc_id")
     schema = kept.select("doc_id", *cols, "score", "method").schema
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

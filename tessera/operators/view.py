@@ -39,11 +39,16 @@ def highlight_ranges(annotations: DataFrame, keys: Sequence[str] = ("doc_id",))
 
 
 def line_at(points: DataFrame, lines: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), reach: float = 0.05) -> DataFrame:
-    """points with the line of the page whose box is nearest, at most reach away; the first of equals."""
+    """points with the line of the page whose box is nearest, at most reach away; the first of equals.
+
+    A point meets only the lines that reach its band of the page.
+    """
+    band = lambda y: F.floor(y / max(reach, 0.02))
     b = F.col("box")
     dx = F.greatest(b["x0"] - F.col("x"), F.col("x") - b["x1"], F.lit(0.0))
     dy = F.greatest(b["y0"] - F.col("y"), F.col("y") - b["y1"], F.lit(0.0))
-    near = points.join(lines.select(*keys, "entry_id", "ordinal", "box"), list(keys)).withColumn("d", F.hypot(dx, dy)).where(F.col("d") <= reach)
+    banded = lines.where(b["y1"] >= b["y0"]).select(*keys, "entry_id", "ordinal", "box", F.explode(F.sequence(band(b["y0"] - reach - 1e-9), band(b["y1"] + reach + 1e-9))).alias("_band"))
+    near = points.withColumn("_band", band(F.col("y"))).join(banded, [*keys, "_band"]).withColumn("d", F.hypot(dx, dy)).where(F.col("d") <= reach)
     best = near.groupBy(*keys, "point_id").agg(F.min_by("entry_id", F.struct("d", "ordinal")).alias("entry_id"))
     return points.join(best, [*keys, "point_id"], "left")
 

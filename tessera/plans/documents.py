@@ -204,12 +204,13 @@ def marker_doc_type(spark, sf_dir):
     return W.count_markers(table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+", -1)).alias("text")))
 
 
-@query(f"""WITH {LI}, r AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS DOUBLE) AS y FROM li), a AS (SELECT *, CAST(10 * y AS INTEGER) AS n FROM r WHERE l_linenumber IN (2, 4, 5)), c AS (SELECT l_orderkey, count(*) AS k, min(y) AS y0, max(y) AS y1 FROM a GROUP BY 1)
-SELECT r.l_orderkey, r.l_linenumber, CAST(CASE WHEN k IS NULL THEN 1 WHEN k = 1 THEN 10 * y0 ELSE greatest(1, 10 * y) END AS INTEGER) AS printed FROM r LEFT JOIN c USING (l_orderkey)""")
+@query(f"""WITH {LI}, r AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS DOUBLE) AS y, CAST(10 * l_linenumber + l_partkey % 4 AS INTEGER) AS n FROM li),
+a AS (SELECT l_orderkey, list({{'y': y, 'n': n}} ORDER BY y) AS m FROM r WHERE l_linenumber IN (2, 4, 5) GROUP BY 1),
+i AS (SELECT r.*, m, coalesce(len(m), 0) AS k, greatest(1, least(len(m) - 1, len(list_filter(m, lambda x: x.y < r.y)))) AS i FROM r LEFT JOIN a USING (l_orderkey))
+SELECT l_orderkey, l_linenumber, CAST(greatest(1, CASE WHEN k = 0 THEN 1 WHEN k = 1 THEN m[1].n ELSE round_even(m[i].n + (y - m[i].y) / (m[i + 1].y - m[i].y) * (m[i + 1].n - m[i].n), 0) END) AS INTEGER) AS printed FROM i""")
 def interp_lines(spark, sf_dir):
-    r = _items(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("double").alias("y"))
-    a = r.where("l_linenumber in (2, 4, 5)").select("l_orderkey", "y", (F.col("y") * 10).cast("int").alias("n"))
-    return W.interpolated(r, a, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "printed")
+    r = _items(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("double").alias("y"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 4).cast("int").alias("n"))
+    return W.interpolated(r.drop("n"), r.where("l_linenumber in (2, 4, 5)").select("l_orderkey", "y", "n"), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "printed")
 
 
 def _words(spark, sf_dir):

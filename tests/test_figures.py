@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.operators import figures as G
 
 from .test_layout import WORDS, word
@@ -41,8 +43,9 @@ def test_reconciliation():
     assert G.reconciled({"3A", "3C"}, {"3T", "7A"}) == {"3A", "3B", "3C"}
 
 
-def test_loose_ids():
-    assert G.loose_ids("l4") == ["14"] and "5" in G.loose_ids("sS") and G.loose_ids("??") == []
+def test_loose_ids(spark):
+    got = spark.createDataFrame([("l4",), ("sS",), ("??",), ("1 1b",), ("11",), ("",), (None,), ("B",)], "t string").select(G.loose_ids(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == [["14"], ["5", "55", "5S"], [], ["118", "11B"], ["11"], [], [], ["8"]]
 
 
 def test_detection(spark):
@@ -60,7 +63,7 @@ def test_documents(spark):
 
 
 def label(i, page, x=0.1, conf=40.0, y=0.1):
-    return {"figure_id": i, "page_index": page, "box": {"x0": x, "y0": y, "x1": x + 0.1, "y1": y + 0.03}, "confidence": conf}
+    return {"figure_id": i, "page_index": page, "box": {"x0": x, "y0": y, "x1": x + 0.1, "y1": y + 0.03}, "confidence": conf, "forms": [i.replace("O", "0")]}
 
 
 def test_doubtful_labels_are_read_anew():
