@@ -67,7 +67,11 @@ def may_hold(spark, packed: np.ndarray):
 
 
 def without(df: DataFrame, id_col: str, drop: DataFrame, drop_col: str) -> DataFrame:
-    """df less the rows whose id is in drop; rows that the filter rules out are not shuffled."""
+    """df less the rows whose id is in drop; rows that the filter rules out are not shuffled.
+
+    Rows with a null id stay, nulls in drop are passed over; repeated rows stay or go together. With nothing to drop, df as it is.
+    Beyond some 3 million ids the filter of 4 MB fills up and more and more rows go through the join as well; none is lost.
+    """
     packed, n = build(drop, drop_col)
     if not n:
         return df

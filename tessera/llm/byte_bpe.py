@@ -128,7 +128,8 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
 
     A null text counts as empty: no ids, the digests of nothing. Row in, row
     out: repeated rows come out as often, a null doc_id stays null, other
-    columns are not read. No shuffle; a task holds one Arrow batch of texts.
+    columns are not read. An empty table gives no rows; texts of any length are
+    encoded whole. No shuffle; a task holds one Arrow batch of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,7 +100,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
 
     A null text counts as empty: 0 bytes, 0 tokens. Row in, row out: repeated
     rows come out as often, a null doc_id stays null, other columns are not
-    read. No shuffle; a task holds one Arrow batch of texts.
+    read. An empty table gives no rows; texts of any length are counted whole. No shuffle; a task holds one Arrow batch of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

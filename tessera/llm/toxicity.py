@@ -220,7 +220,8 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     A null or empty text has no features: its probabilities are those of the
     intercepts, and it is in no category. Row in, row out: repeated rows come
-    out as often, a null doc_id stays null. No shuffle.
+    out as often, a null doc_id stays null. An empty table gives no rows; texts of any length
+    are read whole; columns that keep does not name are not read, whatever their names. No shuffle.
     """
     lean_batches(docs.sparkSession)
     slots, names = chain.slots(), chain.categories

@@ -344,3 +344,21 @@ def test_pipeline(spark):
     assert kept["secrets"] == kept["decontamination"] <= kept["minhash"] <= kept["toxicity"]
     assert not [r for r in before.collect() if base_spans(r["text"] or "")]
     assert C.run(spark, SF).count() == len(kept["secrets"])
+
+
+def test_stages_on_odd_tables(spark, odd, empty):
+    """Nulls, repeated rows, long texts, clashing columns and empty tables, one stage after the other."""
+    import corpus_pipeline as C
+
+    have = collections.Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    for name, stage in C.STAGES:
+        out = stage(spark, odd, SF)
+        if name == "byte_bpe":
+            assert out.count() == odd.count() and stage(spark, empty, SF).count() == 0
+            continue
+        assert out.columns == C.COLUMNS
+        got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert got[None, None] == 1 and got[43, None] == 1  # nothing is said against texts that are not there
+        assert all(n == have[k] for k, n in got.items())  # rows that repeat stay together
+        assert name in ("toxicity", "minhash") or got == have
+        assert stage(spark, empty, SF).count() == 0
