@@ -17,20 +17,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rates toxic go."""
+    """Documents that the classifier chain rates toxic go.
+
+    A null or empty text is never toxic; rows that repeat are rated alike, and a null id's row by its text. An empty
+    table stays empty; without labels nothing goes. Texts are read whole; columns other than COLUMNS are left behind.
+    """
     chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rated = toxicity.score(docs, chain, keep=[c for c in COLUMNS if c != "doc_id"])
     return rated.where(~F.col("is_toxic")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; of rows that repeat an id, all of it do."""
+    """Of each group of near-duplicates the document of the smallest id stays; of rows that repeat an id, all of it do.
+
+    Rows with a null id, and null, empty or wordless texts, stay; an empty table stays empty. Texts are compared whole.
+    """
     found = minhash.near_duplicates(docs, size=5, num=80, den=100)
     return bloom.without(docs.select(*COLUMNS), "doc_id", found.where(~F.col("kept")).select("doc_id"), "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts hold none; of rows that share an id only those whose own text holds one go, repeats of such a
+    row with it. An empty table, or an empty benchmark, changes nothing. Texts are searched whole.
+    """
     found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.select(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).distinct()
     rows = docs.select(*COLUMNS)
@@ -39,7 +50,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span of a secret is replaced by [SECRET]; no document goes. Rows without a candidate pass by the join."""
+    """Every reported span of a secret is replaced by [SECRET]; no document goes. Rows without a candidate pass by the join.
+
+    A null text stays null; n_chars follows a text that changed. Repeated rows come out as often, rows of a null id too.
+    """
     found = secrets.scan(docs, repository=F.concat_ws("/", "source", "lang"), owner="source").where(F.size("found") > 0)
     found = found.select(F.col("doc_id").alias("i"), F.col("row_key").alias("k"), "found").distinct()
     rows = docs.select(*COLUMNS).withColumn("some", F.coalesce(secrets.may_hold(F.col("text")), F.lit(False)))
@@ -50,7 +64,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and the digests of the encoding and its way back."""
+    """doc_id, ids and the digests of the encoding and its way back; a null text is empty. Row in, row out, texts of any length."""
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
