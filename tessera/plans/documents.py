@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,7 +54,23 @@ def dehyphenate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.dehyphenated(t).alias("joined"))
 
 
-@query("""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages) SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s\\x{A0}]+', ' ', 'g')) AS text FROM t""")
+def _references() -> tuple[str, str]:
+    """SQL rows (name, characters) of all named character references, and the names that need no semicolon, longer ones first."""
+    rows = ", ".join("('{}', '{}')".format(n, c.replace("'", "''")) for n, c in html5.items())
+    return rows, "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+
+
+_NAMED, _SHORT = _references()
+
+
+@query(f"""WITH ref(name, ch) AS (VALUES {_NAMED}), t AS (SELECT page_id, string_split(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&') AS parts FROM pages),
+p AS (SELECT page_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS s FROM t),
+n AS (SELECT *, CASE WHEN i > 1 THEN regexp_extract(s, '^[A-Za-z0-9]{{1,31}};') END AS named, CASE WHEN i > 1 THEN regexp_extract(s, '^({_SHORT})') END AS short, CASE WHEN i > 1 THEN regexp_extract(s, '^#([0-9]{{1,6}});?', 1) END AS dec, CASE WHEN i > 1 THEN regexp_extract(s, '^#[xX]([0-9a-fA-F]{{1,5}});?', 1) END AS hex FROM p),
+o AS (SELECT page_id, i, CASE WHEN i = 1 THEN s WHEN r.ch IS NOT NULL THEN r.ch || substr(s, length(named) + 1) WHEN dec <> '' THEN chr(CAST(dec AS INTEGER)) || regexp_replace(s, '^#[0-9]+;?', '')
+  WHEN hex <> '' THEN chr(CAST('0x' || hex AS INTEGER)) || regexp_replace(s, '^#[xX][0-9a-fA-F]+;?', '') WHEN q.ch IS NOT NULL THEN q.ch || substr(s, length(short) + 1) ELSE '&' || s END AS u
+  FROM n LEFT JOIN ref r ON r.name = n.named LEFT JOIN ref q ON q.name = n.short),
+w AS (SELECT page_id, trim(regexp_replace(string_agg(u, '' ORDER BY i), '[\\s\\x{{A0}}]+', ' ', 'g')) AS text FROM o GROUP BY page_id)
+SELECT page_id, text FROM pages LEFT JOIN w USING (page_id)""")
 def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.stripped_html(F.col("html")).alias("text"))
 
