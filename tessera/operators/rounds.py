@@ -105,7 +105,8 @@ def nearest(points: DataFrame, places: DataFrame, keys: Sequence[str], point_id:
         around = F.when(last, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
         rows = open_points.select("*", cell("x", "_x0").alias("_ox"), cell("y", "_y0").alias("_oy"), side.alias("_s"), last.alias("_last"), F.explode(around).alias("_dx"), around.alias("_a"))
         rows = rows.select("*", F.explode("_a").alias("_dy")).withColumns({"_cx": F.col("_ox") + F.col("_dx"), "_cy": F.col("_oy") + F.col("_dy")})
-        d = F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))
+        dx, dy = F.col("x") - F.col("_px"), F.col("y") - F.col("_py")
+        d = F.sqrt(dx * dx + dy * dy)  # hypot rounds otherwise, so that it parts places that are equally far, or joins others
         border = F.col("_s") + F.least(F.col("x") - F.col("_x0") - F.col("_ox") * F.col("_s"), (F.col("_ox") + 1) * F.col("_s") + F.col("_x0") - F.col("x"), F.col("y") - F.col("_y0") - F.col("_oy") * F.col("_s"), (F.col("_oy") + 1) * F.col("_s") + F.col("_y0") - F.col("y"))
         best = rows.join(there, [*keys, "_cx", "_cy"]).withColumn("_d", d).groupBy(*keys, point_id).agg(
             F.min(F.struct(F.col("_d").alias("distance"), "position", "place")).alias("m"), F.min(border).alias("_border"), F.first("_last").alias("_last")

@@ -75,6 +75,15 @@ def test_nearest(spark):
     assert {(r["k"], r["i"]): r["place"] for r in got.collect()} == want
 
 
+def test_equally_far_places_go_by_position(spark):
+    at = lambda k, b: (k % 97 / 100.0, k % b / 100.0)
+    places = [(1, *at(k, 83), str(k), k) for k in (888, 895, 504, 682, 199, 203)]
+    points = [(1, k, *at(k, 89)) for k in (4868, 10769, 4570)]
+    want = {i: min((math.sqrt((x - px) ** 2 + (y - py) ** 2), pos, p) for _, px, py, p, pos in places)[2] for _, i, x, y in points}
+    got = R.nearest(spark.createDataFrame(points, "k int, i int, x double, y double"), spark.createDataFrame(places, "k int, x double, y double, place string, position int"), ["k"], "i")
+    assert {r["i"]: r["place"] for r in got.collect()} == want
+
+
 def test_named_figures_come_first(spark):
     c = spark.createDataFrame([("d", 0, "c1", "fig. 2", box(0.1, 0.1, 0.1, 0.1)), ("d", 0, "c2", None, box(0.1, 0.1, 0.1, 0.1)), ("d", 1, "c3", "x", box(0.1, 0.1, 0.1, 0.1))], f"doc_id string, page_index int, callout_id string, figure_id string, box {BOX}")
     f = spark.createDataFrame([("d", 0, "FIG. 1", box(0.1, 0.1, 0.1, 0.1), 0), ("d", 0, "FIG. 2", box(0.8, 0.8, 0.1, 0.1), 1)], f"doc_id string, page_index int, figure_id string, box {BOX}, position int")
