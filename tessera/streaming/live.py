@@ -7,6 +7,7 @@ forms give for the same log.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -105,7 +106,39 @@ CLAIMS = "queue string, seq long, ms long, event string, job_id string, worker s
 Job = tuple[int, str, int, "str | None", "str | None", "int | None"]  # created (seq), status, attempt, worker, token, lease_until
 
 
-def step(jobs: dict[str, Job], event: dict, lease_ms: int) -> Iterator[tuple]:
+class Jobs(dict):
+    """Jobs of a queue by id, those queued in the order of their making and those on lease by its end: no event looks at all of them.
+
+    A heap's entry counts as long as it is what the job says.
+    """
+
+    def __init__(self, kept: Iterable[tuple[str, Job]] = ()):
+        super().__init__()
+        self.waiting: list[tuple[int, str]] = []
+        self.leases: list[tuple[int, str]] = []
+        for k, j in kept:
+            self[k] = j
+
+    def __setitem__(self, k: str, j: Job) -> None:
+        super().__setitem__(k, j)
+        if j[1] == "queued":
+            heapq.heappush(self.waiting, (j[0], k))
+        if j[5] is not None:
+            heapq.heappush(self.leases, (j[5], k))
+
+    def oldest(self) -> str | None:
+        while self.waiting and self[self.waiting[0][1]][:2] != (self.waiting[0][0], "queued"):
+            heapq.heappop(self.waiting)
+        return self.waiting[0][1] if self.waiting else None
+
+    def run_out(self, ms: int) -> Iterator[tuple[int, str]]:
+        while self.leases and self.leases[0][0] < ms:
+            lease, k = heapq.heappop(self.leases)
+            if self[k][5] == lease:
+                yield lease, k
+
+
+def step(jobs: Jobs, event: dict, lease_ms: int) -> Iterator[tuple]:
     """Rows of CLAIMS (but the queue) that an event of a queue makes; jobs is changed.
 
     Events: submit (a job), claim (a worker takes the oldest job that is queued),
@@ -116,7 +149,7 @@ def step(jobs: dict[str, Job], event: dict, lease_ms: int) -> Iterator[tuple]:
     yield from expired(jobs, event["ms"])
     kind, job = event["event"], event["job_id"]
     if kind == "claim":
-        job = min(((j[0], k) for k, j in jobs.items() if j[1] == "queued"), default=(0, None))[1]
+        job = jobs.oldest()
     old = jobs.get(job)
     if kind == "submit":
         new = None if old else (event["seq"], "queued", 0, None, None, None)
@@ -145,9 +178,9 @@ def step(jobs: dict[str, Job], event: dict, lease_ms: int) -> Iterator[tuple]:
     yield (event["seq"], event["ms"], kind, job, event["worker"], now[4] if now else None, bool(new), now[1] if now else None, now[2] if now else None, now[5] if now else None)
 
 
-def expired(jobs: dict[str, Job], ms: int) -> Iterator[tuple]:
+def expired(jobs: Jobs, ms: int) -> Iterator[tuple]:
     """Jobs whose lease ran out before ms: those running are queued again, those that were to stop are cancelled."""
-    for lease, job in sorted((j[5], k) for k, j in jobs.items() if j[5] is not None and j[5] < ms):
+    for lease, job in jobs.run_out(ms):
         created, status, attempt, worker, token, _ = jobs[job]
         after = "queued" if status == "running" else "cancelled"
         jobs[job] = (created, after, attempt, None, None, None)
@@ -160,8 +193,16 @@ def _frame(queue, rows: Iterable[tuple]) -> pd.DataFrame:
     return out.astype({"seq": "Int64", "attempt": "Int32", "lease_until": "Int64"})
 
 
+def _events(pdf: pd.DataFrame, many: int = 10_000) -> Iterator[list[dict]]:
+    """The events of a log by their number, some at a time."""
+    pdf = pdf.sort_values("seq", ignore_index=True)
+    for i in range(0, len(pdf), many):
+        part = pdf.iloc[i : i + many].astype(object)
+        yield part.where(part.notna(), None).to_dict("records")
+
+
 class _Queue(StatefulProcessor):
-    """The jobs of a queue, with a timer for each lease."""
+    """The jobs of a queue, with a timer for each lease; a timer looks at the jobs of its lease only."""
 
     def __init__(self, lease_ms: int):
         self.lease_ms = lease_ms
@@ -169,34 +210,43 @@ class _Queue(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.jobs = handle.getMapState("jobs", "job_id string", "created long, status string, attempt int, worker string, token string, lease_until long")
+        self.leases = handle.getMapState("leases", "lease_until long", "job_ids array<string>")
         self.last = handle.getValueState("last", "seq long")
 
-    def _kept(self) -> dict[str, Job]:
-        return {k[0]: tuple(v) for k, v in self.jobs.iterator()}
-
     def _keep(self, before: dict[str, Job], now: dict[str, Job]) -> None:
+        ends: dict[int, list[str]] = {}
         for k, j in now.items():
             if before.get(k) != j:
                 self.jobs.updateValue((k,), j)
                 if j[5] is not None:
-                    self.handle.registerTimer(j[5] + 1)
+                    ends.setdefault(j[5], []).append(k)
+        for lease, ids in ends.items():
+            held = self.leases.getValue((lease,)) if self.leases.containsKey((lease,)) else None
+            self.leases.updateValue((lease,), (sorted({*ids, *(held[0] if held else ())}),))
+            self.handle.registerTimer(lease + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self._kept()
-        jobs, (last,), out = dict(before), self.last.get() or (-1,), []
-        for e in sorted((r for pdf in rows for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records")), key=lambda r: r["seq"]):
-            if e["seq"] > last:  # what a restart replays is passed over
-                out += step(jobs, e, self.lease_ms)
-                last = e["seq"]
+        before = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
+        jobs, (last,) = Jobs(before.items()), self.last.get() or (-1,)
+        for events in _events(pd.concat(list(rows))):
+            out = []
+            for e in events:
+                if e["seq"] > last:  # what a restart replays is passed over
+                    out += step(jobs, e, self.lease_ms)
+                    last = e["seq"]
+            yield _frame(key[0], out)
         self._keep(before, jobs)
         self.last.update((int(last),))
-        yield _frame(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        before = self._kept()
-        jobs = dict(before)
-        out = list(expired(jobs, expiredTimerInfo.getExpiryTimeInMs()))
+        lease = expiredTimerInfo.getExpiryTimeInMs() - 1
+        ids = self.leases.getValue((lease,))[0] if self.leases.containsKey((lease,)) else ()
+        before = {k: tuple(self.jobs.getValue((k,))) for k in ids}
+        jobs = Jobs(before.items())
+        out = list(expired(jobs, lease + 1))
         self._keep(before, jobs)
+        if ids:
+            self.leases.removeKey((lease,))
         yield _frame(key[0], out)
 
     def close(self) -> None:
@@ -207,8 +257,8 @@ def claims(log: DataFrame, lease_ms: int, until_ms: int | None = None) -> DataFr
     """CLAIMS of a whole log (LOG): what became of each event, and each lease that ran out before a later event of its queue or until_ms."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        jobs, out = {}, []
-        for e in pdf.sort_values("seq").astype(object).where(pdf.notna(), None).to_dict("records"):
+        jobs, out = Jobs(), []
+        for e in (e for events in _events(pdf) for e in events):
             out += step(jobs, e, lease_ms)
         if until_ms is not None:
             out += expired(jobs, until_ms)

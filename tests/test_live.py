@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,13 @@ def test_clones_live_by_themselves(spark):
     asks = spark.createDataFrame([("d9", "s9", "h", "c", "a9", 7), ("d8", "s8", "other", "c", "a8", 7)], "document_id string, source_id string, sha256 string, config_hash string, artifact_id string, ready_at long")
     got = [tuple(r) for r in publication.cloned(have, src, asks, "o").collect()]
     assert got == [("d9", "s9", "a9", "complete", 7, "artifacts/o/a9", "k1")]
+
+
+def test_a_queue_of_many_jobs_takes_time_in_proportion():
+    n = 30_000
+    log = [{"seq": i, "ms": i, "event": "submit", "job_id": f"j{i}", "worker": None, "token": None} for i in range(n)]
+    log += [{"seq": n + i, "ms": n + i, "event": "claim", "job_id": None, "worker": "w", "token": None} for i in range(n)]
+    jobs, began = live.Jobs(), time.process_time()
+    got = [r for e in log for r in live.step(jobs, e, 10_000)]
+    assert time.process_time() - began < 30  # looking at all jobs for each claim took minutes
+    assert [r[3] for r in got if r[2] == "claim"][:10_000] == [f"j{i}" for i in range(10_000)] and [r[3] for r in got if r[2] == "expire"][:2] == ["j0", "j1"]
