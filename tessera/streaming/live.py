@@ -26,14 +26,24 @@ def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor,
 
 
 class _Limiter(StatefulProcessor):
-    """Admissions of a key in each minute; a minute is forgotten once the watermark is past its end."""
+    """Admissions of a key in each minute that is open, as one value; minutes are forgotten once the watermark is past their end."""
 
     def __init__(self, order: str, cap: int):
         self.order, self.cap = order, cap
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.admitted = handle.getMapState("admitted", "minute long", "n int")
+        self.admitted = handle.getValueState("admitted", "minute array<bigint>, n array<int>")
+
+    def _open(self, past_ms: int) -> dict[int, int]:
+        return {m: n for m, n in zip(*(self.admitted.get() or ((), ()))) if (m + 1) * MINUTE > past_ms}
+
+    def _keep(self, open_minutes: dict[int, int]) -> None:
+        if open_minutes:
+            self.admitted.update((list(open_minutes), list(open_minutes.values())))
+            self.handle.registerTimer((max(open_minutes) + 1) * MINUTE)
+        else:
+            self.admitted.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         some = [x for x in rows if len(x)]
@@ -41,16 +51,14 @@ class _Limiter(StatefulProcessor):
             return
         pdf = pd.concat(some).sort_values(["limit_ms", self.order], ignore_index=True)
         minute = pdf["limit_ms"] // MINUTE
-        before = {m: (self.admitted.getValue((m,)) or (0,))[0] for m in minute.unique().tolist()}
-        n = pdf.groupby(minute).cumcount() + 1 + minute.map(before)
-        for m, asked in minute.value_counts().items():
-            if not before[m]:
-                self.handle.registerTimer((int(m) + 1) * MINUTE)
-            self.admitted.updateValue((int(m),), (min(self.cap, before[m] + int(asked)),))
+        before = self._open(timerValues.getCurrentWatermarkInMs())
+        n = pdf.groupby(minute).cumcount() + 1 + minute.map(before).fillna(0).astype("int64")
+        asked = minute.value_counts().to_dict()
+        self._keep({**before, **{int(m): min(self.cap, before.get(m, 0) + int(k)) for m, k in asked.items()}})
         yield pdf.assign(n=n.astype("int32"))[n <= self.cap].drop(columns=["limit_ms", "limit_at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.admitted.removeKey((expiredTimerInfo.getExpiryTimeInMs() // MINUTE - 1,))
+        self._keep(self._open(expiredTimerInfo.getExpiryTimeInMs()))
         return iter(())
 
     def close(self) -> None:

@@ -190,3 +190,38 @@ def test_a_queue_of_many_jobs_takes_time_in_proportion():
     got = [r for e in log for r in live.step(jobs, e, 10_000)]
     assert time.process_time() - began < 30  # looking at all jobs for each claim took minutes
     assert [r[3] for r in got if r[2] == "claim"][:10_000] == [f"j{i}" for i in range(10_000)] and [r[3] for r in got if r[2] == "expire"][:2] == ["j0", "j1"]
+
+
+def test_open_minutes_are_one_value():
+    """One write of state and one timer for a key's batch, however many minutes it has."""
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def getValueState(self, *args):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    limiter = live._Limiter("id", 2)
+    limiter.init(Handle())
+    rows = pd.DataFrame({"id": range(300), "limit_ms": [i // 3 * live.MINUTE for i in range(300)], "limit_at": None})
+    (out,) = limiter.handleInputRows(("a",), iter([rows]), Times())
+    assert len(out) == 200 and calls == ["update", 100 * live.MINUTE] and len(limiter._open(40 * live.MINUTE)) == 60
