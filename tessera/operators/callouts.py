@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tessera.functions import geometry as G
 from tessera.functions.text import confusion_fixed, is_sheet_header
+from tessera.operators.groups import each_group
 from tessera.operators.lines import grouped_lines
 from tessera.operators.rounds import one_a_spot
 
@@ -147,6 +149,11 @@ def _letters(text: str) -> str:
     return text.strip().casefold()
 
 
+def _placed(w: dict) -> dict:
+    """A word whose unknown edges are no number, which no spot equals."""
+    return {**w, **{e: math.nan for e in ("x0", "y0", "x1", "y1") if w[e] is None}}
+
+
 def _sure(confidence) -> float:
     return 0.0 if pd.isna(confidence) else float(confidence)
 
@@ -158,48 +165,59 @@ def merged_words(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFra
     ends where it ends; the one with more letters and digits stays, then the wider, then the surer.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = lambda w: (sum(c.isalnum() for c in w["text"]), max(0.0, w["x1"] - w["x0"]), _sure(w["confidence"]))
-        rows = pdf.to_dict("records")
-        cy = lambda w: (w["y0"] + w["y1"]) / 2
-        kept: list[int] = []
-        for i in sorted(range(len(rows)), key=lambda i: (-_sure(rows[i]["confidence"]), cy(rows[i]), rows[i]["x0"], rows[i]["word_ix"])):
-            w = rows[i]
-            for n, j in enumerate(kept):
-                k = rows[j]
-                same = _letters(k["text"]) == _letters(w["text"]) and _near(k, w)
+    rank = lambda w: (sum(c.isalnum() for c in w["text"]), max(0.0, w["x1"] - w["x0"]), _sure(w["confidence"]))
+    cy = lambda w: (w["y0"] + w["y1"]) / 2
+    at = lambda v: math.floor(v / 0.0081) if math.isfinite(v) else 0
+    cell = lambda w: (at(cy(w)), at(w["x1"]))
+
+    def merge(rows: list[dict]) -> list[list]:
+        kept: list[dict] = []
+        by_text: dict[str, dict[int, None]] = {}
+        by_cell: dict[tuple[int, int], dict[int, None]] = {}
+        for w in sorted(map(_placed, rows), key=lambda w: (-_sure(w["confidence"]), cy(w), w["x0"], w["word_ix"])):
+            text, (y, x) = _letters(w["text"]), cell(w)
+            around = {n for i in (y - 1, y, y + 1) for j in (x - 1, x, x + 1) for n in by_cell.get((i, j), ())}
+            for n in sorted(around.union(by_text.get(text, ()))):
+                k = kept[n]
+                same = _letters(k["text"]) == text and _near(k, w)
                 if same or (abs(cy(k) - cy(w)) <= 0.008 and _within(k, w) >= 0.82 and abs(k["x1"] - w["x1"]) <= 0.008):
                     if rank(w) > rank(k):
-                        kept[n] = i
+                        del by_text[_letters(k["text"])][n], by_cell[cell(k)][n]
+                        kept[n] = w
+                        by_text.setdefault(text, {})[n] = by_cell.setdefault((y, x), {})[n] = None
                     break
             else:
-                kept.append(i)
-        return pdf.iloc[kept]
+                by_text.setdefault(text, {})[len(kept)] = by_cell.setdefault((y, x), {})[len(kept)] = None
+                kept.append(w)
+        return [list(w.values()) for w in kept]
 
-    return words.groupBy(*keys).applyInPandas(merge, words.schema)
+    return each_group(words, keys, ["word_ix"], merge, words.schema)
 
 
 def fused_words(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFrame:
     """Equal words on one spot as the surest of them, two points surer for each further reading, eight at most."""
 
-    def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fuse(rows: list[dict]) -> list[list]:
         groups: list[list[dict]] = []
-        for w in pdf.sort_values("word_ix").to_dict("records"):
-            for g in groups:
-                if _letters(g[0]["text"]) == _letters(w["text"]) and _near(g[0], w):
+        by_text: dict[str, list[list[dict]]] = {}
+        for w in map(_placed, rows):
+            known = by_text.setdefault(_letters(w["text"]), [])
+            for g in known:
+                if _near(g[0], w):
                     g.append(w)
                     break
             else:
-                groups.append([w])
+                known.append([w])
+                groups.append(known[-1])
         out = []
         for g in groups:
             best = dict(max(g, key=lambda w: _sure(w["confidence"])))
             if len(g) > 1 and not pd.isna(best["confidence"]):
                 best["confidence"] = min(100.0, best["confidence"] + min(8.0, 2.0 * (len(g) - 1)))
-            out.append(best)
-        return pd.DataFrame(out, columns=pdf.columns)
+            out.append(list(best.values()))
+        return out
 
-    return words.groupBy(*keys).applyInPandas(fuse, words.schema)
+    return each_group(words, keys, ["word_ix"], fuse, words.schema)
 
 
 def strongest_figures(occurrences: DataFrame, expected: DataFrame) -> DataFrame:
@@ -234,11 +252,18 @@ def sequence(labels: list[tuple[int, tuple[int, int], float]]) -> set[tuple[int,
     for page, key, s in labels:
         best[page, key] = max(s, best.get((page, key), 0.0))
     nodes = sorted(best)
+    rank = {k: r for r, k in enumerate(sorted({k for _, k in nodes}), 1)}
+    tops: list[tuple[int, float, int]] = [(0, 0, 1)] * (len(rank) + 1)  # the best chain's end over ranges of lower keys
     chain: list[tuple[int, float, int]] = []
     for i, (page, key) in enumerate(nodes):
-        ahead = [(chain[j][0], chain[j][1], -j) for j in range(i) if nodes[j][1] < key]
-        n, w, j = max(ahead, default=(0, 0.0, 1))
+        ahead, r = (0, 0, 1), rank[key] - 1
+        while r > 0:
+            ahead, r = max(ahead, tops[r]), r & (r - 1)
+        n, w, j = ahead
         chain.append((n + 1, w + best[page, key], -j))
+        end, r = (n + 1, w + best[page, key], -i), rank[key]
+        while r < len(tops):
+            tops[r], r = max(tops[r], end), r + (r & -r)
     if not nodes:
         return set()
     i = max(range(len(nodes)), key=lambda k: (chain[k][0], tuple(-x for x in nodes[k][1]), -nodes[k][0], chain[k][1]))
@@ -256,12 +281,12 @@ def sequenced_figures(figures: DataFrame) -> DataFrame:
     rows = figures.withColumn("_k", figure_key(F.col("figure_id")))
     schema = StructType([*figures.schema, StructField("in_sequence", BooleanType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [(k["number"], k["suffix"]) if k is not None else None for k in pdf["_k"]]
-        run = sequence([(int(p), k, float(s)) for p, k, s in zip(pdf["page_index"], keys, pdf["score"]) if k])
-        return pdf.drop(columns="_k").assign(in_sequence=[(int(p), k) in run for p, k in zip(pdf["page_index"], keys)])
+    def run(group: list[dict]) -> list[list]:
+        keys = [(k["number"], k["suffix"]) if k is not None else None for k in (x.pop("_k") for x in group)]
+        held = sequence([(int(x["page_index"]), k, float(x["score"] or 0.0)) for x, k in zip(group, keys) if k])
+        return [[*x.values(), k is not None and (int(x["page_index"]), k) in held] for x, k in zip(group, keys)]
 
-    return rows.groupBy("doc_id").applyInPandas(run, schema)
+    return each_group(rows, ["doc_id"], ["page_index"], run, schema)
 
 
 # What a label gains in the run, loses a little or far out of it, how far is little, and the least scores with the text's support and without.
