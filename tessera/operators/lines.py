@@ -8,16 +8,17 @@ is around the mean of the words it has so far; all else are joins and windows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from statistics import median
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType, _parse_datatype_string
 
 from tessera.functions.geometry import box, clamped, indent_level
 from tessera.functions.text import gutter_value, ocr_digits, paragraph_marker, without_marker
+from tessera.operators.groups import each_group
 from tessera.store import stored
 
 PAGE = ["doc_id", "page_index"]
@@ -151,7 +152,7 @@ def running_header(words: DataFrame) -> DataFrame:
 def gutter_numbers(words: DataFrame, headers: DataFrame) -> DataFrame:
     """Printed line numbers of the centre strip below the header, without those off the strip's own median."""
     rows = words.join(headers.select(*PAGE, "header_y"), PAGE).withColumns({"cy": (F.col("y0") + F.col("y1")) / 2, "cx": (F.col("x0") + F.col("x1")) / 2, "n": gutter_value(F.col("text"))})
-    rows = rows.where((F.col("cy") > F.col("header_y") + HEADER_PAD) & (F.abs(F.col("cx") - 0.5) < GUTTER_HALF_WIDTH) & F.col("n").isNotNull())
+    rows = stored(rows.where((F.col("cy") > F.col("header_y") + HEADER_PAD) & (F.abs(F.col("cx") - 0.5) < GUTTER_HALF_WIDTH)), "strip").where("n is not null")
     w = Window.partitionBy(*PAGE)
     rows = rows.withColumns({"_m": F.median("cx").over(w), "_c": F.count("*").over(w)})
     return rows.where((F.col("_c") < 3) | (F.abs(F.col("cx") - F.col("_m")) <= GUTTER_SPREAD)).drop("_m", "_c")
@@ -182,20 +183,22 @@ def printed_line(anchors: list[tuple[float, int]], y: float) -> int:
 def interpolated(rows: DataFrame, anchors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rows (keys, y) with the printed line of their height, by windows alone: the anchors around a row are the last at or
     before it and the next one; outside, the two nearest the end."""
-    marks = anchors.select(*keys, "y", "n", F.lit(True).alias("_a")).unionByName(rows.withColumn("_a", F.lit(False)), allowMissingColumns=True)
     whole = Window.partitionBy(*keys)
-    pair = F.when(F.col("_a"), F.struct("y", "n"))
+    a = anchors.select(*keys, "y", "n", F.lit(True).alias("_a"), F.row_number().over(whole.orderBy("y", "n")).alias("_i"), F.count("*").over(whole).alias("_c"))
+    marks = a.unionByName(rows.withColumn("_a", F.lit(False)), allowMissingColumns=True)
+    pair = F.struct("y", "n")
     up = whole.orderBy(F.col("y"), F.col("_a").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = whole.orderBy(F.col("y").desc(), F.col("_a").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = F.array_sort(F.collect_list(pair).over(whole))
-    out = marks.withColumns({"_lo": F.last(pair, ignorenulls=True).over(up), "_hi": F.last(pair, ignorenulls=True).over(down), "_e": every}).where("not _a")
-    size = F.size("_e")
-    lo = F.when(F.col("_lo").isNull(), F.get("_e", F.lit(0))).when(F.col("_hi").isNull(), F.get("_e", size - 2)).otherwise(F.col("_lo"))
-    hi = F.when(F.col("_lo").isNull(), F.get("_e", F.lit(1))).when(F.col("_hi").isNull(), F.get("_e", size - 1)).otherwise(F.col("_hi"))
+    near = {"_lo": F.last(F.when(F.col("_a"), pair), ignorenulls=True).over(up), "_hi": F.last(F.when(F.col("_a"), pair), ignorenulls=True).over(down)}
+    held = {"_size": F.coalesce(F.max("_c").over(whole), F.lit(0)), **{f"_{n}": F.max(F.when(i, pair)).over(whole) for n, i in (("e0", F.col("_i") == 1), ("e1", F.col("_i") == 2), ("z1", F.col("_i") == F.col("_c") - 1), ("z0", F.col("_i") == F.col("_c")))}}
+    out = marks.withColumns({**near, **held}).where("not _a")
+    size = F.col("_size")
+    lo = F.when(F.col("_lo").isNull(), F.col("_e0")).when(F.col("_hi").isNull(), F.col("_z1")).otherwise(F.col("_lo"))
+    hi = F.when(F.col("_lo").isNull(), F.col("_e1")).when(F.col("_hi").isNull(), F.col("_z0")).otherwise(F.col("_hi"))
     at = out.withColumns({"_l": lo, "_h": hi})
     dy = F.nullif(F.col("_h.y") - F.col("_l.y"), F.lit(0.0))
-    value = F.when(size == 0, 1.0).when(size == 1, F.get("_e", F.lit(0))["n"].cast("double")).otherwise(F.coalesce(F.col("_l.n") + (F.col("y") - F.col("_l.y")) / dy * (F.col("_h.n") - F.col("_l.n")), F.col("_l.n").cast("double")))
-    return at.withColumn("printed", F.greatest(F.lit(1), F.bround(value).cast("int"))).drop("_a", "_lo", "_hi", "_e", "_l", "_h", "n")
+    value = F.when(size == 0, 1.0).when(size == 1, F.col("_e0.n").cast("double")).otherwise(F.coalesce(F.col("_l.n") + (F.col("y") - F.col("_l.y")) / dy * (F.col("_h.n") - F.col("_l.n")), F.col("_l.n").cast("double")))
+    return at.withColumn("printed", F.greatest(F.lit(1), F.bround(value).cast("int"))).drop("_a", "_i", "_c", "_lo", "_hi", *held, "_l", "_h", "n")
 
 
 def carried_columns(pages: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
@@ -226,23 +229,21 @@ def grant_entries(words: DataFrame, method: str = "native") -> DataFrame:
     their ordinals from how many lines the pages before have; both take one row a page.
     """
     cols = ["doc_id", "page_index", "word_ix", "text", "x0", "y0", "x1", "y1", "confidence"]
-    w = words.select(*cols)
+    w = stored(words.select(*cols), "words")  # five steps read them
     pages = w.select(*PAGE).distinct().join(column_headers(w), PAGE, "left").join(running_header(w), PAGE, "left")
-    pages = pages.select(*PAGE, F.col("left_column").alias("own"), F.greatest(F.lit(CONTENT_TOP), F.coalesce("header_y", F.lit(0.0)), F.coalesce("running_y", F.lit(0.0))).alias("header_y"))
+    pages = stored(pages.select(*PAGE, F.col("left_column").alias("own"), F.greatest(F.lit(CONTENT_TOP), F.coalesce("header_y", F.lit(0.0)), F.coalesce("running_y", F.lit(0.0))).alias("header_y")), "pages")
     gutter = gutter_numbers(w, pages).groupBy(*PAGE).agg(
         F.array_sort(F.collect_list(F.struct("cy", "n"))).alias("marks"), F.median("cx").alias("gutter_x"), (F.min("x0") - 0.004).alias("lo"), (F.max("x1") + 0.004).alias("hi")
     )
-    info = pages.join(gutter, PAGE, "left")
+    info = stored(pages.join(gutter, PAGE, "left"), "info")
     schema = "doc_id {0}, page_index {1}, own int, {2}".format(*(w.schema[c].dataType.simpleString() for c in PAGE), READ)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = pd.DataFrame(_read_page(pdf.sort_values("word_ix"), method), columns=names[3:])
-        first = pdf.iloc[0]
-        own = None if pd.isna(first["own"]) else int(first["own"])
-        return got.assign(doc_id=first["doc_id"], page_index=first["page_index"], own=pd.array([own] * len(got), "Int32"))[names]
+    def read(page: list[dict]) -> list[tuple]:
+        first = page[0]
+        return [(*(first[c] for c in PAGE), first["own"], *r) for r in _read_page(page, method)]
 
-    lines = stored(w.join(info, PAGE).groupBy(*PAGE).applyInPandas(read, schema), "lines")
+    lines = stored(each_group(w.join(info, PAGE), PAGE, ["word_ix"], read, _parse_datatype_string(schema)), "lines")
     each = lines.groupBy(*PAGE).agg(F.first("own").alias("own"), F.count("*").alias("n"), F.lit(True).alias("counts"))
     column = carried_columns(each).withColumnRenamed("column", "_left")
     begin = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -253,52 +254,63 @@ def grant_entries(words: DataFrame, method: str = "native") -> DataFrame:
     )
 
 
-def _read_page(p: pd.DataFrame, method: str) -> list[tuple]:
+def _mean(values: list[float]) -> float:
+    return float(np.array(values).sum() / len(values))
+
+
+def _read_page(words: list[dict], method: str) -> list[tuple]:
     """The lines of a page (as READ): none of a page that has neither a column pair nor three line numbers that rise evenly."""
-    first = p.iloc[0]
-    marks = [(m["cy"], int(m["n"])) for m in first["marks"]] if first["marks"] is not None and len(np.atleast_1d(first["marks"])) else []
-    anchors = progression(marks)
-    if pd.isna(first["own"]) and len(anchors) < 3:
+    first = words[0]
+    anchors = progression([(m["cy"], int(m["n"])) for m in first["marks"] or ()])
+    if first["own"] is None and len(anchors) < 3:
         return []
     start = first["header_y"] + HEADER_PAD
     middle, lo, hi = first["gutter_x"], first["lo"], first["hi"]
     if len(anchors) < 2:
         anchors, middle, lo, hi = [(start, 1), (0.94, LINES_PER_COLUMN)], 0.5, -1.0, -1.0
-    cx, cy = (p["x0"] + p["x1"]) / 2, (p["y0"] + p["y1"]) / 2
-    body = (cy > start) & (cy <= CONTENT_BOTTOM)
+    sides: tuple[list[dict], list[dict]] = ([], [])
+    for w in words:
+        if any(w[e] is None for e in ("x0", "y0", "x1", "y1")):
+            continue
+        cx, cy = (w["x0"] + w["x1"]) / 2, (w["y0"] + w["y1"]) / 2
+        if start < cy <= CONTENT_BOTTOM and (cx < middle - 0.005 or cx > middle + 0.005):
+            sides[cx > middle].append({**w, "cx": cx, "cy": cy})
     out: list[tuple] = []
-    for side, part in enumerate((cx < middle - 0.005, cx > middle + 0.005)):
-        _read_column(side, p[body & part], anchors, start, lo, hi, method, out)
+    for side, part in enumerate(sides):
+        _read_column(side, part, anchors, start, lo, hi, method, out)
     return out
 
 
-def _read_column(side, p, anchors, start, lo, hi, method, out) -> None:
-    if not len(p):
+def _read_column(side, words, anchors, start, lo, hi, method, out) -> None:
+    if not words:
         return
-    cy, cx = ((p["y0"] + p["y1"]) / 2).to_numpy(), ((p["x0"] + p["x1"]) / 2).to_numpy()
-    p = p.assign(line=line_numbers(cy, p["x0"].to_numpy(), (p["y1"] - p["y0"]).to_numpy()), cy=cy, cx=cx)
+    number = line_numbers(*(np.array(v) for v in zip(*((w["cy"], w["x0"], w["y1"] - w["y0"]) for w in words)))).tolist()
+    parts: dict[int, list[dict]] = {}
+    for n, w in zip(number, words):
+        parts.setdefault(n, []).append(w)
     lines = []
-    for _, ln in p.groupby("line", sort=True):
-        ws = ln[~ln["cx"].between(lo, hi)].sort_values("x0", kind="stable")
-        text = join_words(ws["text"].tolist(), ws["x0"].to_numpy(), ws["x1"].to_numpy(), method == "ocr")
-        if ln["cy"].mean() >= start and text and not (len(ws) == 1 and text.strip().rstrip(".").isdigit() and len(text.strip().rstrip(".")) <= 3):
-            lines.append((ln["cy"].mean(), ws, text))
-    ys = np.array([y for y, _, _ in lines])
-    gaps = np.diff(ys)
-    typical = float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else 0.0
-    left = float(np.median([ws["x0"].min() for _, ws, _ in lines])) if lines else 0.0
+    for n in sorted(parts):
+        y = _mean([w["cy"] for w in parts[n]])
+        ws = sorted((w for w in parts[n] if not lo <= w["cx"] <= hi), key=lambda w: w["x0"])
+        text = join_words([w["text"] for w in ws], [w["x0"] for w in ws], [w["x1"] for w in ws], method == "ocr")
+        if y >= start and text and not (len(ws) == 1 and text.strip().rstrip(".").isdigit() and len(text.strip().rstrip(".")) <= 3):
+            lines.append((y, ws, text))
+    gaps = [b[0] - a[0] for a, b in zip(lines, lines[1:]) if b[0] > a[0]]
+    typical = median(gaps) if gaps else 0.0
+    left = median([min(w["x0"] for w in ws) for _, ws, _ in lines]) if lines else 0.0
     least = 0
     for i, (y, ws, text) in enumerate(lines):
-        heights = (ws["y1"] - ws["y0"]).to_numpy()
-        unit = max(0.008, (np.median(heights[heights > 0]) if (heights > 0).any() else 0.012) * 0.65)
-        offset = ws["x0"].min() - left
+        heights = [w["y1"] - w["y0"] for w in ws if w["y1"] > w["y0"]]
+        unit = max(0.008, (median(heights) if heights else 0.012) * 0.65)
+        edges = (min(w["x0"] for w in ws), min(w["y0"] for w in ws), max(w["x1"] for w in ws), max(w["y1"] for w in ws))
+        offset = edges[0] - left
         indent = 0 if offset < unit * 0.55 else max(1, min(6, round(offset / unit)))
-        apart = i > 0 and typical > 0 and y - ys[i - 1] >= max(0.018, 1.6 * typical)
+        apart = i > 0 and typical > 0 and y - lines[i - 1][0] >= max(0.018, 1.6 * typical)
         least = max(least, printed_line(anchors, y))
         on = len(anchors) >= 2 and any(abs(y - a) <= ROW_TOLERANCE for a, _ in anchors)
-        x0, y0, x1, y1 = (float(min(max(v, 0.0), 1.0)) for v in (ws["x0"].min(), ws["y0"].min(), ws["x1"].max(), ws["y1"].max()))
-        conf = ws["confidence"].mean()
-        out.append((side, len(out), least, {"x0": x0, "y0": y0, "x1": x1 if x1 > x0 else min(1.0, x0 + 1e-4), "y1": y1 if y1 > y0 else min(1.0, y0 + 1e-4)}, text, None if pd.isna(conf) else float(conf),
+        x0, y0, x1, y1 = (float(min(max(v, 0.0), 1.0)) for v in edges)
+        sure = [w["confidence"] for w in ws if w["confidence"] is not None]
+        out.append((side, len(out), least, {"x0": x0, "y0": y0, "x1": x1 if x1 > x0 else min(1.0, x0 + 1e-4), "y1": y1 if y1 > y0 else min(1.0, y0 + 1e-4)}, text, _mean(sure) if sure else None,
                     "detected" if on else "interpolated", "high" if on else "medium", bool(indent > 0 or apart), indent))
 
 

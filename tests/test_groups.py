@@ -4,6 +4,7 @@ import math
 import random
 
 from tessera.operators import callouts as C
+from tessera.operators import lines as W
 
 WORDS = "doc_id int, page_index int, word_ix int, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 
@@ -75,3 +76,17 @@ def test_words_merge_as_if_each_saw_all(spark):
     assert {tuple(r) for r in got.collect()} == {w for p in range(8) for w in merged([r for r in rows if r[1] == p])}
     odd = spark.createDataFrame([(1, 0, 0, "a", None, 0.1, 0.2, 0.2, 1.0), (1, 0, 1, "a", 0.1, 0.1, math.nan, 0.2, 1.0)], WORDS)
     assert C.merged_words(odd).count() == 2 and C.fused_words(odd).count() == 2
+
+
+def test_anchors_are_not_carried_whole(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, 1.0)], "k int, y double")
+    anchors = spark.createDataFrame([(1, float(i), i) for i in range(50)], "k int, y double, n int")
+    got = W.interpolated(rows, anchors, ["k"])
+    assert "collect_list" not in plan(got) and {(r["k"], r["printed"]) for r in got.collect()} == {(1, 1), (2, 1)}
+
+
+def test_pages_are_read_as_plain_rows():
+    first = {"own": 3, "marks": None, "header_y": 0.06, "gutter_x": None, "lo": None, "hi": None}
+    word = lambda i, t, x, y: {"word_ix": i, "text": t, "x0": x, "y0": y, "x1": x + 0.1, "y1": y + 0.01, "confidence": None, **first}
+    got = W._read_page([word(0, "a", 0.1, 0.2), word(1, "b", 0.25, 0.2), word(2, "c", 0.6, 0.2), {**word(3, "d", 0.1, 0.3), "x0": None}], "native")
+    assert [(r[0], r[4]) for r in got] == [(0, "a b"), (1, "c")]
