@@ -122,12 +122,13 @@ def nearest(points: DataFrame, places: DataFrame, keys: Sequence[str], point_id:
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, bins: int = 1024) -> DataFrame:
     """keys, median of the finite values of each key, exactly: the middle ones are closed in by counting ranges.
 
-    A round counts each key's values in bins of the range that is left, and goes on
-    with the range of the bin that holds the middle; no task holds a key's values.
+    Equal values are counted once and written; a round counts them in bins of the range that is left, and goes on
+    with the range of the bin that holds the middle. No task holds a key's values.
     """
     v = F.col(value).cast("double")
     rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < F.lit(float("inf"))))
-    whole = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = stored(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_m")), "values")
+    whole = rows.groupBy(*keys).agg(F.sum("_m").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     sides = F.explode(F.array(F.struct(F.lit(0).alias("t"), F.expr("(_n - 1) div 2").alias("r")), F.struct(F.lit(1).alias("t"), F.expr("_n div 2").alias("r"))))
     goal = stored(whole.select(*keys, "_lo", "_hi", sides.alias("_g")).select(*keys, F.col("_g.t").alias("_t"), F.col("_g.r").alias("_r"), "_lo", "_hi"), "middle")
     done = goal.where("_lo = _hi")
@@ -139,7 +140,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, bins: int = 102
         named = goal.withColumnsRenamed({k: f"_k_{k}" for k in keys})
         some = rows.join(named, same & F.col("_v").between(F.col("_lo"), F.col("_hi")))
         place = F.least(F.lit(bins - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins))
-        each = some.groupBy(*keys, "_t", "_r", place.alias("_p")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        each = some.groupBy(*keys, "_t", "_r", place.alias("_p")).agg(F.sum("_m").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         upto = F.sum("_n").over(Window.partitionBy(*keys, "_t").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         held = each.withColumn("_c", upto).where((F.col("_r") < F.col("_c")) & (F.col("_r") >= F.col("_c") - F.col("_n")))
         goal = stored(held.select(*keys, "_t", (F.col("_r") - F.col("_c") + F.col("_n")).alias("_r"), "_lo", "_hi"), "middle")
