@@ -5,8 +5,10 @@ All decisions are within one document, over few labels; a document is one group.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -231,6 +233,39 @@ def inferred(pages: list[int], placed: dict[Key, tuple[int, float]], expected: s
     return s.guessed
 
 
+class Traced(Sheets):
+    """Sheets whose scores are numbers of scores: first those of the labels, then one for each time that a rule asks for one."""
+
+    def __init__(self, pages: list[int], placed: dict[Key, tuple[int, int]], expected: set[Key], n: int):
+        super().__init__(pages, placed, expected)
+        self.n, self.steps = n, []
+
+    def score(self, *pages: int) -> int:
+        self.steps.append([of for page in pages if (of := [s for p, s in self.placed.values() if p == page])])
+        return self.n + len(self.steps) - 1
+
+
+#: Shapes of documents that a worker remembers.
+SHAPES = 20_000
+
+
+@lru_cache(SHAPES)
+def plan(shape: str) -> tuple[list[tuple[int, str, int]], list[list[list[int]]]]:
+    """What is inferred, as (page, figure id, number of its score), and of which scores each further one is made.
+
+    shape: a document as JSON: p, its sheets; e, the expected ids; at and id, sheets and ids of its labels, by sheet and falling score.
+    """
+    x = json.loads(shape)
+    placed: dict[Key, tuple[int, int]] = {}
+    for i, (page, figure) in enumerate(zip(x.get("at", ()), x.get("id", ()))):
+        placed.setdefault(key_of(figure), (page, i))
+    ids = reconciled(set(x["e"]), {id_of(k) for k in placed})
+    s = Traced(x["p"], placed, {key_of(i) for i in ids}, len(x.get("id", ())))
+    for rule in RULES:
+        s.place(list(rule(s)))
+    return [(page, id_of(k), at) for page, k, at in s.guessed], s.steps
+
+
 def with_inferred(figures: DataFrame, sheets: DataFrame, expected: DataFrame) -> DataFrame:
     """doc_id, figure_id, page_index, score, method: the read labels and the inferred ones (method `sequence_inferred`).
 
@@ -238,20 +273,24 @@ def with_inferred(figures: DataFrame, sheets: DataFrame, expected: DataFrame) ->
     page_index; expected: doc_id, figure_id.
     """
     key = figures.schema["doc_id"].dataType.simpleString()
-    f = figures.where(figure_key(F.upper("figure_id")).isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct("page_index", "figure_id", "score")).alias("f"))
-    p = sheets.groupBy("doc_id").agg(F.collect_set("page_index").alias("p"))
-    e = expected.groupBy("doc_id").agg(F.collect_set("figure_id").alias("e"))
-    rows = p.join(e, "doc_id").join(f, "doc_id", "left")
+    label = F.struct(F.col("page_index").cast("int").alias("at"), (-F.col("score").cast("double")).alias("s"), F.col("figure_id").alias("id"))
+    f = figures.where(figure_key(F.upper("figure_id")).isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(label)).alias("f"))
+    p = sheets.groupBy("doc_id").agg(F.array_sort(F.collect_set("page_index")).alias("p"))
+    e = expected.groupBy("doc_id").agg(F.array_sort(F.collect_set("figure_id")).alias("e"))
+    shape = F.to_json(F.struct("p", "e", F.col("f.at").alias("at"), F.col("f.id").alias("id")))
+    rows = p.join(e, "doc_id").join(f, "doc_id", "left").select("doc_id", shape.alias("shape"), F.col("f.s").alias("s"))
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, pages, want, got in zip(b["doc_id"], b["p"], b["e"], b["f"]):
-                placed: dict[Key, tuple[int, float]] = {}
-                for x in sorted(got if got is not None else [], key=lambda x: (x["page_index"], -x["score"])):
-                    placed.setdefault(key_of(x["figure_id"]), (x["page_index"], x["score"]))
-                ids = reconciled(set(want), {id_of(k) for k in placed})
-                out += [(doc, id_of(k), p, s, "sequence_inferred") for p, k, s in inferred(list(pages), placed, {key_of(i) for i in ids})]
+            for doc, shape, scores in zip(b["doc_id"], b["shape"], b["s"]):
+                found, steps = plan(shape)
+                if not found:
+                    continue
+                values = [-s for s in scores.tolist()] if scores is not None else []
+                for of in steps:
+                    values.append(round(min(0.65, 0.65 * min((max(values[i] for i in page) for page in of), default=0.55)), 3))
+                out += [(doc, figure, page, values[at], "sequence_inferred") for page, figure, at in found]
             yield pd.DataFrame(out, columns=["doc_id", "figure_id", "page_index", "score", "method"])
 
     new = rows.mapInPandas(guess, f"doc_id {key}, figure_id string, page_index int, score double, method string")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.operators import figures as G
@@ -83,3 +85,25 @@ def test_recovered_tables(spark):
     want = spark.createDataFrame([("d", i) for i in ("10", "11", "12")], "doc_id string, figure_id string")
     got = G.with_recovered(raw, kept, want).where("method = 'spec_sequence_corrected'").collect()
     assert [(r["figure_id"], r["page_index"], r["box"]["x0"], r["score"]) for r in got] == [("11", 2, 0.1, 0.52)]
+
+
+def test_plans_by_shape_give_the_scores_of_the_rules(spark):
+    rnd = random.Random(3)
+    sheets, seen, expected, want = [], [], [], set()
+    for doc in range(150):
+        pages = sorted(rnd.sample(range(9), rnd.randint(1, 8)))
+        ids = [f"{n}{s}" for n in range(1, 8) for s in rnd.choice([[""], [""], ["A", "B", "C"]])]
+        held = [(rnd.choice(pages), i, rnd.choice([0.2, 0.5, 0.9, 1.4])) for i in ids if rnd.random() < 0.6]
+        wanted = [i for i in ids if rnd.random() < 0.8] or ids[:1]
+        sheets += [(doc, p) for p in pages]
+        expected += [(doc, i) for i in wanted]
+        seen += [(doc, i, p, s, "m") for p, i, s in held]
+        placed = {}
+        for p, i, s in sorted(held, key=lambda x: (x[0], -x[2])):
+            placed.setdefault(G.key_of(i), (p, s))
+        full = G.reconciled(set(wanted), {G.id_of(k) for k in placed})
+        want |= {(doc, G.id_of(k), p, s) for p, k, s in G.inferred(pages, placed, {G.key_of(i) for i in full})}
+    G.plan.cache_clear()
+    frame = spark.createDataFrame
+    got = G.with_inferred(frame(seen, "doc_id int, figure_id string, page_index int, score double, method string"), frame(sheets, "doc_id int, page_index int"), frame(expected, "doc_id int, figure_id string"))
+    assert {tuple(r)[:4] for r in got.where("method = 'sequence_inferred'").collect()} == want and len(want) > 100
