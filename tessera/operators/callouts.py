@@ -15,6 +15,7 @@ from tessera.functions.text import confusion_fixed, is_sheet_header
 from tessera.operators.groups import each_group
 from tessera.operators.lines import grouped_lines
 from tessera.operators.rounds import one_a_spot
+from tessera.store import stored
 
 PAGE = ["doc_id", "page_index"]
 # The form of a numeral, the characters trimmed off it, and the score parts and limits.
@@ -109,22 +110,24 @@ def chosen(callouts: DataFrame, support: DataFrame) -> DataFrame:
     A reading that is one insertion or deletion off exactly one supported value
     counts three quarters. The spot rule goes from the best score down.
     """
-    c = callouts.withColumn("r", readings(F.col("value"))).where(F.size("r") > 0)
-    ev = support.select("doc_id", F.col("value").alias("v"), "support")
-    exact = c.select("doc_id", "callout_id", "page_index", F.explode("r").alias("v"), F.upper("value").alias("raw")).join(ev, ["doc_id", "v"])
-    exact = exact.groupBy("doc_id", "page_index", "callout_id").agg(F.max(F.struct((F.col("v") == F.col("raw")).alias("own"), "support", "v")).alias("e"))
-    near = c.select("doc_id", "callout_id", "page_index", F.explode("r").alias("v0")).join(ev, "doc_id").where((F.abs(F.length("v") - F.length("v0")) == 1) & (F.levenshtein("v", "v0") == 1))
-    near = near.select("doc_id", "page_index", "callout_id", "v", "support").distinct().groupBy("doc_id", "page_index", "callout_id").agg(F.count("*").alias("m"), F.first("v").alias("nv"), F.first("support").alias("ns")).where("m = 1")
-    k = ["doc_id", "page_index", "callout_id"]
-    rows = c.join(exact, k, "left").join(near, k, "left")
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  # a filter that reads the column does not work it out again
+    c = callouts.withColumn("r", once(readings(F.col("value")))).where(F.size("r") > 0)
+    ev = support.where("value is not null").groupBy("doc_id").agg(F.collect_set(F.struct("support", F.col("value").alias("v"))).alias("ev"))
+    rows = c.join(ev, "doc_id", "left").withColumn("_raw", F.upper("value"))
+    own = F.filter("ev", lambda x: F.array_contains("r", x["v"]))
+    e = F.array_max(F.transform(own, lambda x: F.struct((x["v"] == F.col("_raw")).alias("own"), x["support"].alias("support"), x["v"].alias("v"))))
+    one_off = lambda a, b: (F.abs(F.length(a) - F.length(b)) == 1) & (F.levenshtein(a, b) == 1)
+    near = F.filter("ev", lambda x: F.exists("r", lambda r: one_off(x["v"], r)))
+    rows = rows.withColumn("_s", once(F.struct(e.alias("e"), near.alias("near"))))
+    one = F.when(F.size("_s.near") == 1, F.get("_s.near", F.lit(0)))
+    rows = rows.withColumns({"e": F.col("_s.e"), "nv": one["v"], "ns": one["support"]})
     longest = F.array_max(F.transform("r", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     s = F.when(F.col("e").isNotNull(), F.col("e.support")).otherwise(F.coalesce(F.col("ns") * 0.75, F.lit(0.0)))
     ocr = strength(F.col("confidence"))
     rows = rows.withColumns({"value": F.coalesce("e.v", "nv", longest), "support": s}).withColumn("score", F.when(F.col("support") > 0, 0.60 * ocr + 0.40 * F.col("support")).otherwise(0.82 * ocr))
     rows = rows.withColumn("method", F.when(F.coalesce(F.col("e.own"), F.lit(False)), "spec_exact").when(F.col("support") > 0, "spec_fuzzy").otherwise("drawing_only"))
     rows = rows.where(F.col("score") >= F.when(F.col("support") > 0, SUPPORTED).otherwise(ALONE)).select(*PAGE, "callout_id", "value", "box", "confidence", F.bround("score", 3).alias("score"), "method")
-
-    return one_a_spot(rows, PAGE, "callout_id", [-F.col("score"), F.col("callout_id")])
+    return one_a_spot(stored(rows, "callouts"), PAGE, "callout_id", [-F.col("score"), F.col("callout_id")])
 
 
 def _iou(a, b) -> float:

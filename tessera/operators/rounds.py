@@ -49,8 +49,8 @@ def dropped_in_turn(conflicts: DataFrame, keys: Sequence[str], better: str = "be
     return out
 
 
-def near_pairs(boxes: DataFrame, keys: Sequence[str], row_id: str, box: str = "box", margin: float = 0.0, cell: float = 0.05) -> DataFrame:
-    """keys, a, b, box_a, box_b: pairs (a < b) of a key whose boxes, margin wider on all sides, overlap or touch.
+def near_pairs(boxes: DataFrame, keys: Sequence[str], row_id: str, box: str = "box", margin: float = 0.0, cell: float = 0.05, also: Column | None = None) -> DataFrame:
+    """keys, a, b, box_a, box_b (and also_a, also_b): pairs (a < b) of a key whose boxes, margin wider on all sides, overlap or touch.
 
     Boxes are put into the cells of a grid that they reach; a pair is made only in the cell where its overlap begins.
     """
@@ -58,13 +58,13 @@ def near_pairs(boxes: DataFrame, keys: Sequence[str], row_id: str, box: str = "b
     low = {n: F.floor((b[n] - margin) / cell) for n in ("x0", "y0")}
     high = {n: F.floor((b[n] + margin) / cell) for n in ("x1", "y1")}
     rows = boxes.where(b["x1"] + margin >= b["x0"] - margin).where(b["y1"] + margin >= b["y0"] - margin)
-    rows = rows.select(*keys, F.col(row_id).alias("_i"), b.alias("_b"), low["x0"].alias("_x"), low["y0"].alias("_y"), F.explode(F.sequence(low["x0"], high["x1"])).alias("_cx"), high["y1"].alias("_h"))
+    rows = rows.select(*keys, F.col(row_id).alias("_i"), b.alias("_b"), *([] if also is None else [also.alias("_also")]), low["x0"].alias("_x"), low["y0"].alias("_y"), F.explode(F.sequence(low["x0"], high["x1"])).alias("_cx"), high["y1"].alias("_h"))
     rows = rows.select("*", F.explode(F.sequence("_y", "_h")).alias("_cy"))
-    one, two = (rows.select(*keys, "_cx", "_cy", F.col("_i").alias(s), F.col("_b").alias(f"box_{s}"), F.col("_x").alias(f"_x{s}"), F.col("_y").alias(f"_y{s}")) for s in "ab")
+    one, two = (rows.select(*keys, "_cx", "_cy", F.col("_i").alias(s), F.col("_b").alias(f"box_{s}"), *([] if also is None else [F.col("_also").alias(f"also_{s}")]), F.col("_x").alias(f"_x{s}"), F.col("_y").alias(f"_y{s}")) for s in "ab")
     both = one.join(two, [*keys, "_cx", "_cy"]).where((F.col("a") < F.col("b")) & (F.col("_cx") == F.greatest("_xa", "_xb")) & (F.col("_cy") == F.greatest("_ya", "_yb")))
     p, q = F.col("box_a"), F.col("box_b")
     meet = (p["x0"] - margin <= q["x1"] + margin) & (q["x0"] - margin <= p["x1"] + margin) & (p["y0"] - margin <= q["y1"] + margin) & (q["y0"] - margin <= p["y1"] + margin)
-    return both.where(meet).select(*keys, "a", "b", "box_a", "box_b")
+    return both.where(meet).select(*keys, "a", "b", "box_a", "box_b", *([] if also is None else ["also_a", "also_b"]))
 
 
 def one_a_spot(rows: DataFrame, keys: Sequence[str], row_id: str, order: Sequence[Column], least: float = 0.25, reach: float = 0.008) -> DataFrame:
@@ -72,12 +72,10 @@ def one_a_spot(rows: DataFrame, keys: Sequence[str], row_id: str, order: Sequenc
 
     order: expressions of which the smallest, compared in turn, is the best; it ends with row_id.
     """
-    place = rows.select(*keys, row_id, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o"))
-    pairs = near_pairs(rows, keys, row_id, margin=reach / 2 + 1e-4)
+    pairs = near_pairs(rows, keys, row_id, margin=reach / 2 + 1e-4, also=F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    pairs = stored(pairs, "near")  # few; compared within the join, they make its code too large to be compiled
     same = pairs.where((iou(F.col("box_a"), F.col("box_b")) >= least) | (center_distance(F.col("box_a"), F.col("box_b")) <= reach))
-    for s in "ab":
-        same = same.join(place.select(*keys, F.col(row_id).alias(s), F.col("_o").alias(f"_o{s}")), [*keys, s])
-    ahead = F.col("_oa") < F.col("_ob")
+    ahead = F.col("also_a") < F.col("also_b")
     gone = dropped_in_turn(same.select(*keys, F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("worse")), keys)
     return rows.join(gone.withColumnRenamed("id", row_id), [*keys, row_id], "left_anti").select(rows.columns)
 

@@ -88,3 +88,13 @@ def test_readings_of_one_place(spark):
     df = spark.createDataFrame(rows, WORDS)
     assert sorted(r["text"] for r in C.merged_words(df).collect()) == ["104", "interface"]
     assert {r["text"]: r["confidence"] for r in C.fused_words(df).collect()} == {"terface": 90.0, "interface": 80.0, "104": 62.0}
+
+
+def test_callouts_are_read_by_themselves(spark):
+    """Rows that repeat an id do not lend each other their readings; support is given once a value, null values none."""
+    box = lambda x: {"x0": x, "y0": 0.1, "x1": x + 0.02, "y1": 0.12}
+    schema = "doc_id string, page_index int, callout_id string, value string, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double"
+    rows = spark.createDataFrame([("d", 0, "c", "104", box(0.1), 95.0), ("d", 0, "c", "206", box(0.5), 95.0), ("e", 0, "c", "104", box(0.1), 95.0)], schema)
+    support = spark.createDataFrame([("d", "104", 1.0), ("d", "104", 1.0), ("d", None, 1.0), (None, "206", 1.0), ("e", "1042", 0.8)], "doc_id string, value string, support double")
+    got = {(r["doc_id"], r["value"], r["method"]) for r in C.chosen(rows, support).collect()}
+    assert got == {("d", "104", "spec_exact"), ("d", "206", "drawing_only"), ("e", "1042", "spec_fuzzy")}
