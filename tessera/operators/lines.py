@@ -80,13 +80,15 @@ def grouped_lines(words: DataFrame, keys: Sequence[str] = tuple(PAGE)) -> DataFr
 
 def line_text(words: DataFrame, keys: Sequence[str], tabs: bool = False) -> DataFrame:
     """One row a line: text, cy, box, height, confidence, n_words. With tabs, wide gaps are one to four tabs."""
-    width = F.when((F.col("x1") > F.col("x0")) & (F.trim("text") != ""), (F.col("x1") - F.col("x0")) / F.length(F.trim("text")))
-    line = Window.partitionBy(*keys)
-    order = line.orderBy("x0", "word_ix")
-    rows = words.withColumn("_cw", F.coalesce(F.median(width).over(line), F.lit(0.0))).withColumn("_gap", F.greatest(F.lit(0.0), F.col("x0") - F.lag("x1").over(order)))
-    wide = F.lit(tabs) & (F.col("_cw") > 0) & (F.col("_gap") >= F.greatest(F.lit(0.012), F.col("_cw") * 2.75))
-    n = F.greatest(F.lit(1), F.least(F.lit(4), F.bround(F.col("_gap") / F.greatest(F.col("_cw") * 4, F.lit(0.018))).cast("int")))
-    sep = F.when(F.col("_gap").isNull(), "").when(wide, F.repeat(F.lit("\t"), n)).otherwise(" ")
+    rows, sep = words, F.lit(" ")
+    if tabs:
+        width = F.when((F.col("x1") > F.col("x0")) & (F.trim("text") != ""), (F.col("x1") - F.col("x0")) / F.length(F.trim("text")))
+        line = Window.partitionBy(*keys)
+        order = line.orderBy("x0", "word_ix")
+        rows = words.withColumn("_cw", F.coalesce(F.median(width).over(line), F.lit(0.0))).withColumn("_gap", F.greatest(F.lit(0.0), F.col("x0") - F.lag("x1").over(order)))
+        wide = (F.col("_cw") > 0) & (F.col("_gap") >= F.greatest(F.lit(0.012), F.col("_cw") * 2.75))
+        n = F.greatest(F.lit(1), F.least(F.lit(4), F.bround(F.col("_gap") / F.greatest(F.col("_cw") * 4, F.lit(0.018))).cast("int")))
+        sep = F.when(F.col("_gap").isNull(), "").when(wide, F.repeat(F.lit("\t"), n)).otherwise(" ")
     piece = F.struct("x0", "word_ix", F.concat(sep, F.col("text")).alias("t"))
     return rows.groupBy(*keys).agg(
         F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), "")).alias("text"), F.avg((F.col("y0") + F.col("y1")) / 2).alias("cy"),

@@ -98,3 +98,9 @@ def test_callouts_are_read_by_themselves(spark):
     support = spark.createDataFrame([("d", "104", 1.0), ("d", "104", 1.0), ("d", None, 1.0), (None, "206", 1.0), ("e", "1042", 0.8)], "doc_id string, value string, support double")
     got = {(r["doc_id"], r["value"], r["method"]) for r in C.chosen(rows, support).collect()}
     assert got == {("d", "104", "spec_exact"), ("d", "206", "drawing_only"), ("e", "1042", "spec_fuzzy")}
+
+
+def test_line_text_without_tabs_needs_no_window(spark):
+    words = spark.createDataFrame([word(0, 1, "b", 0.4, 0.44, 0.5), word(0, 0, "a", 0.2, 0.24, 0.5)], WORDS).withColumn("line_ix", F.lit(0))
+    text = W.line_text(words, ["doc_id", "line_ix"])
+    assert "Window" not in text._jdf.queryExecution().optimizedPlan().toString() and [r["text"] for r in text.collect()] == ["a b"]
