@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,36 @@ def test_long_texts_are_read_in_chunks(monkeypatch):
     assert [s for s, _ in starts(parts)] == [s for s, _ in starts(whole)] == list(range(9000 - 40 + 1))
 
 
+def test_texts_of_a_batch_keep_apart():
+    rnd = random.Random(2)
+    texts = [bytes(rnd.choices(b"abc", k=n)) for n in (0, 60, 39, 40, 200, 0, 41)]
+    whole, offsets = suffix_dedup._flat(pa.array([b"xx", *texts], pa.binary())[1:])
+    got = [(t, h, *(int(x - offsets[t]) for x in at)) for found in suffix_dedup._segments(whole, offsets, 40, 8) for t, h, *at in zip(*found)]
+    assert got == [(t, *x) for t, data in enumerate(texts) for x in suffix_dedup.segments(data, 40, 8)]
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    texts = [b"One two\x0b\x0cTHREE", b"", b" \n", b"three", "É é one\x1ctwo".encode(), b"x" * 64 + b" one " + b"X" * 64, b"y" * 65 + b" Y", b"Y" * 65, b"two  one"]
+    words = [t.lower().split() for t in texts]
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    got, at = suffix_dedup._words(*suffix_dedup._flat(pa.array(texts, pa.binary())))
+    assert np.diff(at).tolist() == [len(w) for w in words] and at[0] == 0
+    pairs = set(zip(sum(words, []), got.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_segments_whose_anchor_stands_once_are_dropped(spark):
+    rnd = random.Random(3)
+    anchors = [rnd.choice([i, i, -1 - i % 50, 7]) for i in range(400)]
+    found = spark.createDataFrame([(i, 0, a, 0, 0, 0, b"") for i, a in enumerate(anchors)], "doc_id long, row_key long, anchor long, first int, last int, place int, digest binary")
+    want = sorted(i for i, a in enumerate(anchors) if anchors.count(a) > 1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in (1, 3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        assert sorted(r["doc_id"] for r in suffix_dedup._met_again(found).collect()) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_sorted_columns():
     parts = [b"xabcabcy", b"zabcabcw", b"abcabc", b"qqqqqqqq"]
     got = suffix_dedup.sort_columns(parts, np.array([1, 1, 0, 0]), np.arange(4), 5)
