@@ -303,6 +303,13 @@ def test_texts_of_a_batch_keep_apart():
     assert got == [(t, *x) for t, data in enumerate(texts) for x in suffix_dedup.segments(data, 40, 8)]
 
 
+def test_rows_of_a_hot_anchor_are_dealt_out(spark):
+    df = spark.createDataFrame([(i, "again and again " * 40) for i in range(60)] + [(99, "again and again " * 3)], "doc_id long, text string").coalesce(1)
+    found = suffix_dedup._occurrences(suffix_dedup._documents(df, "doc_id", "text"), 40, 8, suffix_dedup.BYTE).cache()
+    most, met = (x.groupBy("anchor").count().agg({"count": "max"}).first()[0] for x in (found, found.where("salt <= 0")))
+    assert met < most / 50 and suffix_dedup._met_again(found).count() == found.count()
+
+
 def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
     texts = [b"One two\x0b\x0cTHREE", b"", b" \n", b"three", "É é one\x1ctwo".encode(), b"x" * 64 + b" one " + b"X" * 64, b"y" * 65 + b" Y", b"Y" * 65, b"two  one"]
     words = [t.lower().split() for t in texts]
@@ -316,7 +323,7 @@ def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
 def test_segments_whose_anchor_stands_once_are_dropped(spark):
     rnd = random.Random(3)
     anchors = [rnd.choice([i, i, -1 - i % 50, 7]) for i in range(400)]
-    found = spark.createDataFrame([(i, 0, a, 0, 0, 0, b"") for i, a in enumerate(anchors)], "doc_id long, row_key long, anchor long, first int, last int, place int, digest binary")
+    found = spark.createDataFrame([(i, 0, a, 0, 0, 0, b"", 0) for i, a in enumerate(anchors)], "doc_id long, row_key long, anchor long, first int, last int, place int, digest binary, salt int")
     want = sorted(i for i, a in enumerate(anchors) if anchors.count(a) > 1)
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     for n in (1, 3, 10_000):
