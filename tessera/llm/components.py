@@ -19,17 +19,19 @@ def components(edges: DataFrame, start: DataFrame | None = None, steps: int | No
     empty table.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    first = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
+    both = written(both.distinct(), "both")  # one table for all steps, however many parts edges has
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
     if start is not None:
-        first = first.unionByName(start).groupBy("node").agg(F.min("label").alias("label"))
-    labels, done = first, 0
+        labels = labels.unionByName(start).groupBy("node").agg(F.min("label").alias("label"))
+    labels, done = written(labels, "labels"), 0
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), F.lit(None).cast(labels.schema["label"].dataType).alias("was"), "label")
+        step = near.union(labels.select("node", F.col("label").alias("was"), "label")).groupBy("node").agg(F.min("was").alias("was"), F.min("label").alias("label"))
         own = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
         new = step.join(own, F.col("label") == F.col("to"), "left").select("node", "was", F.least("label", "far").alias("label"))
         new, done = written(new, "labels"), done + 1
         forget(labels)
         labels = new
         if done == steps or (steps is None and not new.where("label <> was").limit(1).count()):
+            forget(both)
             return labels.select("node", "label")

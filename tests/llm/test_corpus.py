@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bloom, decontaminate, maxscore, minhash, secrets, suffix_dedup
 from tessera.llm.components import components
+from tessera.llm.shared import written
 
 from .conftest import as_rows
 
@@ -202,6 +203,25 @@ def test_signature_estimates_similarity():
     assert abs((a == b).mean() - 0.8) < 0.12
 
 
+def test_components_steps_are_small_plans(spark, monkeypatch):
+    """The driver plans every step, so that none may read the parts of edges again."""
+    scans = []
+
+    def noted(df, name):
+        if name == "labels":
+            scans.append(df._jdf.queryExecution().executedPlan().toString().count("Scan parquet"))
+        return written(df, name)
+
+    monkeypatch.setattr("tessera.llm.components.written", noted)
+    parts = [written(spark.createDataFrame([(i, i + 1), (i + 10, i + 10), (i + 20, None)], "a long, b long"), "edges") for i in range(6)]
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.union(p)
+    got = {tuple(r) for r in components(edges).collect()}
+    assert got == {(i, 0) for i in range(7)}
+    assert max(scans) <= 8
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(e).collect()}
