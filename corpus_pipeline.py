@@ -33,7 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null id, and null, empty or wordless texts, stay; an empty table stays empty. Texts are compared whole.
     """
     found = minhash.near_duplicates(docs, size=5, num=80, den=100)
-    return bloom.without(docs.select(*COLUMNS), "doc_id", found.where(~F.col("kept")).select("doc_id"), "doc_id")
+    copies = written(found.where(~F.col("kept")).select("doc_id"), "copies")  # read three times
+    return bloom.without(docs.select(*COLUMNS), "doc_id", copies, "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
