@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import forget, texts, written
 
-#: Features and rows of a block at most (one longer document is a block of its own).
-BLOCK_FEATURES, BLOCK_ROWS = 500_000, 2_000
+#: Features and rows of a block at most (one longer document is a block of its own, with no more columns than buckets).
+BLOCK_FEATURES, BLOCK_ROWS = 20_000, 2_000
+#: Bytes of a row group of blocks: what a task holds of them does not grow with its file.
+ROW_GROUP = 4 << 20
 #: Words that a worker remembers; beyond it starts anew.
 CACHE = 200_000
 #: Bytes of words as they are, with A-Z in lower case; all others are spaces.
@@ -166,7 +168,7 @@ def resample(
     Texts are read once: what follows reads the blocks. The driver and each
     task hold a number a bucket.
     """
-    blocks = written(csr_blocks(df, longest, buckets, id_col, text_col), "csr")
+    blocks = written(csr_blocks(df, longest, buckets, id_col, text_col), "csr", ROW_GROUP)
     corpus = column_sums(blocks, buckets)
     goal = column_sums(csr_blocks(target.select(F.lit(0).alias("doc_id"), F.col(target_text).alias("text")), longest, buckets), buckets)
     scored = weights(blocks, gains(corpus, goal)).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -145,6 +146,22 @@ def test_blocks_are_sparse_rows(spark):
     assert dict(zip(r["indices"][:2], r["data"][:2])) == {a: 2, b: 1} and r["indices"][2] == b
 
 
+def test_blocks_stay_small_in_large_files(spark, monkeypatch):
+    """Rows and row groups of the written blocks do not grow with the file, as a reader holds up to 4,096 rows of a group."""
+    wide, groups = [], []
+
+    def seen(blocks):
+        wide.append(blocks.select(F.max(F.size("indices"))).first()[0])
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+        groups.extend(m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups))
+
+    monkeypatch.setattr(resampling, "forget", seen)
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("id"), i), F.lit(20_000)))), " ")
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text"))
+    assert resampling.resample(docs, spark.createDataFrame([("w1 w2",)], "text string")).where("n_features = 2000").count() == 2000
+    assert wide[0] <= 40_000 and len(groups) > 1 and max(groups) < 16_000_000
+
+
 def test_ranks_over_many_ranges(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("s")).repartition(6)
     got = {r["id"]: r["rank"] for r in resampling.ranked(df, [F.desc("s"), F.asc("id")]).collect()}
