@@ -8,17 +8,17 @@ is around the mean of the words it has so far; all else are joins and windows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from statistics import median
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType, _parse_datatype_string
 
 from tessera.functions.geometry import box, clamped, indent_level
 from tessera.functions.text import gutter_value, ocr_digits, paragraph_marker, without_marker
-from tessera.operators.groups import each_group
 from tessera.store import stored
 
 PAGE = ["doc_id", "page_index"]
@@ -153,8 +153,9 @@ def running_header(words: DataFrame) -> DataFrame:
 
 def gutter_numbers(words: DataFrame, headers: DataFrame) -> DataFrame:
     """Printed line numbers of the centre strip below the header, without those off the strip's own median."""
-    rows = words.join(headers.select(*PAGE, "header_y"), PAGE).withColumns({"cy": (F.col("y0") + F.col("y1")) / 2, "cx": (F.col("x0") + F.col("x1")) / 2, "n": gutter_value(F.col("text"))})
-    rows = stored(rows.where((F.col("cy") > F.col("header_y") + HEADER_PAD) & (F.abs(F.col("cx") - 0.5) < GUTTER_HALF_WIDTH)), "strip").where("n is not null")
+    rows = words.withColumns({"cy": (F.col("y0") + F.col("y1")) / 2, "cx": (F.col("x0") + F.col("x1")) / 2}).where(F.abs(F.col("cx") - 0.5) < GUTTER_HALF_WIDTH)
+    rows = stored(rows.withColumn("n", gutter_value(F.col("text"))).where("n is not null"), "strip")
+    rows = rows.join(headers.select(*PAGE, "header_y"), PAGE).where(F.col("cy") > F.col("header_y") + HEADER_PAD)
     w = Window.partitionBy(*PAGE)
     rows = rows.withColumns({"_m": F.median("cx").over(w), "_c": F.count("*").over(w)})
     return rows.where((F.col("_c") < 3) | (F.abs(F.col("cx") - F.col("_m")) <= GUTTER_SPREAD)).drop("_m", "_c")
@@ -173,13 +174,21 @@ def progression(pairs: list[tuple[float, int]]) -> list[tuple[float, int]]:
     return out
 
 
+def printed_lines(ys: np.ndarray, ns: np.ndarray, size: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The line at each height, by the row of anchors beside it (size of them, in order, then infinity): linear between the anchors around it and beyond the outer ones, half-even, at least 1."""
+    row = np.arange(len(y))
+    i = np.clip((ys < y[:, None]).sum(1) - 1, 0, size - 2)
+    y0, n0 = ys[row, i], ns[row, i]
+    dy = ys[row, i + 1] - y0
+    return np.maximum(1, np.where(dy == 0, n0, np.rint(n0 + (y - y0) / np.where(dy == 0, 1.0, dy) * (ns[row, i + 1] - n0)))).astype(np.int64)
+
+
 def printed_line(anchors: list[tuple[float, int]], y: float) -> int:
-    """The line at a height: linear between the anchors around it and beyond the outer ones, half-even, at least 1."""
+    """The line at a height by a page's anchors; that of a single anchor, or 1."""
     if len(anchors) < 2:
         return max(1, anchors[0][1]) if anchors else 1
-    i = min(max(int(np.searchsorted([a[0] for a in anchors], y, side="left")) - 1, 0), len(anchors) - 2)
-    (y0, n0), (y1, n1) = anchors[i], anchors[i + 1]
-    return max(1, n0 if y1 == y0 else round(n0 + (y - y0) / (y1 - y0) * (n1 - n0)))
+    ys, ns = (np.array([x], float) for x in zip(*anchors))
+    return int(printed_lines(ys, ns, np.array([len(anchors)]), np.array([y]))[0])
 
 
 def interpolated(rows: DataFrame, anchors: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -220,7 +229,11 @@ def carried_columns(pages: DataFrame, doc: str = "doc_id", page: str = "page_ind
     return rows.select(doc, page, F.coalesce(F.greatest("own", so_far), F.lit(1)).cast("int").alias("column"))
 
 
-READ = "side int, seq int, printed_line int, box struct<x0:double,y0:double,x1:double,y1:double>, source_text string, confidence double, reference_method string, reference_confidence string, paragraph_start boolean, indent_level int"
+READ = "own int, side int, seq int, printed_line int, box struct<x0:double,y0:double,x1:double,y1:double>, source_text string, confidence double, reference_method string, reference_confidence string, paragraph_start boolean, indent_level int"
+WORD = ["text", "x0", "y0", "x1", "y1", "confidence"]
+#: What a page's own row carries; its words have nulls there.
+INFO = ["own", "header_y", "marks", "gutter_x", "lo", "hi"]
+SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def grant_entries(words: DataFrame, method: str = "native") -> DataFrame:
@@ -231,98 +244,195 @@ def grant_entries(words: DataFrame, method: str = "native") -> DataFrame:
     their ordinals from how many lines the pages before have; both take one row a page.
     """
     cols = ["doc_id", "page_index", "word_ix", "text", "x0", "y0", "x1", "y1", "confidence"]
-    w = stored(words.select(*cols), "words")  # five steps read them
+    w = stored(words.select(*cols), "words")  # six steps read them
     pages = w.select(*PAGE).distinct().join(column_headers(w), PAGE, "left").join(running_header(w), PAGE, "left")
     pages = stored(pages.select(*PAGE, F.col("left_column").alias("own"), F.greatest(F.lit(CONTENT_TOP), F.coalesce("header_y", F.lit(0.0)), F.coalesce("running_y", F.lit(0.0))).alias("header_y")), "pages")
     gutter = gutter_numbers(w, pages).groupBy(*PAGE).agg(
         F.array_sort(F.collect_list(F.struct("cy", "n"))).alias("marks"), F.median("cx").alias("gutter_x"), (F.min("x0") - 0.004).alias("lo"), (F.max("x1") + 0.004).alias("hi")
     )
-    info = stored(pages.join(gutter, PAGE, "left"), "info")
-    schema = "doc_id {0}, page_index {1}, own int, {2}".format(*(w.schema[c].dataType.simpleString() for c in PAGE), READ)
-    names = [x.split()[0] for x in schema.split(", ")]
+    rows = w.select(*PAGE, "word_ix", *WORD).unionByName(pages.join(gutter, PAGE, "left").withColumn("_page", F.lit(True)), allowMissingColumns=True)
+    rows = rows.where("doc_id is not null and page_index is not null").repartition(*PAGE).sortWithinPartitions(*PAGE, F.col("_page").desc_nulls_last(), "word_ix")
+    schema = _parse_datatype_string("doc_id {}, page_index {}, {}".format(*(w.schema[c].dataType.simpleString() for c in PAGE), READ))
+    names, arrow = schema.names, to_arrow_schema(schema)
 
-    def read(page: list[dict]) -> list[tuple]:
-        first = page[0]
-        return [(*(first[c] for c in PAGE), first["own"], *r) for r in _read_page(page, method)]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _whole_pages(batches):
+            yield from _read_pages(some, method).select(names).cast(arrow).to_batches()
 
-    lines = stored(each_group(w.join(info, PAGE), PAGE, ["word_ix"], read, _parse_datatype_string(schema)), "lines")
+    lines = stored(rows.mapInArrow(read, schema), "lines")
     each = lines.groupBy(*PAGE).agg(F.first("own").alias("own"), F.count("*").alias("n"), F.lit(True).alias("counts"))
     column = carried_columns(each).withColumnRenamed("column", "_left")
     begin = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = column.join(each.select(*PAGE, begin.alias("_begin")), PAGE)
     ordinal = (F.col("_begin") + F.col("seq")).cast("int")
     return lines.join(placed, PAGE).select(
-        *PAGE, ordinal.alias("ordinal"), (F.col("_left") + F.col("side")).alias("column"), *[n for n in names[5:]], entry_id(ordinal).alias("entry_id"), F.col("source_text").alias("display_text")
+        *PAGE, ordinal.alias("ordinal"), (F.col("_left") + F.col("side")).alias("column"), *names[5:], entry_id(ordinal).alias("entry_id"), F.col("source_text").alias("display_text")
     )
 
 
-def _mean(values: list[float]) -> float:
-    return float(np.array(values).sum() / len(values))
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows cut before pages: each table begins with a page's own row and holds all words of its last page."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        at = np.flatnonzero(b.column("_page").is_valid().to_numpy(zero_copy_only=False))
+        if len(at):
+            if held or at[-1]:
+                yield pa.Table.from_batches([*held, b.slice(0, at[-1])])
+            held = []
+        held.append(b.slice(at[-1] if len(at) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.diff(key, prepend=-1))
+
+
+def _medians(values: np.ndarray, key: np.ndarray, n: int, default: float) -> np.ndarray:
+    """The median of the values of each key from 0 to n - 1."""
+    out = np.full(n, default)
+    values, key = values[order := np.lexsort((values, key))], key[order]
+    at = _starts(key)
+    size = np.diff(at, append=len(key))
+    out[key[at]] = (values[at + (size - 1) // 2] + values[at + size // 2]) / 2
+    return out
+
 
+def _anchors(pages: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of each page: whether it is read, heights and numbers of its anchors (filled up with infinity), how many, where the middle is and what the strip takes in.
 
-def _read_page(words: list[dict], method: str) -> list[tuple]:
-    """The lines of a page (as READ): none of a page that has neither a column pair nor three line numbers that rise evenly."""
-    first = words[0]
-    anchors = progression([(m["cy"], int(m["n"])) for m in first["marks"] or ()])
-    if first["own"] is None and len(anchors) < 3:
-        return []
-    start = first["header_y"] + HEADER_PAD
-    middle, lo, hi = first["gutter_x"], first["lo"], first["hi"]
-    if len(anchors) < 2:
-        anchors, middle, lo, hi = [(start, 1), (0.94, LINES_PER_COLUMN)], 0.5, -1.0, -1.0
-    sides: tuple[list[dict], list[dict]] = ([], [])
-    for w in words:
-        if any(w[e] is None for e in ("x0", "y0", "x1", "y1")):
-            continue
-        cx, cy = (w["x0"] + w["x1"]) / 2, (w["y0"] + w["y1"]) / 2
-        if start < cy <= CONTENT_BOTTOM and (cx < middle - 0.005 or cx > middle + 0.005):
-            sides[cx > middle].append({**w, "cx": cx, "cy": cy})
-    out: list[tuple] = []
-    for side, part in enumerate(sides):
-        _read_column(side, part, anchors, start, lo, hi, method, out)
+    A page that has neither a column pair nor three line numbers that rise evenly is not read.
+    """
+    own, start = pages.column("own").is_valid().to_numpy(), pages.column("header_y").to_numpy() + HEADER_PAD
+    middle, lo, hi = (pages.column(c).to_numpy().astype(float) for c in ("gutter_x", "lo", "hi"))
+    marks = pages.column("marks").combine_chunks()
+    cy, n = (marks.flatten().field(c).to_pylist() for c in ("cy", "n"))
+    sizes = np.array([x or 0 for x in pc.list_value_length(marks).to_pylist()], int)
+    found, at = [], 0
+    for size in sizes.tolist():
+        found.append(progression(list(zip(cy[at : at + size], n[at : at + size]))))
+        at += size
+    count = np.array([len(x) for x in found], int)
+    able, few = own | (count >= 3), count < 2
+    middle[few], lo[few], hi[few] = 0.5, -1.0, -1.0
+    for i in np.flatnonzero(few).tolist():
+        found[i] = [(start[i], 1), (0.94, LINES_PER_COLUMN)]
+    count[few] = 2
+    ys, ns = np.full((len(found), max(count, default=2)), np.inf), np.zeros((len(found), max(count, default=2)))
+    for i, x in enumerate(found):
+        ys[i, : len(x)], ns[i, : len(x)] = zip(*x)
+    return able, ys, ns, count, start, middle, lo, hi
+
+
+def _read_pages(rows: pa.Table, method: str) -> pa.Table:
+    """The lines (as READ) of whole pages, each its own row and then its words, all pages at once."""
+    first = rows.column("_page").is_valid().to_numpy()
+    pages, words = rows.filter(pa.array(first)), rows.filter(pa.array(~first))
+    able, ys, ns, count, start, middle, lo, hi = _anchors(pages)
+    page = (np.cumsum(first) - 1)[~first]
+    x0, y0, x1, y1 = (words.column(c).to_numpy().astype(float) for c in ("x0", "y0", "x1", "y1"))  # a null is NaN here, which no comparison takes
+    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+    m = middle[page]
+    at = np.flatnonzero(able[page] & (start[page] < cy) & (cy <= CONTENT_BOTTOM) & ((cx < m - 0.005) | (cx > m + 0.005)))
+    page, x0, y0, x1, y1, cx, cy = (v[at] for v in (page, x0, y0, x1, y1, cx, cy))
+    side = page * 2 + (cx > middle[page])  # a page's left and right
+    line = _line_of(side, cy, x0, y1 - y0, 2 * len(able))
+    by = np.argsort(line, kind="stable")
+    begin = _starts(line[by])
+    mean_y = np.add.reduceat(cy[by], begin) / np.diff(begin, append=len(by)) if len(by) else cy
+    # a line's words from left to right, without the strip's
+    kept = np.flatnonzero(~((lo[page] <= cx) & (cx <= hi[page])))
+    kept = kept[np.lexsort((x0[kept], line[kept]))]
+    page, x0, y0, x1, y1, line = (v[kept] for v in (page, x0, y0, x1, y1, line))
+    side = side[kept]
+    begin = _starts(line)
+    size = np.diff(begin, append=len(line))
+    word = words.take(pa.array(at[kept]))
+    text = _joined(word.column("text").combine_chunks(), begin, size, x0, x1, method == "ocr")
+    y = mean_y[line[begin]]
+    ok = (y >= start[page[begin]]) & pc.not_equal(text, "").to_numpy(zero_copy_only=False) & ~_lone_number(text, size)
+    edges = [f.reduceat(v, begin) if len(begin) else v for f, v in ((np.minimum, x0), (np.minimum, y0), (np.maximum, x1), (np.maximum, y1))]
+    high = y1 - y0
+    of = np.repeat(np.arange(len(begin)), size)
+    unit = np.maximum(0.008, _medians(high[high > 0], of[high > 0], len(begin), 0.012) * 0.65)
+    sure = word.column("confidence").is_valid().to_numpy()
+    values = word.column("confidence").to_numpy().astype(float)[sure]
+    seen = _starts(of[sure])
+    conf = np.full(len(begin), np.nan)
+    if len(seen):
+        conf[of[sure][seen]] = np.add.reduceat(values, seen) / np.diff(seen, append=len(values))
+    # the lines that stay
+    begin, y, unit, conf, text = begin[ok], y[ok], unit[ok], conf[ok], text.filter(pa.array(ok))
+    ex0, ey0, ex1, ey1 = (v[ok] for v in edges)
+    page, side = page[begin], side[begin]
+    after = np.diff(side, prepend=-1) == 0
+    gap = np.where(after, np.diff(y, prepend=0.0), 0.0)
+    typical = _medians(gap[gap > 0], side[gap > 0], 2 * len(able), 0.0)[side]
+    offset = ex0 - _medians(ex0, side, 2 * len(able), 0.0)[side]
+    indent = np.where(offset < unit * 0.55, 0, np.clip(np.rint(offset / unit), 1, 6)).astype(np.int32)
+    apart = after & (typical > 0) & (gap >= np.maximum(0.018, 1.6 * typical))
+    printed = np.maximum.accumulate(printed_lines(ys[page], ns[page], count[page], y) + (side << 40)) - (side << 40)  # never falls on a side
+    on = (np.abs(y[:, None] - ys[page]) <= ROW_TOLERANCE).any(1)
+    ex0, ey0, ex1, ey1 = (np.clip(v, 0.0, 1.0) for v in (ex0, ey0, ex1, ey1))
+    ex1, ey1 = np.where(ex1 > ex0, ex1, np.minimum(1.0, ex0 + 1e-4)), np.where(ey1 > ey0, ey1, np.minimum(1.0, ey0 + 1e-4))
+    head = _starts(page)
+    seq = np.arange(len(page)) - np.repeat(head, np.diff(head, append=len(page)))
+    own = pages.select([*PAGE, "own"]).take(pa.array(page))
+    pick = lambda a, b: pc.if_else(pa.array(on), a, b)
+    read = {
+        "side": pa.array((side % 2).astype(np.int32)), "seq": pa.array(seq.astype(np.int32)), "printed_line": pa.array(printed.astype(np.int32)), "box": pa.StructArray.from_arrays([pa.array(v) for v in (ex0, ey0, ex1, ey1)], ["x0", "y0", "x1", "y1"]),
+        "source_text": text, "confidence": pa.array(conf, from_pandas=True), "reference_method": pick("detected", "interpolated"), "reference_confidence": pick("high", "medium"), "paragraph_start": pa.array((indent > 0) | apart), "indent_level": pa.array(indent),
+    }
+    return pa.table([*own.columns, *read.values()], [*own.column_names, *read])
+
+
+def _line_of(side: np.ndarray, cy: np.ndarray, x0: np.ndarray, heights: np.ndarray, n: int) -> np.ndarray:
+    """The line of each word, as line_numbers has it for each side, numbered on over all of them."""
+    high = heights > 0
+    reach = np.maximum(_medians(heights[high], side[high], n, 0.01) * RATIO, 1e-4)
+    out, order = np.zeros(len(side), int), np.lexsort((x0, cy, side))
+    number, last, line, total, size = [], -1, -1, 0.0, 1
+    for s, y, r in zip(side[order].tolist(), cy[order].tolist(), reach[side[order]].tolist()):
+        if s != last or abs(y - total / size) > r:
+            last, line, total, size = s, line + 1, y, 1
+        else:
+            total += y
+            size += 1
+        number.append(line)
+    out[order] = number
+    return out
+
+
+def _joined(texts: pa.Array, begin: np.ndarray, size: np.ndarray, x0: np.ndarray, x1: np.ndarray, tabs: bool) -> pa.Array:
+    """Words of each line in order; with tabs, gaps of about three characters are one to four of them."""
+    texts, sep = pc.fill_null(texts, ""), " "
+    if tabs:
+        letters, of = pc.utf8_length(pc.utf8_trim(texts, SPACE)).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(begin)), size)
+        some = (x1 > x0) & (letters > 0)
+        char = _medians((x1 - x0)[some] / letters[some], of[some], len(begin), 0.0)[of]
+        gap = np.maximum(0.0, x0 - np.concatenate([x1[:1], x1[:-1]]))
+        wide = (char > 0) & (gap >= np.maximum(0.012, 2.75 * char))
+        n = np.where(wide, np.clip(np.rint(gap / np.maximum(4 * char, 0.018)), 1, 4), 0).astype(int)
+        n[begin] = 5
+        texts, sep = pc.binary_join_element_wise(pa.array([" ", "\t", "\t\t", "\t\t\t", "\t\t\t\t", ""]).take(pa.array(n)), texts, ""), ""
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(x0)).astype(np.int32)), texts)
+    return pc.utf8_trim(pc.binary_join(lists, sep), SPACE)
+
+
+def _lone_number(text: pa.Array, size: np.ndarray) -> np.ndarray:
+    """Which lines are one word of at most three digits, with or without full stops."""
+    maybe = np.flatnonzero((size == 1) & pc.match_substring_regex(text, r"^[^A-Za-z]{1,3}\.*$").to_numpy(zero_copy_only=False))
+    out = np.zeros(len(size), bool)
+    out[maybe] = [t.rstrip(".").isdigit() and len(t.rstrip(".")) <= 3 for t in text.take(pa.array(maybe)).to_pylist()]
     return out
 
 
-def _read_column(side, words, anchors, start, lo, hi, method, out) -> None:
-    if not words:
-        return
-    number = line_numbers(*(np.array(v) for v in zip(*((w["cy"], w["x0"], w["y1"] - w["y0"]) for w in words)))).tolist()
-    parts: dict[int, list[dict]] = {}
-    for n, w in zip(number, words):
-        parts.setdefault(n, []).append(w)
-    lines = []
-    for n in sorted(parts):
-        y = _mean([w["cy"] for w in parts[n]])
-        ws = sorted((w for w in parts[n] if not lo <= w["cx"] <= hi), key=lambda w: w["x0"])
-        text = join_words([w["text"] for w in ws], [w["x0"] for w in ws], [w["x1"] for w in ws], method == "ocr")
-        if y >= start and text and not (len(ws) == 1 and text.strip().rstrip(".").isdigit() and len(text.strip().rstrip(".")) <= 3):
-            lines.append((y, ws, text))
-    gaps = [b[0] - a[0] for a, b in zip(lines, lines[1:]) if b[0] > a[0]]
-    typical = median(gaps) if gaps else 0.0
-    left = median([min(w["x0"] for w in ws) for _, ws, _ in lines]) if lines else 0.0
-    least = 0
-    for i, (y, ws, text) in enumerate(lines):
-        heights = [w["y1"] - w["y0"] for w in ws if w["y1"] > w["y0"]]
-        unit = max(0.008, (median(heights) if heights else 0.012) * 0.65)
-        edges = (min(w["x0"] for w in ws), min(w["y0"] for w in ws), max(w["x1"] for w in ws), max(w["y1"] for w in ws))
-        offset = edges[0] - left
-        indent = 0 if offset < unit * 0.55 else max(1, min(6, round(offset / unit)))
-        apart = i > 0 and typical > 0 and y - lines[i - 1][0] >= max(0.018, 1.6 * typical)
-        least = max(least, printed_line(anchors, y))
-        on = len(anchors) >= 2 and any(abs(y - a) <= ROW_TOLERANCE for a, _ in anchors)
-        x0, y0, x1, y1 = (float(min(max(v, 0.0), 1.0)) for v in edges)
-        sure = [w["confidence"] for w in ws if w["confidence"] is not None]
-        out.append((side, len(out), least, {"x0": x0, "y0": y0, "x1": x1 if x1 > x0 else min(1.0, x0 + 1e-4), "y1": y1 if y1 > y0 else min(1.0, y0 + 1e-4)}, text, _mean(sure) if sure else None,
-                    "detected" if on else "interpolated", "high" if on else "medium", bool(indent > 0 or apart), indent))
-
-
-def join_words(texts: list[str], x0: np.ndarray, x1: np.ndarray, tabs: bool) -> str:
-    """Words of a line in order; with tabs, gaps of about three characters are one to four of them."""
-    widths = [(b - a) / len(t.strip()) for t, a, b in zip(texts, x0, x1) if b > a and t.strip()]
-    char = float(np.median(widths)) if widths else 0.0
-    out = texts[:1]
-    for i in range(1, len(texts)):
-        gap = max(0.0, x0[i] - x1[i - 1])
-        wide = tabs and char > 0 and gap >= max(0.012, 2.75 * char)
-        out += ["\t" * max(1, min(4, round(gap / max(4 * char, 0.018)))) if wide else " ", texts[i]]
-    return "".join(out).strip()
+def _read_page(words: list[dict], method: str) -> list[tuple]:
+    """The lines of one page (READ, without own), whose words carry what is known of it."""
+    info = {c: words[0][c] for c in INFO}
+    kinds = {"own": pa.int32(), "marks": pa.list_(pa.struct([("cy", pa.float64()), ("n", pa.int32())])), "text": pa.string(), "_page": pa.bool_(), **{c: pa.int32() for c in PAGE}}
+    rows = [{**info, "_page": True}, *({c: w[c] for c in WORD} for w in words)]
+    names = [*PAGE, *WORD, *INFO, "_page"]
+    table = pa.table([pa.array([r.get(c) for r in rows], kinds.get(c, pa.float64())) for c in names], names)
+    return [tuple(r.values())[3:] for r in _read_pages(table, method).to_pylist()]

@@ -141,6 +141,6 @@ def grant_lines(spark, sf_dir):
     marks = [word(F.lit(100 + i), F.lit(str(i)), 0.49, 0.51, F.lit(0.085 + 0.025 * i)) for i in (5, 10, 15)]
     head = [word(F.lit(i), (left + i).cast("string"), x, x + 0.02, F.lit(0.0535)) for i, x in ((0, 0.28), (1, 0.70))]
     frame = F.when((doc * 7 + page) % 3 == 0, F.array(*marks, *head)).otherwise(F.array(*marks))
-    words = r.select(*W.PAGE, F.explode(body).alias("w")).unionByName(r.select(*W.PAGE).distinct().select(*W.PAGE, F.explode(frame).alias("w")))
+    words = r.select(*W.PAGE, F.explode(body).alias("w")).unionByName(r.where("j = 0").select(*W.PAGE, F.explode(frame).alias("w")))
     got = W.grant_entries(words.select(*W.PAGE, "w.*", F.lit(None).cast("double").alias("confidence")))
     return got.select("doc_id", "page_index", "ordinal", "column", "printed_line", "source_text")
