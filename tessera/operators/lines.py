@@ -145,9 +145,10 @@ def column_headers(words: DataFrame) -> DataFrame:
 def running_header(words: DataFrame) -> DataFrame:
     """PAGE, running_y: the lowest row at the top with a country code and an identifier."""
     cy = (F.col("y0") + F.col("y1")) / 2
-    rows = grouped_lines(words.where(cy < TOP_ZONE))
-    t = F.upper(F.trim("text"))
-    per = rows.groupBy(*PAGE, "line_ix").agg(F.bool_or(t.rlike("^US$|^US[0-9]")).alias("us"), F.bool_or(t.rlike("[0-9]") | t.isin("A1", "A2", "B1", "B2")).alias("id"), F.avg(cy).alias("cy"))
+    t, top = F.upper(F.trim("text")), words.where(cy < TOP_ZONE)
+    us = t.rlike("^US$|^US[0-9]")
+    rows = grouped_lines(top.join(top.where(us).select(*PAGE).distinct(), PAGE, "left_semi"))  # other pages have no such row
+    per = rows.groupBy(*PAGE, "line_ix").agg(F.bool_or(us).alias("us"), F.bool_or(t.rlike("[0-9]") | t.isin("A1", "A2", "B1", "B2")).alias("id"), F.avg(cy).alias("cy"))
     return per.where("us and id").groupBy(*PAGE).agg(F.max("cy").alias("running_y"))
 
 

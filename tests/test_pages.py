@@ -133,3 +133,13 @@ def test_pages_are_whole_however_rows_come():
         parts = list(W._whole_pages(iter(table.to_batches(max_chunksize=size))))
         assert [r for t in parts for r in W._read_pages(t, "native").to_pylist()] == whole
     assert list(W._whole_pages(iter([]))) == []
+
+
+def test_running_headers_of_pages_with_a_country_code(spark):
+    """The lowest row with a code and an identifier; pages without a code are not grouped into lines."""
+    word = lambda page, ix, text, y: ("d", page, ix, text, 0.1 * ix, y, 0.1 * ix + 0.05, y + 0.01, None)
+    rows = [word(0, 1, "US", 0.02), word(0, 2, "1,234", 0.02), word(0, 3, "us9", 0.06), word(0, 4, "US", 0.1), word(0, 5, "x", 0.1), word(1, 1, "12", 0.02), word(1, 2, "B2", 0.02), word(2, 1, "US", 0.2), word(2, 2, "12", 0.2)]
+    df = spark.createDataFrame(rows, "doc_id string, page_index int, word_ix int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    found = W.running_header(df)
+    assert [(r["page_index"], round(r["running_y"], 9)) for r in found.collect()] == [(0, 0.065)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
